@@ -68,8 +68,8 @@ def running_status_map(t):
 @query("elapsed_since_first", f"with {LOG} select event_id, ended - (select min(ended) from log) as elapsed from log")
 def elapsed_since_first(t):
     log = L.fetch_log(t.events)
-    first = log.agg(F.min("ended").alias("first"))
-    return log.join(F.broadcast(first)).select("event_id", (F.col("ended") - F.col("first")).alias("elapsed"))
+    first = log.agg(F.min("ended")).scalar()
+    return log.select("event_id", (F.col("ended") - first).alias("elapsed"))
 
 
 @query("last_snapshot", f"""with {LOG} select count(*) as requests, arg_max(event_id, (ended, event_id)) as event_id,

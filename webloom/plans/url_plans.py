@@ -174,10 +174,11 @@ EDGES = rf"""e as (select url, link from internal union select link, url from in
 
 
 def site_edges(t):
-    from pyspark.sql import Window
+    from webloom.operators.ordered import ordinal
     internal = K.page_links(t.pages).select("url", "link")
-    host = U.authority(F.col("url"))
-    onward = t.pages.select("url", F.lead("url").over(Window.partitionBy(host).orderBy("url")).alias("link")).filter("link is not null")
+    numbered = ordinal(t.pages.select("url", U.authority(F.col("url")).alias("host")), ["url"], "n", by=["host"])
+    following = numbered.select("host", (F.col("n") - 1).alias("n"), F.col("url").alias("link"))
+    onward = numbered.join(following, ["host", "n"]).select("url", "link")
     return internal.unionByName(internal.select(F.col("link").alias("url"), F.col("url").alias("link"))).unionByName(onward)
 
 
@@ -193,10 +194,10 @@ def union_all_sources(t):
     return K.page_links(t.pages).select(F.col("link").alias("url")).unionByName(t.pages.select("url"))
 
 
-@query("symmetric_difference", """with a as (select c_custkey as k from customer), b as (select o_custkey as k from orders)
+@query("symmetric_difference", """with a as (select c_custkey + 100 as k from customer), b as (select o_custkey as k from orders)
   select k, 'left' as side from a where k not in (select k from b) union all select k, 'right' from b where k not in (select k from a)""")
 def symmetric_difference(t):
-    return K.symmetric_difference(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k")
+    return K.symmetric_difference(t.customer.select((F.col("c_custkey") + 100).alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("membership", """select l_orderkey, l_linenumber, l_returnflag in ('A', 'R') as listed,
