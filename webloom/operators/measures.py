@@ -132,7 +132,7 @@ def per_position_accuracy(rows: DataFrame, pred: str, target: str, classes: int)
     over = lambda c, s, n: F.when(used(c), F.col(f"{s}{c}") / F.col(f"{n}{c}")).otherwise(0.0)
     kinds = sum((used(c).cast("int") for c in range(classes)), F.lit(0))
     mean = lambda s, n: F.try_divide(sum((over(c, s, n) for c in range(classes)), F.lit(0.0)), kinds)
-    # The union average divides by the rows that were right for the class, like the accuracy.
+    # The union is averaged over all rows, the accuracy over the rows right for the class.
     return totals.select("acc", mean("s", "n").alias("mean_acc"), mean("u", "m").alias("mean_iou"))
 
 

@@ -15,7 +15,7 @@ from webloom.session import checkpoint
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("column_bounds", " union all ".join(f"select '{c}' as name, min({c}) as low, max({c}) as high from lineitem" for c in NUMBERS))
+@query("column_bounds", " union all ".join(f"select '{c}' as name, min({c}) + 0 as low, max({c}) + 0 as high from lineitem" for c in NUMBERS))
 def column_bounds(t):
     return X.column_bounds(t.lineitem, NUMBERS)
 
@@ -34,7 +34,7 @@ def categorical_mapping(t):
 
 @query("lookup_join", """select c_custkey, n_name, r_name from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey""")
 def lookup_join(t):
-    nations = t.nation.join(t.region, t.nation.n_regionkey == t.region.r_regionkey).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
     return lookup(t.customer.select("c_custkey", "c_nationkey"), nations, "c_nationkey", "left", "c_custkey").select("c_custkey", "n_name", "r_name")
 
 
@@ -133,11 +133,11 @@ def nearest_vectors(t):
 
 @query("nearest_euclidean", """with q as (select vec_id, embedding::double[] as e from embeddings), s as (select a.vec_id as query_id, b.vec_id as item_id,
     round(list_distance(a.e, b.e), 7) as d from q a, q b where a.vec_id % 10 = 0 and a.vec_id <> b.vec_id)
-  select query_id, item_id, round(d, 5) as distance, row_number() over (partition by query_id order by d, item_id) as rank from s qualify rank <= 5""")
+  select query_id, item_id, round(d, 3) as distance, row_number() over (partition by query_id order by d, item_id) as rank from s qualify rank <= 5""")
 def nearest_euclidean(t):
     vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     found = N.nearest_vectors(vectors.filter("id % 10 = 0"), vectors, 6, "euclidean").filter("query_id <> item_id")
-    return found.select("query_id", "item_id", F.round("distance", 5).alias("distance"), (F.col("rank") - 1).cast("bigint").alias("rank"))
+    return found.select("query_id", "item_id", F.round("distance", 3).alias("distance"), (F.col("rank") - 1).cast("bigint").alias("rank"))
 
 
 @query("binarize", """select vec_id, array_to_string(list_transform(embedding, lambda x: case when x <= 0 then '0' else '1' end), '') as bits,

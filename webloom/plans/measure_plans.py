@@ -104,7 +104,7 @@ def euclidean_loss(t):
   a as (select avg(acc) as acc from (select avg((p = t)::int) as acc from l group by vec_id)),
   c as (select vec_id, c, count(*) filter (p = c and t = c)::double as k, count(*) filter (t = c)::double as nt, count(*) filter (p = c)::double as np
     from l, (select unnest([0, 1, 2]) as c) group by all),
-  m as (select c, sum(k / nt) filter (k > 0) / count(*) filter (k > 0) as ma, sum(case when nt + np - k > 0 then k / (nt + np - k) else 0 end) / count(*) filter (k > 0) as mi from c group by c)
+  m as (select c, sum(k / nt) filter (k > 0) / count(*) filter (k > 0) as ma, sum(case when nt + np - k > 0 then k / (nt + np - k) else 0 end) / count(*) as mi from c group by c)
   select round((select acc from a), 6) as acc, round(sum(ma) / count(*), 6) as mean_acc, round(sum(mi) / count(*), 6) as mean_iou from m""")
 def per_position_accuracy(t):
     label = lambda v: F.transform(v, lambda x: F.when(x <= 0, 0).otherwise(1) + F.when(x > 0.1, 1).otherwise(0))
