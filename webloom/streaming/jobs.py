@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
 from webloom.operators.fetchlog import is_success
 from webloom.session import shared_dir
@@ -22,16 +24,27 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """A table replayed as a stream of files in ``order``, one file per micro-batch."""
+def as_stream(df: DataFrame, order: str, files: int = 4, per_batch: int = 1) -> DataFrame:
+    """A table replayed as a stream of files, ``per_batch`` files per micro-batch.
+
+    Files of one write have no promised order, so jobs with a watermark take them together.
+    """
     path = folder(df.sparkSession, "stream")
     df.repartitionByRange(files, order).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there and return the result table; ``update`` results carry ``batch``."""
+    """Process what is there and return the result table; ``update`` results carry ``batch``.
+
+    State is kept in RocksDB, on the executors' disks rather than their heaps.
+    """
     spark = stream.sparkSession
+    spark.conf.set(PROVIDER, ROCKSDB)
     out, state = folder(spark, "sink"), folder(spark, "state")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out)
@@ -39,7 +52,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         writer = stream.writeStream.foreachBatch(
             lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}"))
     writer.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "int")).parquet(out)
+    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", IntegerType())).parquet(out)
 
 
 def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,33 +91,30 @@ def idle_sessions(events: DataFrame, gap: str, delay: str, by: list[str]) -> Dat
     return sessions.select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "requests")
 
 
-def ttl_cache(requests: DataFrame, ttl_seconds: int) -> DataFrame:
+def ttl_cache(requests: DataFrame, ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
     """(key, id, ts, served, result): a stored result answers while it is at most ``ttl`` old,
-    else the request's own value is stored. Input: key, id, ts, value."""
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-    class Cache(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("stored", "at bigint, result double", ttlDurationMs=ttl_seconds * 1000)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            stored = self.state.get() if self.state.exists() else None
-            frame = pd.concat(list(rows)).sort_values(["ts", "id"])
-            out = []
-            for one in frame.itertuples(index=False):
-                served = stored is not None and one.ts - stored[0] <= ttl_seconds * 1_000_000
-                if not served:
-                    stored = (int(one.ts), float(one.value))
-                out.append((key[0], one.id, one.ts, served, stored[1]))
-            self.state.update(stored)
-            yield pd.DataFrame(out, columns=["key", "id", "ts", "served", "result"])
-
-        def close(self) -> None:
-            pass
-
-    return requests.groupBy("key").transformWithStateInPandas(
-        Cache(), outputStructType="key bigint, id bigint, ts bigint, served boolean, result double",
-        outputMode="Append", timeMode="ProcessingTime")
+    else the request's own value is stored. Input: key, id, ts, value. Results older than the
+    TTL leave the state once the watermark has passed them."""
+    ttl = pd.Timedelta(seconds=ttl_seconds)
+
+    def answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, result = state.get if state.exists else (None, None)
+        out = []
+        for one in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples(index=False):
+            served = at is not None and one.ts - pd.Timestamp(at, unit="us") <= ttl
+            if not served:
+                at, result = one.ts.value // 1000, float(one.value)
+            out.append((key[0], one.id, one.ts, served, result))
+        yield pd.DataFrame(out, columns=["key", "id", "ts", "served", "result"])
+        state.update((at, result))
+        state.setTimeoutTimestamp(max(at // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return requests.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+        answer, "key bigint, id bigint, ts timestamp, served boolean, result double", "made_at bigint, result double",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def page_results(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], good: str) -> tuple[DataFrame, DataFrame]:
