@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webloom.functions.vectors import fixed_size
 from webloom.operators.joins import lookup
 from webloom.operators.ordered import ordinal
+from webloom.session import checkpoint
 
 MAX_INDICATORS = 4096
 
@@ -22,7 +23,7 @@ def column_bounds(df: DataFrame, names: list[str]) -> DataFrame:
 
 def category_domain(df: DataFrame, name: str) -> DataFrame:
     """(value, index): distinct values numbered from 0 in value order."""
-    values = df.select(F.col(name).alias("value")).filter("value is not null").distinct()
+    values = checkpoint(df.select(F.col(name).alias("value")).filter("value is not null").distinct())
     return ordinal(values, ["value"], "index").withColumn("index", F.col("index") - 1)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
@@ -13,15 +13,32 @@ BASE = r"(?i)<base\s[^>]*?href=\"([^\"]*)\""
 SCRIPT_OR_COMMENT = r"(?is)<script\b.*?</script>|<!--.*?-->"
 
 
+def _hrefs() -> Column:
+    body = F.regexp_replace("html", SCRIPT_OR_COMMENT, "")
+    return F.transform(F.regexp_extract_all(body, F.lit(HREF), F.lit(1)), unescape)
+
+
+def _base() -> Column:
+    return F.regexp_extract(F.regexp_replace("html", SCRIPT_OR_COMMENT, ""), BASE, 1)
+
+
 def raw_links(pages: DataFrame) -> DataFrame:
     """Every ``a[href]`` of every page: page_id, url, pos, href and its absolute form."""
-    body = F.regexp_replace("html", SCRIPT_OR_COMMENT, "")
-    hrefs = F.transform(F.regexp_extract_all(body, F.lit(HREF), F.lit(1)), unescape)
-    found = pages.select("page_id", "url", F.regexp_extract(body, BASE, 1).alias("base"), F.posexplode(hrefs).alias("pos", "href"))
+    found = pages.select("page_id", "url", _base().alias("base"), F.posexplode(_hrefs()).alias("pos", "href"))
     return found.select("page_id", "url", "pos", "href",
                         U.resolve_link(F.col("url"), F.col("base"), F.col("href")).alias("link"))
 
 
+def resolved_links() -> Column:
+    """The page's links in absolute form, as an array."""
+    return F.transform(_hrefs(), lambda h: U.resolve_link(F.col("url"), _base(), h))
+
+
+def internal_links(pages: DataFrame) -> Column:
+    """The page's links to its own host, as an array."""
+    return F.filter(resolved_links(), lambda link: U.authority(link) == U.authority(F.col("url")))
+
+
 def unescape(text: Column) -> Column:
     """The entities that occur in attribute values."""
     for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
@@ -46,40 +63,36 @@ def skip_script_links(pages: DataFrame) -> DataFrame:
 
 def same_site_links(pages: DataFrame, limit: int = 5) -> DataFrame:
     """Per page the root of its site, then distinct links below that root, ``limit`` in all."""
-    links = raw_links(pages).withColumn("root", U.site_root(F.col("url")))
-    inside = links.filter(F.instr("link", F.col("root")) > 0).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
-    roots = pages.select("page_id", U.site_root(F.col("url")).alias("link"), F.lit(-1).alias("pos"))
-    every = roots.unionByName(inside).groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("pos")
-
-
-def link_targets(pages: DataFrame) -> DataFrame:
-    """How often each URL is linked. Counts are combined before the shuffle, so a URL that
-    most pages link to costs one row per task."""
-    return page_links(pages).groupBy("link").agg(F.count("*").alias("in_degree"))
+    root = U.site_root(F.col("url"))
+    inside = F.filter(resolved_links(), lambda link: F.contains(link, root))
+    chosen = F.slice(F.array_distinct(F.concat(F.array(root), inside)), 1, limit)
+    return pages.select("page_id", F.posexplode(chosen).alias("pos", "link")).select("page_id", "link", (F.col("pos") + 1).alias("rank"))
 
 
 def link_graph(pages: DataFrame) -> DataFrame:
-    """Per URL, fetched or only linked: in-degree, out-degree and whether it was fetched."""
-    out = page_links(pages).groupBy("url").agg(F.count("*").alias("out_degree"))
-    nodes = pages.select("url", F.lit(True).alias("fetched")).dropDuplicates(["url"])
-    return (
-        nodes.join(out, "url", "left")
-        .join(link_targets(pages).withColumnRenamed("link", "url"), "url", "full")
-        .select("url", F.coalesce("fetched", F.lit(False)).alias("fetched"),
-                F.coalesce("in_degree", F.lit(0).cast("bigint")).alias("in_degree"),
-                F.coalesce("out_degree", F.lit(0).cast("bigint")).alias("out_degree")))
+    """Per URL, fetched or only linked: in-degree, out-degree and whether it was fetched.
+
+    A page speaks for itself (fetched, number of links) and for its targets (one link each)
+    in the same pass, so pages are read once and one shuffle by URL adds everything up. It
+    is summed on the map side first: a URL most pages link to costs one row per task.
+    """
+    fact = lambda url, fetched, into, out: F.struct(
+        url.alias("url"), F.lit(fetched).alias("fetched"), F.lit(into).alias("into"), out.cast("bigint").alias("out"))
+    links = pages.select("url", internal_links(pages).alias("links"))
+    facts = F.concat(F.array(fact(F.col("url"), 1, 0, F.size("links"))),
+                     F.transform("links", lambda link: fact(link, 0, 1, F.lit(0))))
+    return links.select(F.inline(facts)).groupBy("url").agg(
+        (F.max("fetched") == 1).alias("fetched"), F.sum("into").alias("in_degree"), F.sum("out").alias("out_degree"))
 
 
 def broken_links(pages: DataFrame) -> DataFrame:
     """Linked URLs that were never fetched, with the number of links to them."""
-    return link_targets(pages).join(pages.select(F.col("url").alias("link")), "link", "left_anti")
+    return link_graph(pages).filter("not fetched").select(F.col("url").alias("link"), "in_degree")
 
 
 def new_urls(found: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
     """Distinct found URLs that are not visited yet."""
-    return found.select(url).distinct().join(visited.select(url), url, "left_anti")
+    return found.select(url).distinct().join(visited.select(url).distinct(), url, "left_anti")
 
 
 def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
@@ -102,8 +115,8 @@ def crawl_depth(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
 
 def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs on exactly one side, marked with the side; duplicates stay."""
-    only_left = left.join(right.select(key), key, "left_anti").withColumn("side", F.lit("left"))
-    only_right = right.join(left.select(key), key, "left_anti").withColumn("side", F.lit("right"))
+    only_left = left.join(right.select(key).distinct(), key, "left_anti").withColumn("side", F.lit("left"))
+    only_right = right.join(left.select(key).distinct(), key, "left_anti").withColumn("side", F.lit("right"))
     return only_left.unionByName(only_right)
 
 

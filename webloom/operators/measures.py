@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.vectors import argmax, squared_distance
 from webloom.operators.ordered import ordinal, running
+from webloom.session import checkpoint
 
 EPS = 1e-8
 
@@ -71,8 +72,8 @@ def auc(rows: DataFrame, score: Column, positive: Column) -> DataFrame:
 
     Rows are first added up per distinct score, then accumulated over the score order.
     """
-    points = rows.select(score.alias("score"), positive.cast("bigint").alias("one")).groupBy("score").agg(
-        F.sum("one").alias("ones"), (F.count("*") - F.sum("one")).alias("zeros"))
+    points = checkpoint(rows.select(score.alias("score"), positive.cast("bigint").alias("one")).groupBy("score").agg(
+        F.sum("one").alias("ones"), (F.count("*") - F.sum("one")).alias("zeros")))
     summed = running(points, ["score"], {"ones_to": ("sum", F.col("ones"))})
     whole = summed.agg(
         F.sum("ones").alias("p"), F.sum("zeros").alias("n"),

@@ -45,9 +45,17 @@ def node_shapes(trees: DataFrame) -> DataFrame:
     return trees.select("page_id", F.inline(tagged))
 
 
-def folded_shapes(shapes: DataFrame) -> DataFrame:
-    """Siblings of equal tag, classes, shape and size as one row: ``first`` node and ``members``."""
-    return shapes.groupBy(*BLOCK, "classes", "shape", "size").agg(F.min("node").alias("first"), F.count("*").alias("members"))
+def marked_shapes(shapes: DataFrame) -> DataFrame:
+    """Every node with ``first``, the smallest sibling of equal tag, classes, shape and size, and
+    ``members``, how many there are. Only the first one keeps the shape."""
+    equal = Window.partitionBy(*BLOCK, "classes", "shape", "size")
+    marked = shapes.withColumn("first", F.min("node").over(equal)).withColumn("members", F.count("*").over(equal))
+    return marked.withColumn("shape", F.when(F.col("node") == F.col("first"), F.col("shape")))
+
+
+def folded_shapes(marked: DataFrame) -> DataFrame:
+    """One row per group of equal siblings: ``first`` node and ``members``."""
+    return marked.filter(F.col("node") == F.col("first")).select(*BLOCK, "classes", "shape", "size", "first", "members")
 
 
 def _prefix(shape: Column, least: float) -> Column:
@@ -110,14 +118,14 @@ def connected(vertices: DataFrame, edges: DataFrame, scope: str = "page_id") ->
 def cluster_subtrees(shapes: DataFrame, eps: float = EPS, min_size: int = MIN_CLUSTER) -> DataFrame:
     """(page_id, parent, node, tag, size, path, cluster, members) of nodes in clusters of similar
     siblings with at least ``min_size`` nodes. A cluster is named by its smallest node."""
-    folded = checkpoint(folded_shapes(shapes))
+    marked = checkpoint(marked_shapes(shapes))
+    folded = folded_shapes(marked)
     labels = connected(folded.select("page_id", F.col("first").alias("v")), subtree_similarity(folded, eps))
-    grouped = folded.join(labels.withColumnRenamed("v", "first"), ["page_id", "first"])
-    sizes = grouped.groupBy("page_id", "label").agg(F.sum("members").alias("members")).filter(F.col("members") >= min_size)
-    kept = grouped.drop("members").join(sizes, ["page_id", "label"])
-    keys = [*BLOCK, "classes", "shape", "size"]
-    return shapes.join(kept.select(*keys, F.col("label").alias("cluster"), "members"), keys).select(
-        "page_id", "parent", "node", "tag", "size", "path", "cluster", "members")
+    named = folded.select("page_id", "first", "members").join(labels.withColumnRenamed("v", "first"), ["page_id", "first"])
+    total = F.sum("members").over(Window.partitionBy("page_id", "label"))
+    kept = named.withColumn("members", total).filter(F.col("members") >= min_size)
+    return marked.drop("members", "shape").join(kept, ["page_id", "first"]).select(
+        "page_id", "parent", "node", "tag", "size", "path", F.col("label").alias("cluster"), "members")
 
 
 def tournament_counts(clusters: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def term_counts(docs: DataFrame, words: Column) -> DataFrame:
 
 def vocabulary(docs: DataFrame, words: Column, min_count: int = 5) -> DataFrame:
     """Terms that occur at least ``min_count`` times, numbered from 0 in term order."""
-    kept = term_counts(docs, words).filter(F.col("total_count") >= min_count)
+    # Numbering reads its input three times, so the counted words are stored first.
+    kept = checkpoint(term_counts(docs, words).filter(F.col("total_count") >= min_count))
     numbered = ordinal(kept, ["term"], "pos")
     return numbered.withColumn("pos", F.col("pos") - 1)
 
@@ -105,8 +106,10 @@ def keyword_categories(urls: DataFrame, dictionary: DataFrame, id_col: str, url:
     Substring search becomes an equi-join: a URL is cut into its distinct substrings of
     the lengths the dictionary uses, each looked up once.
     """
-    dictionary = checkpoint(dictionary.select("keyword", "category"))
-    sizes = [r[0] for r in dictionary.select(F.length("keyword")).distinct().orderBy(F.length("keyword")).limit(2084).collect()]
+    longest = urls.select(F.max(F.length(url))).first()[0] or 0
+    dictionary = checkpoint(dictionary.select("keyword", "category").filter(F.length("keyword").between(1, longest)))
+    # At most one size per character of the longest URL.
+    sizes = sorted(r[0] for r in dictionary.select(F.length("keyword")).distinct().collect())
     text = F.lower(F.col(url))
     cuts = lambda n: F.when(F.length(text) >= n, F.transform(
         F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

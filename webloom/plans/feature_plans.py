@@ -197,14 +197,15 @@ def path_to_nested(t):
     return t.part.select("p_partkey", F.array_join(V.nested_path(path), ",").alias("keys"))
 
 
-@query("mail_body", """with m as (select conv_id, string_agg(text, '' order by turn) filter (role = 'user') as plain, arg_min(text, turn) as first from conversations group by conv_id)
-  select conv_id, coalesce(nullif(plain, ''), first, 'none') as body from m""")
+@query("mail_body", """select conv_id, turn, case when turn % 4 = 3 then 'snippet of ' || conv_id when role = 'user' then text || role else text end as body from conversations""")
 def mail_body(t):
-    """Text parts of a thread, else its first part, else the snippet."""
+    """Text parts of a mail, else its first part, else its body, else the snippet."""
     from webloom.operators.search import mail_body as run
-    part = F.struct("turn", F.when(F.col("role") == "user", "text/plain").otherwise("text/html").alias("mime"), F.col("text").alias("data"))
-    mails = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return mails.select("conv_id", run(F.col("parts"), F.lit(None).cast("string"), F.lit("none")).alias("body"))
+    mime = F.when(F.col("role") == "user", "text/plain").otherwise("text/html")
+    part = lambda data: F.struct(mime.alias("mime"), data.alias("data"))
+    parts = F.when(F.col("turn") % 4 != 3, F.array(part(F.col("text")), part(F.col("role"))))
+    snippet = F.concat(F.lit("snippet of "), "conv_id")
+    return t.conversations.select("conv_id", "turn", run(F.coalesce(parts, F.array().cast("array<struct<mime: string, data: string>>")), F.lit(""), snippet).alias("body"))
 
 
 @query("paragraph_text", """with l as (select doc_id, lang, source, list_filter(string_split(text, chr(10)), lambda x: length(x) % 2 = 0) as p from documents)
@@ -229,3 +230,15 @@ def train_boosted_trees(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                              F.when(F.col("l_extendedprice") > 50000, 1).when(F.col("l_quantity") > 25, 2).otherwise(0).alias("label"))
     return train_report(rows, ["l_orderkey", "l_linenumber"], NUMBERS, "label", classes=3, rounds=5, fraction=0.1, seed=3)
+
+
+@query("predict_best")
+def predict_best(t):
+    """Best class and its probability for the held-out rows."""
+    from webloom.operators.boosting import predict, train
+    rows = t.part.select("p_partkey", F.col("p_size").cast("double").alias("size"), "p_retailprice", F.when(F.col("p_size") > 25, 1).otherwise(0).alias("label"))
+    features = ["size", "p_retailprice"]
+    model = train(rows.filter("p_partkey % 10 <> 0"), features, "label", rounds=3, seed=5)
+    scored = predict(model, rows.filter("p_partkey % 10 = 0"), features, "label", classes=2)
+    best = F.get(V.best_categories(F.col("pred"), 1), 0)
+    return scored.select("target", best["cat"].alias("cat"), F.round(best["prob"], 6).alias("prob"))

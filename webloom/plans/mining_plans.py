@@ -70,7 +70,7 @@ def aligned(t):
 @query("subtree_similarity", mine("select page_id, parent, tag, a, b, a_members, b_members, round(similarity, 9) as similarity, round(distance, 9) as distance from edges").replace("<= 1.2)", "<= 1.6)"))
 def subtree_similarity(t):
     """Wider than the clustering distance, so that the generated pages have some pairs."""
-    found = M.subtree_similarity(M.folded_shapes(M.node_shapes(P.page_nodes(t.pages))), eps=1.6)
+    found = M.subtree_similarity(M.folded_shapes(M.marked_shapes(M.node_shapes(P.page_nodes(t.pages)))), eps=1.6)
     return found.withColumn("similarity", F.round("similarity", 9)).withColumn("distance", F.round("distance", 9))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from webloom.functions import text as T
 from webloom.functions import urls as U
 from webloom.operators import links as K
+from webloom.operators.joins import lookup
 from webloom.plans.registry import query
 
 AUTH = r"regexp_extract({}, '^[a-z]+://([^/?#]*)', 1)"
@@ -213,7 +214,7 @@ def membership(t):
   select page_id, domain, pages, hosts from p join d using (domain)""")
 def site_dimension_join(t):
     pages = t.pages.select("page_id", "url", U.registered_domain(F.col("url")).alias("domain"))
-    return pages.join(K.site_dimension(t.pages), "domain").select("page_id", "domain", "pages", "hosts")
+    return lookup(pages, K.site_dimension(t.pages), "domain", spread_on="page_id").select("page_id", "domain", "pages", "hosts")
 
 
 @query("redirected_template_url_join", """select c_custkey, t as template, case t when 0 then 'http://a.example.com/' || c_nationkey || '?q=' || url_encode(c_name)

@@ -102,13 +102,15 @@ def ttl_cache(requests: DataFrame, ttl_seconds: int, delay: str = "10 minutes")
             state.remove()
             return
         at, result = state.get if state.exists else (None, None)
-        out = []
-        for one in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples(index=False):
-            served = at is not None and one.ts - pd.Timestamp(at, unit="us") <= ttl
-            if not served:
-                at, result = one.ts.value // 1000, float(one.value)
-            out.append((key[0], one.id, one.ts, served, result))
-        yield pd.DataFrame(out, columns=["key", "id", "ts", "served", "result"])
+        # Chunk by chunk, as requests arrive: a busy key is never held whole.
+        for frame in frames:
+            out = []
+            for one in frame.sort_values(["ts", "id"]).itertuples(index=False):
+                served = at is not None and one.ts - pd.Timestamp(at, unit="us") <= ttl
+                if not served:
+                    at, result = one.ts.value // 1000, float(one.value)
+                out.append((key[0], one.id, one.ts, served, result))
+            yield pd.DataFrame(out, columns=["key", "id", "ts", "served", "result"])
         state.update((at, result))
         state.setTimeoutTimestamp(max(at // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
