@@ -126,7 +126,18 @@ def regularize_items(t):
     return M.regularize_items(itemized(t)[2])
 
 
-@query("divide_records")
+DIVIDE = SHAPES + """, kid as (select t.page_id, t.parent, t.node, coalesce(c.cluster, -1) as label from tree t left join clusters c on c.page_id = t.page_id and c.node = t.node
+     where t.tag <> '[T]' and (t.page_id, t.parent) in (select page_id, parent from clusters)),
+  sep as (select distinct page_id, parent, cluster as separator from clusters),
+  cut as (select k.*, separator, sum(case when label = separator then 1 else 0 end) over (partition by k.page_id, k.parent, separator order by node) as record from kid k join sep using (page_id, parent)),
+  ent as (select *, row_number() over (partition by page_id, parent, separator, record, label order by node) as ord from cut),
+  recs as (select page_id, parent, separator, count(distinct record) as records, count(*) as length from ent group by all),
+  shared as (select a.page_id, a.parent, a.separator, count(*) as shared from ent a join ent b on a.page_id = b.page_id and a.parent = b.parent and a.separator = b.separator
+     and a.label = b.label and a.ord = b.ord and a.record < b.record group by all),
+  scored as (select r.*, coalesce(shared, 0) / (records * (records - 1) / 2.0::double + 1) / (length::double / records) as score from recs r left join shared using (page_id, parent, separator))"""
+
+
+@query("divide_records", mine("select page_id, parent, separator, records, round(score, 6) as score from scored qualify row_number() over (partition by page_id, parent order by score desc, separator) = 1", DIVIDE))
 def divide_records(t):
     """Best separator of every parent of repeated children."""
     trees, clusters = clustered(t)
@@ -181,7 +192,8 @@ def seed_alignment(t):
     return M.seed_alignment(aligned(t))
 
 
-@query("records_to_json")
+@query("records_to_json", mine("""select page_id, label, parent, item, '{' || string_agg(to_json(key)::varchar || ':' || to_json(value)::varchar, ',' order by col, key) || '}' as record
+   from fields group by all""", FIELDS))
 def records_to_json(t):
     return M.records_to_json(aligned(t))
 
