@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.vectors import bind
+
 Step = tuple[str, str]
 
 
@@ -56,7 +58,7 @@ def steps_of(path: str) -> list[Step]:
 
 def as_array(value: Column) -> Column:
     """The elements, or NULL when the value is no array."""
-    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def condition(element: Column, text: str) -> Column:
@@ -73,24 +75,26 @@ def _follow(value: Column, steps: list[Step], inside: bool = False) -> Column:
     if not steps:
         return value
     (kind_, text), rest = steps[0], steps[1:]
-    elements = as_array(value)
     if kind_ == "key":
-        single = _follow(F.try_variant_get(value, f"$['{text}']", "variant"), rest)
-        if inside:
-            return single
-        return F.when(elements.isNotNull(), F.to_variant_object(
-            F.transform(elements, lambda e: _follow(e, steps, inside=True)))).otherwise(single)
-    if kind_ == "where":
-        return _follow(F.to_variant_object(F.filter(elements, lambda e: condition(e, text))), rest)
-    size = F.size(elements)
-    wrap = lambda n: F.pmod(F.lit(int(n or 0)) + size, size)
-    if kind_ == "index":
-        return _follow(F.when(size > 0, F.get(elements, wrap(text))), rest)
-    low, high = text.split(":")
-    first, last = wrap(low), wrap(high)
-    part = F.when(size == 0, elements).when(last == 0, F.slice(elements, first + 1, size)).when(
-        last >= first, F.slice(elements, first + 1, last - first))
-    return F.to_variant_object(F.transform(part, lambda e: _follow(e, rest)))
+        def keyed(v: Column) -> Column:
+            single = _follow(F.try_variant_get(v, f"$['{text}']", "variant"), rest)
+            if inside:
+                return single
+            mapped = lambda elements: F.to_variant_object(F.transform(elements, lambda e: _follow(e, steps, inside=True)))
+            return bind(as_array(v), lambda elements: F.when(elements.isNotNull(), mapped(elements)).otherwise(single))
+
+        return bind(value, keyed)
+
+    def listed(elements: Column) -> Column:
+        if kind_ == "where":
+            return _follow(F.to_variant_object(F.filter(elements, lambda e: condition(e, text))), rest)
+        size = F.size(elements)
+        if kind_ == "index":
+            return _follow(F.when(size > 0, F.get(elements, F.pmod(F.lit(int(text)) + size, size))), rest)
+        low, high = (int(n or 0) for n in text.split(":"))
+        return F.to_variant_object(F.transform(slice_range(elements, low, high), lambda e: _follow(e, rest)))
+
+    return bind(as_array(value), listed)
 
 
 def json_path(value: Column, path: str) -> Column:

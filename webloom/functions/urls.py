@@ -79,9 +79,8 @@ def normalize_url(url: Column) -> tuple[Column, Column]:
     return F.when(error.isNull(), result), error
 
 
-def link_base(page_url: Column, base_tag: Column) -> Column:
+def link_base(root: Column, base_tag: Column) -> Column:
     """What relative links are appended to: the base tag, or the root of the host."""
-    root = site_root(page_url)
     return (
         F.when(F.coalesce(base_tag, F.lit("")) == "", root)
         .when(base_tag.startswith("/"), F.concat(root, base_tag))
@@ -89,15 +88,20 @@ def link_base(page_url: Column, base_tag: Column) -> Column:
     )
 
 
-def resolve_link(page_url: Column, base_tag: Column, href: Column) -> Column:
-    """Absolute form of a link without its fragment."""
-    base = F.regexp_replace(link_base(page_url, base_tag), r"/\z", "")
-    absolute = (
-        F.when(href.startswith("/"), F.concat(site_root(page_url), href))
-        .when(~href.startswith("http://") & ~href.startswith("https://"), F.concat(base, F.lit("/"), href))
+def absolute(root: Column, base: Column, href: Column) -> Column:
+    """Absolute form of a link without its fragment, given host root and base."""
+    whole = (
+        F.when(href.startswith("/"), F.concat(root, href))
+        .when(~href.startswith("http://") & ~href.startswith("https://"), F.concat(F.regexp_replace(base, r"/\z", ""), F.lit("/"), href))
         .otherwise(href)
     )
-    return F.substring_index(absolute, "#", 1)
+    return F.substring_index(whole, "#", 1)
+
+
+def resolve_link(page_url: Column, base_tag: Column, href: Column) -> Column:
+    """Absolute form of a link on a page."""
+    root = site_root(page_url)
+    return absolute(root, link_base(root, base_tag), href)
 
 
 def ipv4_number(ip: Column) -> Column:

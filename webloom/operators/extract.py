@@ -14,15 +14,11 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as T
 from webloom.functions import urls as U
+from webloom.functions.vectors import bind
 from webloom.operators.nodes import text_of
 from webloom.operators.select import ROOT, follow, select, within, xpath
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use the result several times."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 @dataclass
 class Extraction:
     """``items`` splits a page into contexts (none: the page is the one context); ``fields``

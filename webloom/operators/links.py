@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
+from webloom.functions.vectors import bind
 from webloom.session import checkpoint
 
 HREF = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
@@ -13,30 +14,31 @@ BASE = r"(?i)<base\s[^>]*?href=\"([^\"]*)\""
 SCRIPT_OR_COMMENT = r"(?is)<script\b.*?</script>|<!--.*?-->"
 
 
-def _hrefs() -> Column:
-    body = F.regexp_replace("html", SCRIPT_OR_COMMENT, "")
-    return F.transform(F.regexp_extract_all(body, F.lit(HREF), F.lit(1)), unescape)
+def found_links() -> Column:
+    """The page's links as an array of (href, link). The page is searched once for its links
+    and once for its base; both results are bound before the links are resolved."""
+    def resolved(body: Column) -> Column:
+        hrefs = F.transform(F.regexp_extract_all(body, F.lit(HREF), F.lit(1)), unescape)
+        root = U.site_root(F.col("url"))
+        page = F.struct(root.alias("root"), U.link_base(root, F.regexp_extract(body, BASE, 1)).alias("base"))
+        return bind(page, lambda p: F.transform(hrefs, lambda h: F.struct(h.alias("href"), U.absolute(p["root"], p["base"], h).alias("link"))))
 
-
-def _base() -> Column:
-    return F.regexp_extract(F.regexp_replace("html", SCRIPT_OR_COMMENT, ""), BASE, 1)
+    return bind(F.regexp_replace("html", SCRIPT_OR_COMMENT, ""), resolved)
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
     """Every ``a[href]`` of every page: page_id, url, pos, href and its absolute form."""
-    found = pages.select("page_id", "url", _base().alias("base"), F.posexplode(_hrefs()).alias("pos", "href"))
-    return found.select("page_id", "url", "pos", "href",
-                        U.resolve_link(F.col("url"), F.col("base"), F.col("href")).alias("link"))
+    return pages.select("page_id", "url", F.posexplode(found_links()).alias("pos", "l")).select("page_id", "url", "pos", "l.href", "l.link")
 
 
 def resolved_links() -> Column:
     """The page's links in absolute form, as an array."""
-    return F.transform(_hrefs(), lambda h: U.resolve_link(F.col("url"), _base(), h))
+    return F.transform(found_links(), lambda x: x["link"])
 
 
 def internal_links(pages: DataFrame) -> Column:
     """The page's links to its own host, as an array."""
-    return F.filter(resolved_links(), lambda link: U.authority(link) == U.authority(F.col("url")))
+    return bind(U.authority(F.col("url")), lambda own: F.filter(resolved_links(), lambda link: U.authority(link) == own))
 
 
 def unescape(text: Column) -> Column:

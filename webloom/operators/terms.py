@@ -91,7 +91,7 @@ def rake_keywords(docs: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
 
     One shuffle by document; both the word totals and the phrase totals reuse it.
     """
-    found = phrases(docs, stop_words).repartition("doc_id")
+    found = phrases(docs.repartition("doc_id"), stop_words)
     words = F.split("phrase", " ")
     exploded = found.select("doc_id", "at", "phrase", F.size(words).alias("size"), F.explode(words).alias("word"))
     same_word = Window.partitionBy("doc_id", "word")

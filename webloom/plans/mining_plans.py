@@ -48,7 +48,7 @@ def mine(rest, with_=SHAPES):
 
 def stored(t):
     """The page trees are read by several steps, so they are stored once."""
-    return checkpoint(P.page_nodes(t.pages, keep=("page_id",)).drop("html").repartition("page_id"))
+    return checkpoint(P.page_nodes(t.pages, keep=("page_id",)).drop("html"))
 
 
 def clustered(t):

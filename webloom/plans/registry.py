@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.operators.spread import spread
 from webloom.session import configure
 
+HEAVY = {"pages": "page_id", "documents": "doc_id"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,7 +24,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Long texts are heavy per row: few files must not mean few tasks.
+        return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
 def query(name: str, sql: str | None = None):

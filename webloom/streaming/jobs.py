@@ -45,6 +45,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     out, state = folder(spark, "sink"), folder(spark, "state")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out)
