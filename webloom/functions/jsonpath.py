@@ -38,7 +38,7 @@ def unwrap_jsonp(text: Column) -> Column:
     opening, brace = F.instr(s, "("), F.instr(s, "{")
     closing = F.length(s) - F.instr(F.reverse(s), ")") + 1
     called = (opening > 0) & ((brace == 0) | (opening < brace)) & F.contains(s, F.lit(")")) & (closing - 1 > opening)
-    # Without a brace the reference position is before the text, so the call is left alone.
+    # A call without a brace is left alone.
     called = called & (brace > 0)
     inner = F.substring(s, opening + 1, closing - opening - 1)
     return F.when(called, F.regexp_replace(inner, "\\A\"+|\"+\\z", "")).otherwise(s)

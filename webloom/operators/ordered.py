@@ -57,9 +57,10 @@ def range_of(df: DataFrame, order: list[str]) -> Column:
     while width > 1:
         width //= 2
         steps.append(width)
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda at, s: F.when(F.get(bounds, at + s - 1) <= key, at + s).otherwise(at))
+    return F.coalesce(found, F.lit(0))  # never NULL, which spares joins a null check
 
 
 def running(df: DataFrame, order: list[str], measures: dict[str, tuple[str, Column]], by: list[str] | None = None) -> DataFrame:
