@@ -44,15 +44,24 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     State is kept in RocksDB, on the executors' disks rather than their heaps.
     """
     spark = stream.sparkSession
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {
+        PROVIDER: ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Every partition keeps a store open, so more than two per core only cost time.
+        "spark.sql.shuffle.partitions": str(min(int(partitions), 2 * spark.sparkContext.defaultParallelism)),
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     out, state = folder(spark, "sink"), folder(spark, "state")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out)
     else:
         writer = stream.writeStream.foreachBatch(
             lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}"))
-    writer.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    running = writer.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    running.awaitTermination()
     return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", IntegerType())).parquet(out)
 
 
