@@ -165,7 +165,7 @@ def score_clusters(clusters: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 def ranked_clusters(scores: DataFrame, min_items: int) -> DataFrame:
     """Clusters of a page from best to worst score."""
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), "cluster")
-    return scores.filter(F.col("items") >= min_items).withColumn("rank", F.row_number().over(order))
+    return scores.filter(F.col("items") >= min_items).withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
 def extract_items(rows: DataFrame, clusters: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -186,7 +186,7 @@ def extract_items(rows: DataFrame, clusters: DataFrame, labels: DataFrame | None
     cut = named.withColumn("first", first).withColumn("item", F.greatest(starts, F.lit(1)))
     item = Window.partitionBy("page_id", "label", "parent", "item")
     return (cut.withColumn("hit", F.max((F.col("root_label") == F.col("label")).cast("int")).over(item))
-            .withColumn("pos", F.row_number().over(item.orderBy("node")) - 1)
+            .withColumn("pos", (F.row_number().over(item.orderBy("node")) - 1).cast("bigint"))
             .filter("hit = 1").select("page_id", "label", "parent", "item", "node", "pos", "root_label"))
 
 
@@ -205,7 +205,7 @@ def regularize_items(items: DataFrame, max_cut: float = 0.33) -> DataFrame:
     best = Window.partitionBy("page_id", "label", "parent", "item").orderBy(F.desc("common"), F.desc("node"))
     chosen = kept.withColumn("common", common).withColumn("place", F.row_number().over(best)).filter("place <= mode")
     again = Window.partitionBy("page_id", "label", "parent", "item").orderBy("node")
-    return chosen.withColumn("pos", F.row_number().over(again) - 1).select(*items.columns)
+    return chosen.withColumn("pos", (F.row_number().over(again) - 1).cast("bigint")).select(*items.columns)
 
 
 def divide_records(items_by_separator: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def align_fields(rows: DataFrame, items: DataFrame) -> DataFrame:
     fields = keyed.withColumn("key", F.concat_ws("#", "below", ordinal.cast("string")))
     start = F.min("node").over(Window.partitionBy("page_id", "label", "key"))
     numbered = fields.withColumn("start", start).withColumn(
-        "column", F.dense_rank().over(Window.partitionBy("page_id", "label").orderBy("start", "key")) - 1)
+        "column", (F.dense_rank().over(Window.partitionBy("page_id", "label").orderBy("start", "key")) - 1).cast("bigint"))
     return numbered.select("page_id", "label", "parent", "item", "key", "column", "node", "tag", "value")
 
 
@@ -283,7 +283,7 @@ def seed_alignment(fields: DataFrame) -> DataFrame:
     best = F.max(F.struct(F.col("width"), -F.col("parent"), -F.col("item"))).over(whole)
     marked = placed.withColumn("in_seed", F.struct(F.col("width"), -F.col("parent"), -F.col("item")) == best)
     columns = marked.groupBy("page_id", "label", "key").agg(F.avg("at").alias("at"), F.bool_or("in_seed").alias("in_seed"))
-    return columns.withColumn("place", F.row_number().over(whole.orderBy("at", "key")) - 1).select("page_id", "label", "key", "place", "in_seed")
+    return columns.withColumn("place", (F.row_number().over(whole.orderBy("at", "key")) - 1).cast("bigint")).select("page_id", "label", "key", "place", "in_seed")
 
 
 def records_to_json(fields: DataFrame) -> DataFrame:

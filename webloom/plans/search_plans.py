@@ -65,7 +65,7 @@ def bag_of_words(t):
     return W.bag_of_words(t.documents, words())
 
 
-@query("word_presence", f"with {BAG} select doc_id, term, 1 as tf from bag")
+@query("word_presence", f"with {BAG} select doc_id, term, 1::bigint as tf from bag")
 def word_presence(t):
     return W.bag_of_words(t.documents, words(), count=False)
 

@@ -29,7 +29,7 @@ def stream_frontier(t):
 def stream_frontier_bounded(t):
     """With a bound longer than the stream every URL comes out once."""
     visits = stamped(t).select("ts", F.concat(F.lit("http://site.example.com/"), "user_id").alias("url"))
-    return S.drain(S.bounded_frontier(S.as_stream(visits, "ts", per_batch=4), "400 days")).select("url")
+    return S.drain(S.bounded_frontier(S.as_stream(visits, "ts", batches=1), "400 days")).select("url")
 
 
 @query("stream_statistics", f"""with {LOG} select site, count(*) as requests, count(*) filter (status between 200 and 399) as successes,
@@ -40,7 +40,7 @@ def stream_statistics(t):
 
 @query("stream_rate", "select epoch_us(date_trunc('hour', ts)) as start, count(*) as requests from events group by all")
 def stream_rate(t):
-    counts = S.newest(S.drain(S.rate(S.as_stream(stamped(t).select("ts"), "ts", per_batch=4), "1 hour"), "update"), ["start"])
+    counts = S.newest(S.drain(S.rate(S.as_stream(stamped(t).select("ts"), "ts", batches=1), "1 hour"), "update"), ["start"])
     return counts.select(F.unix_micros("start").alias("start"), "requests")
 
 
@@ -50,7 +50,7 @@ def stream_rate(t):
   having max(u) + 1800000000 <= (select max(epoch_us(ts)) - 600000000 from events)""")
 def stream_idle_sessions(t):
     events = stamped(t).select("ts", (F.col("user_id") % 10).alias("site"))
-    found = S.drain(S.idle_sessions(S.as_stream(events, "ts", per_batch=4), "30 minutes", "10 minutes", ["site"]))
+    found = S.drain(S.idle_sessions(S.as_stream(events, "ts", batches=1), "30 minutes", "10 minutes", ["site"]))
     return found.select("site", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "requests")
 
 
@@ -61,7 +61,7 @@ def stream_idle_sessions(t):
   select key, id, served, result from r""")
 def stream_ttl_cache(t):
     requests = stamped(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", "value")
-    return S.drain(S.ttl_cache(S.as_stream(requests, "ts", per_batch=4), 3600)).select("key", "id", "served", "result")
+    return S.drain(S.ttl_cache(S.as_stream(requests, "ts", batches=1), 3600)).select("key", "id", "served", "result")
 
 
 @query("stream_page_results", """select event_id, case when event_id % 7 <> 0 then cast(json_extract(props, '$.k') as int) end as k, event_id % 7 = 0 as failed from events""")

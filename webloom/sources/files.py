@@ -53,7 +53,7 @@ def scan_seed_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def scan_libsvm(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """``label idx:val ...`` lines as (line, label, feature, value); unknown features are left out."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("parts"), F.xxhash64("value").alias("line"))
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("parts"), F.monotonically_increasing_id().alias("line"))
     checked = lines.select("line", F.when(F.size("parts") > 1, F.col("parts")).otherwise(
         F.raise_error(F.lit("empty row"))).alias("parts"))
     cells = checked.select("line", F.get("parts", 0).cast("double").alias("label"),

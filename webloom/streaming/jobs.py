@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
 from webloom.operators.fetchlog import is_success
+from webloom.operators.spread import spread
 from webloom.session import shared_dir
 
 
@@ -24,14 +25,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def as_stream(df: DataFrame, order: str, files: int = 4, per_batch: int = 1) -> DataFrame:
-    """A table replayed as a stream of files, ``per_batch`` files per micro-batch.
+def as_stream(df: DataFrame, key: str, batches: int = 4) -> DataFrame:
+    """A table replayed as a stream of files in about ``batches`` micro-batches.
 
-    Files of one write have no promised order, so jobs with a watermark take them together.
+    The table is written by as many tasks as it has partitions. Files of one write have no
+    promised order, so jobs that drop late rows take them in one batch.
     """
-    path = folder(df.sparkSession, "stream")
-    df.repartitionByRange(files, order).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    spark, path = df.sparkSession, folder(df.sparkSession, "stream")
+    spread(df, key).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
