@@ -4,9 +4,13 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import FOLDER
+from webloom.plans import ORACLES, QUERIES
 from tools.check import rows_of
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+
+def test_entry_offers_every_query():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_every_twin_has_a_query():

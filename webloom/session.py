@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once per application; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        home = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="webloom-package-")
+        packed = shutil.make_archive(os.path.join(folder, "webloom"), "zip", os.path.dirname(home), os.path.basename(home))
+        context.addPyFile(packed)
+        _shipped.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the clock to UTC so zone-less timestamps keep their face value."""
+    """Ship the package and pin the clock to UTC, so zone-less timestamps keep their face value."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
