@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import sharding
+from webloom.llm import quality, sharding
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,74 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the verdict of the distribution divergence for every document."""
+    return quality.assess(table(spark, folder, "documents")).drop("class_distance", "word_distance")
+
+
+ORACLES["op10_quality_rules"] = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+tokens AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"()[]', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS terms,
+         regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare
+  FROM base),
+chars AS (
+  SELECT *, translate(bare, '#*$%&|<>', '') AS plain, regexp_replace(translate(bare, '#*$%&|<>', ''), '\p{L}+', '', 'g') AS no_letter FROM tokens),
+parts AS (
+  SELECT *, regexp_replace(no_letter, '\p{Nd}+', '', 'g') AS no_digit,
+         length(regexp_replace(plain, '[^\p{Lu}]+', '', 'g')) AS capitals FROM chars),
+classed AS (
+  SELECT doc_id, lang, w, lines, terms, bare, plain,
+         [length(plain) - length(no_letter) - capitals, capitals, length(no_letter) - length(no_digit), length(text) - length(bare),
+          length(no_digit) - length(translate(no_digit, '.,;:!?"''()[]-', '')), length(bare) - length(plain),
+          length(translate(no_digit, '.,;:!?"''()[]-', ''))] AS classes
+  FROM parts),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS pos, w FROM classed WHERE len(w) > 5),
+grams AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, list_slice(w, pos, pos + 4)) AS n FROM windows),
+repeated AS (
+  SELECT doc_id, count(DISTINCT pos + k) AS n FROM grams, (SELECT unnest(range(0, 5)) AS k) WHERE grams.n > 1 GROUP BY doc_id),
+class_sums AS (
+  SELECT lang, i, sum(classes[i]) AS n FROM classed, (SELECT unnest(range(1, 8)) AS i) GROUP BY lang, i),
+class_shares AS (
+  SELECT lang, i, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM class_sums),
+word_counts AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(terms) AS word FROM classed) GROUP BY lang, word),
+ranked AS (
+  SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM word_counts),
+common AS (SELECT * FROM ranked WHERE rank <= 50),
+doc_words AS (
+  SELECT d.doc_id, c.q, count(*) / any_value(len_terms) AS p
+  FROM (SELECT doc_id, lang, len(terms) AS len_terms, unnest(terms) AS word FROM classed) d JOIN common c ON c.lang = d.lang AND c.word = d.word
+  GROUP BY d.doc_id, c.word, c.q),
+others AS (
+  SELECT k.doc_id, 1 - coalesce(c.q, 0) AS q, 1 - coalesce(d.p, 0) AS p
+  FROM classed k LEFT JOIN (SELECT lang, sum(q) AS q FROM common GROUP BY lang) c ON c.lang = k.lang
+  LEFT JOIN (SELECT doc_id, sum(p) AS p FROM doc_words GROUP BY doc_id) d ON d.doc_id = k.doc_id),
+word_bins AS (SELECT * FROM doc_words UNION ALL SELECT * FROM others),
+word_distance AS (
+  SELECT doc_id, 0.5 + sum(0.5 * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+                                + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) - 0.5 * q) AS d
+  FROM word_bins GROUP BY doc_id),
+class_bins AS (
+  SELECT k.doc_id, s.q, k.classes[s.i] / greatest(list_sum(k.classes), 1) AS p FROM classed k JOIN class_shares s ON s.lang = k.lang),
+class_distance AS (
+  SELECT doc_id, sum(0.5 * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+                          + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) AS d
+  FROM class_bins GROUP BY doc_id),
+counted AS (
+  SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(bare) AS BIGINT) AS word_chars,
+         CAST(length(bare) - length(plain) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed
+  FROM classed k LEFT JOIN repeated r ON r.doc_id = k.doc_id)
+SELECT c.*, NOT (c.base_failed OR (n_words >= 40 AND (sqrt(greatest(x.d, 0)) > 0.25 OR sqrt(greatest(y.d, 0)) > 0.47))) AS kept
+FROM counted c LEFT JOIN class_distance x ON x.doc_id = c.doc_id LEFT JOIN word_distance y ON y.doc_id = c.doc_id
+"""
