@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import quality, sharding
+from webloom.llm import minhash, quality, sharding
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,33 @@ counted AS (
 SELECT c.*, NOT (c.base_failed OR (n_words >= 40 AND (sqrt(greatest(x.d, 0)) > 0.25 OR sqrt(greatest(y.d, 0)) > 0.47))) AS kept
 FROM counted c LEFT JOIN class_distance x ON x.doc_id = c.doc_id LEFT JOIN word_distance y ON y.doc_id = c.doc_id
 """
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents linked by 85 percent of their three-word shingles."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
+ORACLES["op2_minhash_near_dedup"] = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                               ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) END) AS s
+    FROM tokens)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id) + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+named AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, n.component_id, d.doc_id = n.component_id AS kept
+FROM documents d JOIN named n ON n.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
