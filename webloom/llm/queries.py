@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import minhash, quality, sharding
+from webloom.llm import decontaminate, minhash, quality, sharding
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ named AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, n.component_id, d.doc_id = n.component_id AS kept
 FROM documents d JOIN named n ON n.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least 70 percent of a benchmark item, in any order of its parts."""
+    return decontaminate.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
