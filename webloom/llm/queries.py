@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, minhash, quality, sharding
+from webloom.llm import decontaminate, minhash, packing, quality, sharding
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,17 @@ FROM documents d JOIN named n ON n.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least 70 percent of a benchmark item, in any order of its parts."""
     return decontaminate.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def byte_bpe() -> tuple[str, str]:
+    """Rank file and pattern of the public byte-level vocabulary; its ids are those of byte_bpe_50k.json."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as ranks:
+        return ranks.read(), public_tokenizers.PATTERN
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.packed(packing.pieces(table(spark, folder, "documents"), *byte_bpe()))
