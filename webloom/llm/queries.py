@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, minhash, packing, quality, sharding
+from webloom.llm import chunk_dedup, decontaminate, minhash, packing, quality, sharding
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +41,7 @@ WITH base AS (
 tokens AS (
   SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-         list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"()[]', 'abcdefghijklmnopqrstuvwxyz'),
-                                           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS terms,
+         list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D.,;:!?"()\[\]]+'), lambda x: x <> '') AS terms,
          regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare
   FROM base),
 chars AS (
@@ -148,3 +147,9 @@ def byte_bpe() -> tuple[str, str]:
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.packed(packing.pieces(table(spark, folder, "documents"), *byte_bpe()))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of at least 90 bytes that several documents share."""
+    return chunk_dedup.repeated_spans(table(spark, folder, "documents"))
