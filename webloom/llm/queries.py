@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chunk_dedup, decontaminate, minhash, packing, quality, sharding
+from webloom.llm import chunk_dedup, decontaminate, lm_scoring, minhash, packing, quality, sharding
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,16 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of at least 90 bytes that several documents share."""
     return chunk_dedup.repeated_spans(table(spark, folder, "documents"))
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Lattice and base log probabilities of every document; six sevenths of the documents train."""
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    model = lm_scoring.train(
+        docs.filter(lm_scoring.remainder(7) != 2), *lm_scoring.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return lm_scoring.score(docs, model).select(
+        "doc_id", (lm_scoring.remainder(7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
