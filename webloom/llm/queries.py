@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chunk_dedup, decontaminate, lm_scoring, minhash, packing, quality, sharding
+from webloom.llm import chunk_dedup, decontaminate, lm_scoring, minhash, packing, quality, sharding, warc
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,23 @@ def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.score(docs, model).select(
         "doc_id", (lm_scoring.remainder(7) == 2).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to dictionary-compressed archives and read back."""
+    return warc.archived(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '00' AS h FROM pages),
+owned AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS owner FROM hashed)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(5 * i // 4 AS INT) + 1, 3) AS INT) >> CAST(7 - (5 * i) % 4 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM owned
+"""
