@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chunk_dedup, decontaminate, lm_scoring, minhash, packing, quality, sharding, warc
+from webloom.llm import chunk_dedup, decontaminate, line_dedup, lm_scoring, minhash, packing, quality, sharding, warc
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,39 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> owner THEN owner END AS refers_to
 FROM owned
 """
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of all documents without repeated and nearly repeated lines."""
+    return line_dedup.deduplicate(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line FROM split WHERE text IS NOT NULL),
+firsts AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines WHERE length(line) >= 20 GROUP BY line),
+same_size AS (
+  SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.n = b.n AND a.first < b.first
+   AND (substr(a.line, 1, a.n // 2) = substr(b.line, 1, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 1))
+  WHERE len(list_filter(range(1, a.n + 1), lambda i: substr(a.line, i, 1) <> substr(b.line, i, 1))) = 1),
+one_more AS (
+  SELECT s.line AS short, t.line AS long, s.first AS short_first, t.first AS long_first
+  FROM firsts s JOIN firsts t ON t.n = s.n + 1
+   AND (substr(s.line, 1, t.n // 2) = substr(t.line, 1, t.n // 2) OR substr(s.line, t.n // 2) = substr(t.line, t.n // 2 + 1))
+  WHERE len(list_filter(range(1, t.n + 1), lambda i: substr(t.line, 1, i - 1) || substr(t.line, i + 1) = s.line)) > 0),
+late AS (
+  SELECT line FROM same_size UNION SELECT long FROM one_more WHERE short_first < long_first
+  UNION SELECT short FROM one_more WHERE long_first < short_first),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line,
+         f.line IS NOT NULL AND ((l.doc_id, l.pos) <> f.first OR l.line IN (SELECT line FROM late)) AS gone
+  FROM lines l LEFT JOIN firsts f ON f.line = l.line),
+joined AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text, count(*) AS n_lines,
+         count(*) FILTER (WHERE gone) AS n_dropped FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text,
+       CAST(coalesce(j.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(j.n_dropped, 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id
+"""
