@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chunk_dedup, decontaminate, line_dedup, lm_scoring, minhash, packing, quality, sharding, warc
+from webloom.llm import chunk_dedup, decontaminate, langid, line_dedup, lm_scoring, minhash, packing, quality, sharding, warc
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,13 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') EN
        CAST(coalesce(j.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(j.n_dropped, 0) AS BIGINT) AS n_dropped
 FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id
 """
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; three quarters of the documents may train."""
+    docs = table(spark, folder, "documents")
+    held_out = lm_scoring.remainder(4) == 2
+    model = langid.train(docs.filter(~held_out))
+    return langid.tag(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", F.greatest(F.size("spans") - 1, F.lit(0)).alias("n_switches"))
