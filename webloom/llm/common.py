@@ -38,3 +38,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+
+
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, also where ``fn`` uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))

@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ASCII_LOWER, ASCII_UPPER, SPACES, stored, words
+from webloom.llm.common import SPACES, let, stored, words
 from webloom.operators.joins import lookup
 
 SYMBOLS = "#*$%&|<>"
-#: Taken off the words before they are compared with the common ones.
-MARKS = ".,;:!?\"()[]"
 PUNCTUATION = ".,;:!?\"'()[]-"
 WINDOW = 5
 
@@ -28,8 +26,7 @@ def repeated_words(tokens: Column) -> Column:
     covers the words up to the next start, five at most.
     """
     hashed = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.when(F.size(tokens) > WINDOW, F.aggregate(
-        F.array(hashed), F.lit(0), lambda acc, h: acc + _covered(_windows(h)))).otherwise(0)
+    return F.when(F.size(tokens) > WINDOW, let(hashed, lambda h: let(_windows(h), _covered))).otherwise(0)
 
 
 def _windows(h: Column) -> Column:
@@ -38,13 +35,14 @@ def _windows(h: Column) -> Column:
 
 
 def _covered(windows: Column) -> Column:
-    slow = lambda w: F.aggregate(
-        F.array(F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))), F.lit(0),
-        lambda acc, s: acc + _stretch(F.array_sort(F.transform(
-            F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])),
-            lambda x: x["i"]))))
-    return F.aggregate(F.array(windows), F.lit(0), lambda acc, w: acc + F.when(
-        F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(slow(w)))
+    placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(
+        let(placed, lambda s: let(_repeated_starts(s), _stretch)))
+
+
+def _repeated_starts(placed: Column) -> Column:
+    twice = F.filter(placed, lambda x, k: (x["h"] == F.get(placed, k - 1)["h"]) | (x["h"] == F.get(placed, k + 1)["h"]))
+    return F.array_sort(F.transform(twice, lambda x: x["i"]))
 
 
 def _stretch(starts: Column) -> Column:
@@ -54,20 +52,25 @@ def _stretch(starts: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Words in lower-case ASCII letters, without the marks."""
-    return words(F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER + MARKS, ASCII_LOWER))
+    """Lower-case words, cut at white space and marks."""
+    return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D.,;:!?\"()\\[\\]]+"), lambda w: w != "")
+
+
+def _bones(text: Column) -> Column:
+    """What small letters leave of a text: the one full pass that the character classes need."""
+    return F.regexp_replace(text, "[\\p{L}&&[^\\p{Lu}]]+", "")
 
 
-def _classes(text: Column) -> list[Column]:
+def _classes(text: Column, bones: Column) -> list[Column]:
     """Characters by class: small and other letters, capitals, digits, white space, punctuation, symbols, the rest."""
-    bare = F.translate(text, SPACES, "")
+    bare = F.translate(bones, SPACES, "")
     plain = F.translate(bare, SYMBOLS, "")
-    no_letter = F.regexp_replace(plain, "\\p{L}+", "")
+    no_letter = F.regexp_replace(plain, "\\p{Lu}+", "")
     no_digit = F.regexp_replace(no_letter, "\\p{Nd}+", "")
     rest = F.length(F.translate(no_digit, PUNCTUATION, ""))
-    capitals = F.length(F.regexp_replace(plain, "[^\\p{Lu}]+", ""))
-    return [F.length(plain) - F.length(no_letter) - capitals, capitals, F.length(no_letter) - F.length(no_digit),
-            F.length(text) - F.length(bare), F.length(no_digit) - rest, F.length(bare) - F.length(plain), rest]
+    size = F.length
+    return [size(text) - size(bones), size(plain) - size(no_letter), size(no_letter) - size(no_digit),
+            size(bones) - size(bare), size(no_digit) - rest, size(bare) - size(plain), rest]
 
 
 def language_references(docs: DataFrame, common: int = 50) -> DataFrame:
@@ -77,7 +80,8 @@ def language_references(docs: DataFrame, common: int = 50) -> DataFrame:
     Equal counts are ordered by word.
     """
     base = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    sums = base.select("lang", F.array(*_classes(F.col("text"))).alias("c")).groupBy("lang").agg(
+    boned = base.withColumn("bones", _bones(F.col("text")))
+    sums = boned.select("lang", F.array(*_classes(F.col("text"), F.col("bones"))).alias("c")).groupBy("lang").agg(
         F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(7)]).alias("classes"))
     counts = base.select("lang", F.explode(_terms(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -91,6 +95,7 @@ def language_references(docs: DataFrame, common: int = 50) -> DataFrame:
     return joined.select(
         "lang", F.transform("classes", lambda n: share(n, chars)).alias("class_shares"),
         F.coalesce(F.transform("top", lambda t: t["word"]), F.expr("cast(array() as array<string>)")).alias("common_words"),
+        F.array_max(F.transform("top", lambda t: F.length(t["word"]))).alias("longest"),
         F.concat(F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)), shares).alias("word_shares"))
 
 
@@ -102,7 +107,9 @@ def _part(p: Column, q: Column) -> Column:
 
 def assess(docs: DataFrame, common: int = 50, min_words: int = 40, max_class_distance: float = 0.25,
            max_word_distance: float = 0.47) -> DataFrame:
-    """``docs`` (doc_id, text, lang) with counts, distances, ``base_failed`` and ``kept``; other columns go.
+    """``docs`` (doc_id, text, lang) with counts, distances, ``base_failed`` and ``kept``.
+
+    The whole row stands in ``record``; other columns of ``docs`` are only there.
 
     Null and empty texts have no words and fail the base rules. A null language is a
     language of its own. Repeated rows are judged one by one, an empty table gives none.
@@ -110,21 +117,21 @@ def assess(docs: DataFrame, common: int = 50, min_words: int = 40, max_class_dis
     rejected if either exceeds its bound.
     """
     references = stored(language_references(docs, common), "references")
-    base = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.struct("*").alias("record"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found = (
         base.withColumn("tokens", words(F.col("text")))
-        .withColumn("classes", F.array(*_classes(F.col("text"))))
-        .withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != ""))
+        .withColumn("bones", _bones(F.col("text")))
+        .withColumn("classes", F.array(*_classes(F.col("text"), F.col("bones"))))
+        .withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
         .select(
-            "doc_id", "lang", "classes", F.size("tokens").cast("long").alias("n_words"),
+            "record", "doc_id", "lang", "classes", F.size("tokens").cast("long").alias("n_words"),
             (F.length("text") - F.get("classes", F.lit(3))).cast("long").alias("word_chars"),
             F.get("classes", F.lit(5)).cast("long").alias("n_symbols"),
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("tokens")).cast("long").alias("n_repeat_words"),
             _terms(F.col("text")).alias("terms")))
     joined = lookup(found, references, "lang", "left", spread_on="doc_id")
-    longest = F.array_max(F.transform("common_words", lambda w: F.length(w)))
-    joined = joined.withColumn("longest", longest).withColumn("places", F.array_sort(F.filter(F.transform(
+    joined = joined.withColumn("places", F.array_sort(F.filter(F.transform(
         F.filter("terms", lambda t: F.length(t) <= F.col("longest")),
         lambda t: F.array_position(F.col("common_words"), t)), lambda i: i > 0)))
     # Sorted places: each run of equal ones is a bin.
@@ -139,13 +146,21 @@ def assess(docs: DataFrame, common: int = 50, min_words: int = 40, max_class_dis
     share_of = lambda b: F.get("word_shares", b["at"].cast("int"))
     word = F.lit(0.5) + F.aggregate(bins, F.lit(0.0), lambda acc, b: acc + _part(b["p"], share_of(b)) - 0.5 * share_of(b))
     chars = F.greatest(F.aggregate("classes", F.lit(0), lambda a, b: a + b), F.lit(1)).cast("double")
-    char = F.aggregate(F.zip_with("classes", "class_shares", lambda c, q: _part(c / chars, q)), F.lit(0.0), lambda a, b: a + b)
+    char = let(chars, lambda total: F.aggregate(
+        F.zip_with("classes", "class_shares", lambda c, q: _part(c / total, q)), F.lit(0.0), lambda a, b: a + b))
     judged = F.col("n_words") >= min_words
     distance = lambda d: F.when(judged, F.sqrt(F.greatest(d, F.lit(0.0))))
     result = joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "record", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         distance(char).alias("class_distance"), distance(word).alias("word_distance"),
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"))
     far = lambda name, most: F.coalesce(F.col(name) > most, F.lit(False))
     return result.withColumn("kept", ~(
         F.col("base_failed") | far("class_distance", max_class_distance) | far("word_distance", max_word_distance)))
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns."""
+    # A filter on a generated column stays above it; pushed down it would compute the verdict several times over.
+    judged = assess(docs).select("record", F.explode(F.array("kept")).alias("passed"))
+    return judged.filter("passed").select("record.*")

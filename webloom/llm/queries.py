@@ -32,7 +32,7 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rules and the verdict of the distribution divergence for every document."""
-    return quality.assess(table(spark, folder, "documents")).drop("class_distance", "word_distance")
+    return quality.assess(table(spark, folder, "documents")).drop("record", "class_distance", "word_distance")
 
 
 ORACLES["op10_quality_rules"] = r"""
