@@ -99,18 +99,18 @@ def read_archive(stream) -> Iterator[bytes]:
     known = {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
     decompressor = zstandard.ZstdDecompressor(**known)
     held = b""
-    frame, parts = decompressor.decompressobj(), []
+    frame, parts, begun = decompressor.decompressobj(), [], False
     while True:
         held = held or stream.read(READ_BYTES)
         if not held:
             break
         parts.append(frame.decompress(held))
-        held = b""
+        held, begun = b"", True
         if frame.eof:
             yield b"".join(parts)
             held = frame.unused_data
-            frame, parts = decompressor.decompressobj(), []
-    if any(parts):
+            frame, parts, begun = decompressor.decompressobj(), [], False
+    if begun:
         raise ValueError("the archive ends inside a record")
 
 
