@@ -91,3 +91,55 @@ def test_xpath_items(trees):
 def test_allow_list(trees):
     clean = P.sanitize_html(trees, {"p": ("class",), "b": ()}).first()["clean"]
     assert '<p>Onetwo</p><p class="x">Three <b>bold</b></p>' in clean and "<a" not in clean
+
+
+def test_links_in_every_attribute_form(spark):
+    from webloom.operators import links
+
+    html = ("<a href='/x'>1</a><a href=/y class=q>2</a><A HREF = \"/z\">3</A><a data-href=\"/no\" title='a > b' href=\"/w&eacute;?a=1&amp;b=&#233;&#x1F600;&nope;\">"
+            "4</a><a name=top>5</a><a href>6</a><abbr href='/no'>7</abbr><a title=\"href='/no'\" href=/v/>8</a><!-- <a href='/c'> --><a href=\"/unclosed>")
+    pages = spark.createDataFrame([(1, "http://h.org/p", html), (2, "http://h.org/q", "<base href='/b/'><a href=r>" + "<a x" * 2000)], "page_id long, url string, html string")
+    got = [(r["page_id"], r["href"]) for r in links.raw_links(pages).orderBy("page_id", "pos").collect()]
+    assert got == [(1, "/x"), (1, "/y"), (1, "/z"), (1, "/wé?a=1&b=é😀&nope;"), (1, ""), (1, "/v/"), (2, "r")]
+    assert [r["link"] for r in links.raw_links(pages.filter("page_id = 2")).collect()] == ["http://h.org/b/r"]
+
+
+def test_links_equal_those_of_the_page_tree(spark):
+    from pyspark.sql import functions as F
+
+    from tests.conftest import FOLDER
+    from webloom.operators import links, nodes
+    from webloom.plans.registry import Tables
+    from webloom.plans.url_plans import mixed
+
+    pages = mixed(Tables(spark, FOLDER)).filter("page_id < 40")
+    anchors = nodes.node_rows(nodes.page_nodes(pages)).filter("tag = 'a'").select("page_id", F.try_element_at("attrs", F.lit("href")).alias("href")).filter("href is not null")
+    count = lambda df: sorted(map(tuple, df.groupBy("page_id", "href").count().collect()))
+    assert count(anchors) == count(links.raw_links(pages).select("page_id", "href"))
+
+
+def test_broken_links_meet_in_canonical_form(spark):
+    from webloom.operators import links
+
+    pages = spark.createDataFrame([(1, "http://h.org/p", "<a href='HTTP://h.org/a'></a><a href=/b#x><a href=/c>")], "page_id long, url string, html string")
+    answers = spark.createDataFrame([("http://H.org:80/b", 200), ("http://h.org/c", 404)], "url string, status int")
+    got = {r["link"]: r["status"] for r in links.broken_links(pages, answers).collect()}
+    assert got["http://h.org/c"] == 404 and "http://h.org/b" not in got
+
+
+def test_names_must_not_be_blank(spark):
+    import pytest
+
+    from webloom.operators import links
+
+    known, fresh = (spark.createDataFrame(rows, "name string") for rows in ([("A",)], [("a",), (" ",)]))
+    with pytest.raises(Exception, match="a row has no name"):
+        links.upsert_dimension(known, fresh, "name").collect()
+
+
+def test_status_map_has_every_status(spark):
+    from webloom.operators import fetchlog
+
+    log = spark.createDataFrame([(1, k, k, s) for k, s in enumerate([200, 404, 403, 200, 599])], "site int, event_id long, ended long, status int")
+    last = fetchlog.running_status_map(log).orderBy("ended").collect()[-1]
+    assert last["requests_by_status"] == {200: 2, 404: 1, 403: 1, 599: 1}

@@ -79,6 +79,16 @@ def normalize_url(url: Column) -> tuple[Column, Column]:
     return F.when(error.isNull(), result), error
 
 
+def canonical(url: Column) -> Column:
+    """Scheme and host in lower case, no default port, no fragment, ``/`` for an empty path; other texts as they are."""
+    pattern = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^#]*)(?:#.*)?$"
+    kind, place, rest = (F.regexp_extract(url, pattern, k) for k in (1, 2, 3))
+    kind, place = F.lower(kind), F.lower(place)
+    port = F.when(kind == "http", r":(80)?$").when(kind == "https", r":(443)?$").otherwise(r":$")
+    tail = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(url.rlike(pattern), F.concat(kind, F.lit("://"), F.regexp_replace(place, port, F.lit("")), tail)).otherwise(url)
+
+
 def link_base(root: Column, base_tag: Column) -> Column:
     """What relative links are appended to: the base tag, or the root of the host."""
     return (

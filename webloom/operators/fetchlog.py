@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from webloom.operators.ordered import running
 
-STATUSES = (0, 200, 301, 500)
-
-
 def fetch_log(events: DataFrame) -> DataFrame:
     """The events table read as a fetch log."""
     k = F.get_json_object("props", "$.k").cast("int")
     ended = F.unix_micros(F.col("ts").cast("timestamp"))
     status = (
         F.when((F.col("event_type") == "error") & (k < 10), 0)
+        .when((F.col("event_type") == "error") & (k < 30), 404)
+        .when((F.col("event_type") == "error") & (k < 50), 403)
         .when(F.col("event_type") == "error", 500)
         .when(F.col("event_type") == "signup", 301)
         .otherwise(200))
@@ -88,11 +87,19 @@ def running_snapshots(log: DataFrame) -> DataFrame:
         rate(F.col("requests"), F.col("first_start"), F.col("last_end")).alias("per_second"))
 
 
-def running_status_counts(log: DataFrame, statuses: tuple[int, ...] = STATUSES) -> DataFrame:
-    """Requests per status so far, at every fetch of a site."""
-    return running(
-        log.select("site", "event_id", "ended", "status"), ["ended", "event_id"],
-        {f"n_{s}": ("sum", (F.col("status") == s).cast("bigint")) for s in statuses}, by=["site"])
+def running_status_map(log: DataFrame) -> DataFrame:
+    """Requests so far by status, as a map, at every fetch of a site.
+
+    The statuses are those that the log holds, found in one pass; a site's map has the
+    statuses it has met by then. A null status is counted under -1.
+    """
+    log = log.select("site", "event_id", "ended", "status", F.coalesce("status", F.lit(-1)).alias("_met"))
+    statuses = sorted(r["_met"] for r in log.select("_met").distinct().collect())
+    counted = running(log, ["ended", "event_id"], {
+        f"_n_{k}": ("sum", (F.col("_met") == status).cast("bigint")) for k, status in enumerate(statuses)}, by=["site"])
+    entries = F.array(*[F.struct(F.lit(status).alias("status"), F.col(f"_n_{k}").alias("n")) for k, status in enumerate(statuses)])
+    met = F.map_from_entries(F.filter(entries, lambda e: e["n"] > 0)) if statuses else F.expr("cast(map() as map<int, bigint>)")
+    return counted.select("site", "event_id", "ended", "status", met.alias("requests_by_status"))
 
 
 def latest_messages(messages: DataFrame, n: int, order: list[str], text: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,30 @@ from webloom.functions import urls as U
 from webloom.functions.vectors import bind
 from webloom.session import checkpoint
 
-HREF = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
-BASE = r"(?i)<base\s[^>]*?href=\"([^\"]*)\""
+#: The attributes of a tag: quoted values may hold ``>``. All repetitions are possessive, so no text makes them backtrack.
+TAG = r"(?i)<{}(?=[\s/])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++"
+#: The first attribute of that very name; its value is double-quoted, single-quoted, bare or missing.
+HREF = (r"(?i)^[\s/]*+(?:(?!href(?:[\s=/]|$))[^\s=/]++(?:\s*+=\s*+(?:" + VALUE + r"))?+[\s/]*+)*+"
+        r"href(?=[\s=/]|$)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 SCRIPT_OR_COMMENT = r"(?is)<script\b.*?</script>|<!--.*?-->"
 
 
+def href_of(attributes: Column) -> Column:
+    """Value of ``href`` among a tag's attributes; NULL without one."""
+    value = F.concat(*[F.regexp_extract(attributes, HREF, k) for k in (1, 2, 3)])
+    return F.when(attributes.rlike(HREF), unescape(value))
+
+
 def found_links() -> Column:
     """The page's links as an array of (href, link). The page is searched once for its links
     and once for its base; both results are bound before the links are resolved."""
     def resolved(body: Column) -> Column:
-        hrefs = F.transform(F.regexp_extract_all(body, F.lit(HREF), F.lit(1)), unescape)
+        tags = F.regexp_extract_all(body, F.lit(TAG.format("a")), F.lit(1))
+        hrefs = F.filter(F.transform(tags, href_of), lambda h: h.isNotNull())
         root = U.site_root(F.col("url"))
-        page = F.struct(root.alias("root"), U.link_base(root, F.regexp_extract(body, BASE, 1)).alias("base"))
+        base = F.coalesce(href_of(F.regexp_extract(body, TAG.format("base"), 1)), F.lit(""))
+        page = F.struct(root.alias("root"), U.link_base(root, base).alias("base"))
         return bind(page, lambda p: F.transform(hrefs, lambda h: F.struct(h.alias("href"), U.absolute(p["root"], p["base"], h).alias("link"))))
 
     return bind(F.regexp_replace("html", SCRIPT_OR_COMMENT, ""), resolved)
@@ -41,11 +55,25 @@ def internal_links(pages: DataFrame) -> Column:
     return bind(U.authority(F.col("url")), lambda own: F.filter(resolved_links(), lambda link: U.authority(link) == own))
 
 
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
 def unescape(text: Column) -> Column:
-    """The entities that occur in attribute values."""
-    for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named, decimal and hexadecimal entities as characters; texts without an ampersand pass at once."""
+    names = F.create_map(*[F.lit(x) for item in NAMED.items() for x in item])
+
+    def piece(part: Column) -> Column:
+        code = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        rest = F.substring(part, F.length(code) + 2, F.length(part))
+        number = F.when(code.rlike("^#[xX]"), F.conv(F.substring(code, F.lit(3), F.lit(6)), 16, 10)).otherwise(F.substring(code, F.lit(2), F.lit(7))).cast("bigint")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+        found = F.when(code.startswith("#"), char).when(code != "", F.element_at(names, code))
+        return F.when(found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&", -1)
+    decoded = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(piece(part)))
+    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -87,9 +115,16 @@ def link_graph(pages: DataFrame) -> DataFrame:
         (F.max("fetched") == 1).alias("fetched"), F.sum("into").alias("in_degree"), F.sum("out").alias("out_degree"))
 
 
-def broken_links(pages: DataFrame) -> DataFrame:
-    """Linked URLs that were never fetched, with the number of links to them."""
-    return link_graph(pages).filter("not fetched").select(F.col("url").alias("link"), "in_degree")
+def broken_links(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Linked URLs that were never fetched or answered with status 400 and up, with the links to them.
+
+    URLs meet in canonical form, so ``HTTP://H:80/a#x`` and ``http://h/a`` are one. ``answers``
+    holds url and status; a URL counts as broken if its worst answer is, or if it has none.
+    """
+    normal = lambda c: U.canonical(F.col(c)).alias("link")
+    links = pages.select(F.explode(internal_links(pages)).alias("to")).select(normal("to")).groupBy("link").agg(F.count("*").alias("in_degree"))
+    known = answers.select(normal("url"), "status").groupBy("link").agg(F.max("status").alias("status"))
+    return links.join(known, "link", "left").filter("status is null or status >= 400").select("link", "in_degree", "status")
 
 
 def new_urls(found: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
@@ -129,10 +164,11 @@ def site_dimension(pages: DataFrame) -> DataFrame:
 
 
 def upsert_dimension(dimension: DataFrame, incoming: DataFrame, name: str) -> DataFrame:
-    """Dimension plus the incoming names it lacks, compared without case."""
-    key = F.lower(F.trim(F.col(name)))
+    """Dimension plus the incoming names it lacks, compared without case; a name that is null or blank is an error."""
+    blank = F.coalesce(F.trim(F.col(name)), F.lit("")) == ""
+    key = F.when(blank, F.raise_error(F.lit(f"a row has no {name}"))).otherwise(F.lower(F.trim(F.col(name))))
     fresh = (
-        incoming.withColumn("_key", key).filter(F.col("_key") != "")
+        incoming.withColumn("_key", key)
         .groupBy("_key").agg(F.min(name).alias(name))
         .join(dimension.select(key.alias("_key")), "_key", "left_anti").drop("_key"))
     return dimension.select(name).unionByName(fresh)

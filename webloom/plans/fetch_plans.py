@@ -7,7 +7,9 @@ from webloom.operators.ordered import ordinal, running, runs, split_on_marker
 from webloom.plans.registry import query
 
 LOG = """log as (select user_id % 10 as site, event_id, epoch_us(ts) - cast(floor(value * 1000) as bigint) as started, epoch_us(ts) as ended,
-  case when event_type = 'error' and cast(json_extract(props, '$.k') as int) < 10 then 0 when event_type = 'error' then 500
+  case when event_type = 'error' and cast(json_extract(props, '$.k') as int) < 10 then 0
+       when event_type = 'error' and cast(json_extract(props, '$.k') as int) < 30 then 404
+       when event_type = 'error' and cast(json_extract(props, '$.k') as int) < 50 then 403 when event_type = 'error' then 500
        when event_type = 'signup' then 301 else 200 end as status,
   cast(floor(value * 100) as bigint) as size, event_type as content_type from events)"""
 SUMMARY = """count(*) as requests, count(*) filter (status between 200 and 399) as successes,
@@ -58,11 +60,14 @@ def running_snapshots(t):
     return L.running_snapshots(L.fetch_log(t.events)).withColumn("per_second", F.round("per_second", 6))
 
 
-@query("running_status_map", f"""with {LOG} select site, event_id, ended, status, count(*) filter (status = 0) over w as n_0,
-  count(*) filter (status = 200) over w as n_200, count(*) filter (status = 301) over w as n_301, count(*) filter (status = 500) over w as n_500
-  from log window w as (partition by site order by ended, event_id rows unbounded preceding)""")
+@query("running_status_map", f"""with {LOG}, met as (select site, event_id, ended, status, list(status) over (partition by site order by ended, event_id
+    rows unbounded preceding) as l from log)
+  select site, event_id, ended, status, array_to_string(list_transform(list_sort(list_distinct(l)),
+    lambda s: s || ':' || len(list_filter(l, lambda x: x = s))), ' ') as requests_by_status from met""")
 def running_status_map(t):
-    return L.running_status_counts(L.fetch_log(t.events))
+    entry = lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("requests_by_status")), entry), " ")
+    return L.running_status_map(L.fetch_log(t.events)).withColumn("requests_by_status", told)
 
 
 @query("elapsed_since_first", f"with {LOG} select event_id, ended - (select min(ended) from log) as elapsed from log")

@@ -10,21 +10,35 @@ from webloom.plans.registry import query
 
 AUTH = r"regexp_extract({}, '^[a-z]+://([^/?#]*)', 1)"
 ROOT = r"regexp_extract({}, '^[a-z]+://[^/?#]*')"
-LINKS = rf"""raw as (select page_id, url, generate_subscripts(h, 1) - 1 as pos, unnest(h) as href from (select page_id, url,
-   regexp_extract_all(regexp_replace(html, '(?is)<script\b.*?</script>|<!--.*?-->', '', 'g'), '(?i)<a\s[^>]*?href="([^"]*)"', 1) as h from pages)),
+# Tags first, then their attributes one by one: not the way the job reads them.
+LINKS = rf"""tags as (select page_id, url, unnest(x) as tag, generate_subscripts(x, 1) as n from (select page_id, url,
+   regexp_extract_all(regexp_replace(html, '(?is)<script\b.*?</script>|<!--.*?-->', '', 'g'), '(?i)<a[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>') as x from pages)),
+ attrs as (select page_id, url, n, list_filter(regexp_extract_all(tag[3:len(tag) - 1], '[^\s=/"'']+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"'']+))?'),
+   lambda x: lower(regexp_extract(x, '^[^\s=]+')) = 'href')[1] as attr from tags),
+ raw as (select page_id, url, row_number() over (partition by page_id order by n) - 1 as pos,
+   trim(regexp_replace(attr, '(?i)^href\s*=?\s*', ''), chr(34) || chr(39)) as href from attrs where attr is not null),
  links as (select page_id, url, pos, href, regexp_replace(case when starts_with(href, '/') then {ROOT.format('url')} || href
    when starts_with(href, 'http://') or starts_with(href, 'https://') then href
-   else {ROOT.format('url')} || '/' || href end, '#.*$', '') as link from (select page_id, url, pos, replace(href, '&amp;', '&') as href from raw)),
+   else {ROOT.format('url')} || '/' || href end, '#.*$', '') as link
+   from (select page_id, url, pos, replace(replace(replace(replace(href, '&eacute;', chr(233)), '&#233;', chr(233)), '&#xE9;', chr(233)), '&amp;', '&') as href from raw)),
  internal as (select * from links where {AUTH.format('link')} = {AUTH.format('url')})"""
-# The generated pages link to their own host only. This view sends a third of the links elsewhere.
-MIXED = "replace(replace(html, '<a href=\"/e', '<a href=\"http://other.example.org/e'), '<a href=\"/t', '<a href=\"javascript:t')"
-MIXED_LINKS = LINKS.replace("replace(html,", f"replace({MIXED},", 1)
+# The generated pages quote their links doubly and link to their own host only. This view sends a third of the links
+# elsewhere, quotes singly or not at all, adds other attributes and writes letters as entities.
+MIXED = """replace(replace(case page_id % 4 when 1 then replace(html, '<a href="', '<a data-href="/no" title=''a > b'' HREF = "')
+  when 2 then regexp_replace(html, '<a href="([^"]*)"', '<a class=x href=''\\1&eacute;?a=1&amp;b=&#233;&#xE9;''', 'g')
+  when 3 then regexp_replace(html, '<a href="([^"\\s]*)"', '<a href=\\1 hreflang=en', 'g') else html end,
+  '<a href="/e', '<a href="http://other.example.org/e'), '<a href="/t', '<a href="javascript:t')"""
+MIXED_LINKS = LINKS.replace("regexp_replace(html,", f"regexp_replace({MIXED},", 1)
 
 
 def mixed(t):
-    html = F.replace(F.replace("html", F.lit('<a href="/e'), F.lit('<a href="http://other.example.org/e')),
-                     F.lit('<a href="/t'), F.lit('<a href="javascript:t'))
-    return t.pages.withColumn("html", html)
+    form, html = F.col("page_id") % 4, F.col("html")
+    shaped = (F.when(form == 1, F.replace(html, F.lit('<a href="'), F.lit("<a data-href=\"/no\" title='a > b' HREF = \"")))
+              .when(form == 2, F.regexp_replace(html, '<a href="([^"]*)"', "<a class=x href='$1&eacute;?a=1&amp;b=&#233;&#xE9;'"))
+              .when(form == 3, F.regexp_replace(html, r'<a href="([^"\s]*)"', "<a href=$1 hreflang=en")).otherwise(html))
+    shaped = F.replace(F.replace(shaped, F.lit('<a href="/e'), F.lit('<a href="http://other.example.org/e')),
+                       F.lit('<a href="/t'), F.lit('<a href="javascript:t'))
+    return t.pages.withColumn("html", shaped)
 
 
 @query("normalize_url", rf"""
@@ -148,18 +162,26 @@ def html_only(t):
         F.col("content_type").startswith("text/html")).select("page_id", F.length("html").cast("bigint").alias("size"))
 
 
-@query("link_graph", f"""with {LINKS}, o as (select url, count(*) as out_degree from internal group by url),
+@query("link_graph", f"""with {MIXED_LINKS}, o as (select url, count(*) as out_degree from internal group by url),
   i as (select link as url, count(*) as in_degree from internal group by link), p as (select distinct url, true as fetched from pages)
   select coalesce(p.url, i.url) as url, coalesce(fetched, false) as fetched, coalesce(in_degree, 0) as in_degree, coalesce(out_degree, 0) as out_degree
   from p left join o on p.url = o.url full join i on p.url = i.url""")
 def link_graph(t):
-    return K.link_graph(t.pages)
+    return K.link_graph(mixed(t))
 
 
-@query("broken_links", f"""with {LINKS} select link, count(*) as in_degree from internal
-   where link not in (select url from pages) group by link""")
+# Fetches answer 404 or 500 now and then; links are compared in canonical form.
+CANON = r"""regexp_replace(lower(regexp_extract({0}, '^[a-zA-Z]+://[^/?#]*')), ':(80)?$', '') || case when starts_with(regexp_extract({0}, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1), '/')
+  then '' else '/' end || regexp_extract({0}, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1)"""
+
+
+@query("broken_links", f"""with {MIXED_LINKS}, a as (select {CANON.format('url')} as link,
+    max(case when page_id % 7 = 0 then 404 when page_id % 11 = 0 then 500 else 200 end) as status from pages group by all),
+  l as (select {CANON.format('link')} as link, count(*) as in_degree from internal group by all)
+  select link, in_degree, status from l left join a using (link) where status is null or status >= 400""")
 def broken_links(t):
-    return K.broken_links(t.pages)
+    status = F.when(F.col("page_id") % 7 == 0, 404).when(F.col("page_id") % 11 == 0, 500).otherwise(200)
+    return K.broken_links(mixed(t), t.pages.select("url", status.alias("status")))
 
 
 @query("new_urls", f"with {LINKS} select distinct link as url from internal where link not in (select url from pages where page_id % 2 = 0)")
