@@ -143,3 +143,39 @@ def test_status_map_has_every_status(spark):
     log = spark.createDataFrame([(1, k, k, s) for k, s in enumerate([200, 404, 403, 200, 599])], "site int, event_id long, ended long, status int")
     last = fetchlog.running_status_map(log).orderBy("ended").collect()[-1]
     assert last["requests_by_status"] == {200: 2, 404: 1, 403: 1, 599: 1}
+
+
+SELECTED = ("<div id=top class='a b'><ul><li>1</li><li class=x>2</li><li class=x>3</li><li>4</li></ul><p>one</p><p title='a,b]'>two <b>bold</b></p>"
+            "<table><tr><td>11</td><td>12</td></tr><tr><td>21</td><td class=x>22</td></tr></table><h2>h</h2><p>three</p></div>")
+
+
+def test_selectors_with_positions_and_siblings(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from webloom.operators import nodes
+    from webloom.operators.select import follow, select, xpath
+
+    trees = nodes.page_nodes(spark.createDataFrame([(1, "u", SELECTED)], "page_id long, url string, html string"))
+    told = lambda places: F.transform(places, lambda p: nodes.text_of(F.col("nodes"), p["node"], p["end_node"]))
+    wanted = {
+        "li:nth-child(2)": ["2"], "li:first-child": ["1"], "li:last-child": ["4"], "li:nth-child(odd)": ["1", "3"], "li:nth-child(-n+2)": ["1", "2"],
+        "li:not(.x)": ["1", "4"], "li.x + li": ["3", "4"], "li.x ~ li": ["3", "4"], "ul + p": ["one"], "ul ~ p": ["one", "two bold", "three"],
+        "p:nth-of-type(2)": ["two bold"], "p:nth-last-of-type(1)": ["three"], "p[title='a,b]'], h2": ["two bold", "h"], "td:nth-child(2)": ["12", "22"],
+        "div.a.b > h2": ["h"], "p:nth-child(2)": ["one"], "#top p:not([title]):not(:first-child)": ["one", "three"],
+    }
+    paths = {
+        "//td[2]": ["12", "22"], "//tr/td[1]": ["11", "21"], "//li[last()]": ["4"], "//li[@class='x'][2]": ["3"], "//li[@class='x'][last()]": ["3"],
+        "//p[contains(@title, 'b]')]": ["two bold"], "//p[contains(., 'bold')]": ["two bold"], "//p[contains(text(), 'bold')]": [],
+        "//li[text()='3']": ["3"], "//li[not(@class)]": ["1", "4"], "//*[starts-with(@id, 'to')]/h2": ["h"], "/div/p[3]": ["three"], "//li[2][@class]": ["2"],
+        "//li[@class][1]": ["2"],
+    }
+    row = trees.select(*[told(select(F.col("nodes"), s)).alias(s.replace(".", "_").replace("`", "")) for s in wanted],
+                       *[told(follow(F.col("nodes"), xpath(p)[0])).alias(p.replace(".", "_")) for p in paths]).first()
+    assert {s: row[s.replace(".", "_")] for s in wanted} == wanted
+    assert {p: row[p.replace(".", "_")] for p in paths} == paths
+    for bad in ("li:hover", "li >", "", "li:nth-child(x)"):
+        with pytest.raises(ValueError):
+            select(F.col("nodes"), bad)
+    with pytest.raises(ValueError):
+        xpath("//li[foo()]")

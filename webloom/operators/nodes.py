@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 TEXT = "[T]"
 BACKTRACK = 20
 NODE = ("struct<node: int, end_node: int, parent: int, depth: int, child_ix: int, tag: string, classes: array<string>, "
-        "attrs: map<string, string>, text: string, inner_from: int, inner_to: int, path: array<int>, tag_path: string>")
+        "attrs: map<string, string>, text: string, inner_from: int, inner_to: int, path: array<int>, tag_path: string, "
+        "element_ix: int, n_elements: int, tag_ix: int, n_same_tag: int>")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|[^<]+|<", re.S)
@@ -29,7 +30,9 @@ _RAW = ("script", "style")
 def parse_page(body: str) -> list[dict]:
     """Nodes of one page. A closing tag ends the nearest open tag of its name among the last
     twenty; tags that are never closed have no descendants; blank text is no node."""
-    nodes, stack, at, size = [], [], 0, len(body)
+    nodes, at, size = [], 0, len(body)
+    chain: list[int] = []  # elements still open, outermost first
+    depths: dict[str, list[int]] = {}  # where the open elements of a name stand in the chain
     while at < size:
         token = _TOKEN.match(body, at)
         at, name = token.end(), token.group(2)
@@ -40,12 +43,14 @@ def parse_page(body: str) -> list[dict]:
             continue
         name = name.lower()
         if token.group(1):
-            for back in range(1, min(BACKTRACK, len(stack)) + 1):
-                if nodes[stack[-back]]["tag"] == name:
-                    opened = nodes[stack[-back]]
-                    opened["end"], opened["span"] = len(nodes), (opened["span"][0], token.start())
-                    del stack[-back:]
-                    break
+            own = depths.get(name)
+            if own and len(chain) - own[-1] <= BACKTRACK:
+                depth = own[-1]
+                ended = nodes[chain[depth]]
+                ended.update(end=len(nodes), span=(ended["span"][0], token.start()))
+                for left in chain[depth:]:
+                    depths[nodes[left]["tag"]].pop()
+                chain = chain[:depth]
             continue
         attributes = {}
         for found in _ATTRIBUTE.finditer(token.group(3)):
@@ -53,11 +58,12 @@ def parse_page(body: str) -> list[dict]:
         nodes.append({"tag": name, "attrs": list(attributes.items()), "classes": sorted(set(attributes.get("class", "").split())),
                       "text": None, "span": (at, at)})
         if not token.group(3).rstrip().endswith("/"):
-            stack.append(len(nodes) - 1)
+            depths.setdefault(name, []).append(len(chain))
+            chain.append(len(nodes) - 1)
             if name in _RAW:
                 closing = re.compile(f"</{name}", re.I).search(body, at)
                 at = closing.start() if closing else size
-    open_nodes, children = [], {}
+    open_nodes, children, elements = [], {}, {}
     for i, node in enumerate(nodes):
         while open_nodes and nodes[open_nodes[-1]]["end_node"] <= i:
             open_nodes.pop()
@@ -66,13 +72,22 @@ def parse_page(body: str) -> list[dict]:
         node.update(node=i, end_node=max(i + 1, node.get("end", i)), parent=parent, depth=len(open_nodes), child_ix=children.get(parent, 0),
                     inner_from=node["span"][0], inner_to=node["span"][1], path=up["path"] + [i], tag_path=f"{up['tag_path']}/{node['tag']}")
         children[parent] = children.get(parent, 0) + 1
+        if node["tag"] != TEXT:
+            for kind, among in (("element_ix", (parent, "*")), ("tag_ix", (parent, node["tag"]))):
+                node[kind] = elements.get(among, 0)
+                elements[among] = node[kind] + 1
         if node["end_node"] > i + 1:
             open_nodes.append(i)
+    for node in nodes:
+        node["n_elements"], node["n_same_tag"] = (elements.get((node["parent"], name)) for name in ("*", node["tag"]))
     return nodes
 
 
-_FIELDS = ("node", "end_node", "parent", "depth", "child_ix", "tag", "classes", "attrs", "text", "inner_from", "inner_to", "path", "tag_path")
-_INTS = {"node", "end_node", "parent", "depth", "child_ix", "inner_from", "inner_to"}
+_FIELDS = ("node", "end_node", "parent", "depth", "child_ix", "tag", "classes", "attrs", "text", "inner_from", "inner_to", "path", "tag_path",
+           "element_ix", "n_elements", "tag_ix", "n_same_tag")
+_INTS = {"node", "end_node", "parent", "depth", "child_ix", "inner_from", "inner_to", "element_ix", "n_elements", "tag_ix", "n_same_tag"}
+#: Characters of HTML whose nodes a worker holds at a time, but for a single larger page.
+_HELD = 1 << 20
 _TYPES = {"classes": pa.list_(pa.string()), "attrs": pa.map_(pa.string(), pa.string()), "path": pa.list_(pa.int32())}
 _STRUCT = pa.struct([(f, pa.int32() if f in _INTS else _TYPES.get(f, pa.string())) for f in _FIELDS])
 
@@ -83,8 +98,15 @@ def page_nodes(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) ->
 
     def read(batches):
         for batch in batches:
-            parsed = [[{f: n[f] for f in _FIELDS} for n in parse_page(body or "")] for body in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parsed, pa.list_(_STRUCT))], [*batch.schema.names, "nodes"])
+            start, held, parsed = 0, 0, []
+            for row in range(batch.num_rows):
+                body = batch.column("html")[row].as_py() or ""
+                parsed.append([{f: n.get(f) for f in _FIELDS} for n in parse_page(body)])
+                held += len(body)
+                if held >= _HELD or row == batch.num_rows - 1:
+                    part = batch.slice(start, row + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(parsed, pa.list_(_STRUCT))], [*part.schema.names, "nodes"])
+                    start, held, parsed = row + 1, 0, []
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in selected.schema) + f", nodes array<{NODE}>"
     return selected.mapInArrow(read, schema)

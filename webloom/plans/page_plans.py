@@ -133,9 +133,12 @@ UNESC = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'),
 
 @query("select_css", tree_sql("""select t.page_id, t.node, 'nav > ul a[href^="/e"]' as selector from tree t join rel using (page_id, node) join tree a on a.page_id = t.page_id and a.node = rel.anc
    join tree n on n.page_id = t.page_id and n.node = a.parent where t.tag = 'a' and contains(t.tok, 'href="/e') and a.tag = 'ul' and n.tag = 'nav'
-  union all select page_id, node, 'div.ad, h1' from tree where tag = 'h1' or (tag = 'div' and contains(tok, 'class="ad"'))"""))
+  union all select page_id, node, 'div.ad, h1' from tree where tag = 'h1' or (tag = 'div' and contains(tok, 'class="ad"'))
+  union all select page_id, node, 'li:nth-child(2):not([class])' from (select *, row_number() over (partition by page_id, parent order by node) as k from tree where tag <> '[T]')
+    where tag = 'li' and k = 2 and not contains(tok, 'class=')
+  union all select page_id, node, 'h1 ~ p' from tree t where tag = 'p' and exists (select 1 from tree h where h.page_id = t.page_id and h.parent = t.parent and h.tag = 'h1' and h.node < t.node)"""))
 def select_css(t):
-    found = [(s, select(F.col("nodes"), s)) for s in ('nav > ul a[href^="/e"]', "div.ad, h1")]
+    found = [(s, select(F.col("nodes"), s)) for s in ('nav > ul a[href^="/e"]', "div.ad, h1", "li:nth-child(2):not([class])", "h1 ~ p")]
     named = lambda places, s: F.transform(places, lambda p: F.struct(p["node"].alias("node"), F.lit(s).alias("selector")))
     return trees(t).select("page_id", F.inline(F.flatten(F.array(*[named(places, s) for s, places in found]))))
 
@@ -180,7 +183,7 @@ def css_block(t):
 
 @query("xpath_block", rf"with {NAV} select page_id, record::int as record, nullif({UNESC.format('title')}, '') as name, {UNESC.format('href')} as url from li")
 def xpath_block(t):
-    return E.xpath_block(trees(t), "//nav/ul/li", {"name": "/a/text()", "url": "//a"})
+    return E.xpath_block(trees(t), "//nav[last()]/ul[1]/li[not(@class)]", {"name": "/a[last()]/text()", "url": "//a[contains(@href, '/')][1]"})
 
 
 @query("multi_block_union", rf"""with {NAV} select page_id, 'nav' as block, record::int as record, {UNESC.format('title')} as title, null::varchar as advert from li where title <> ''
