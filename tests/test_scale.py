@@ -140,3 +140,12 @@ def test_duplicate_pages_are_mined_alike(spark):
     got = mining.cluster_subtrees(mining.node_shapes(P.page_nodes(pages))).drop("path").collect()
     by_page = lambda p: {tuple(r)[1:] for r in got if r["page_id"] == p}
     assert by_page(1) == by_page(2) != set()
+
+
+def test_equal_vectors_are_neighbours_but_not_the_query_itself(spark):
+    from webloom.operators.nearest import nearest_vectors
+
+    vectors = spark.createDataFrame([(k, [1.0 + 1e-7 * (k // 3), 2.0]) for k in range(9)], "id long, vector array<double>")
+    got = nearest_vectors(vectors.filter("id = 4"), vectors, 4, "euclidean", itself=False).orderBy("rank").collect()
+    assert [(r["item_id"], r["rank"]) for r in got] == [(3, 1), (5, 2), (0, 3), (1, 4)]
+    assert got[0]["distance"] == 0 and abs(got[2]["distance"] - 1e-7) < 1e-9

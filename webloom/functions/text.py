@@ -216,7 +216,7 @@ def title_case(col: Column) -> Column:
     """Capitalise words; small words stay low except at the start."""
     words = F.split(F.lower(col), " ")
     return F.array_join(F.transform(words, lambda w, i: F.when(
-        (i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.translate(F.left(w, F.lit(1)), "ß", "ẞ")), F.substring(w, F.lit(2), F.length(w))))), " ")
+        (i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w))))), " ")
 
 
 def parse_email(col: Column) -> Column:

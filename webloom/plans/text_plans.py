@@ -200,11 +200,11 @@ def readability(t):
 
 
 @query("title_case", """
-select doc_id, array_to_string(list_transform(string_split(lower(split_part(text, chr(10), 1)), ' '), lambda w, i:
+select doc_id, array_to_string(list_transform(string_split(lower(text), ' '), lambda w, i:
   case when i > 1 and w in ('a','an','and','at','but','by','for','in','nor','of','on','or','so','the','to','up','yet') then w
-       else upper(left(w, 1)) || substr(w, 2) end), ' ') as title from documents""")
+       else replace(upper(left(w, 1)), 'ẞ', 'SS') || substr(w, 2) end), ' ') as title from documents""")
 def title_case(t):
-    return t.documents.select("doc_id", T.title_case(F.get(F.split("text", "\n"), 0)).alias("title"))
+    return t.documents.select("doc_id", T.title_case(F.col("text")).alias("title"))
 
 
 @query("parse_email_number", r"""
