@@ -5,10 +5,10 @@ shingle set (documents with equal digests form one class and are never expanded
 band keys made of full minima, and a packed signature of the low bits of all minima.
 Classes that share a band key are candidates. First every candidate is held against one
 leader per key, chosen by a hash that differs between bands. What that links is contracted.
-Only keys that still span several components are compared inside, in blocks of bounded size:
-bit counts of the packed signatures estimate the similarity, corrected for chance collisions
-of low bits, and pairs clearly below the threshold are left out. All other pairs are
-confirmed on the full shingle sets.
+Only keys that still span several components are compared inside, in blocks of bounded size,
+and return only links that connect components. In both steps bit counts of the packed signatures
+estimate the similarity, corrected for chance collisions of low bits; pairs clearly below the
+threshold are left out, all others are confirmed on the full shingle sets.
 
 The number of bands makes a link at exactly the threshold share a key with probability
 ``1 - miss``; the estimate errs below its slack of 4.5 standard deviations in 3 of a million
@@ -141,10 +141,12 @@ def _matches(a: Column, b: Column) -> Column:
     return total
 
 
-def _block_pairs(percent: int):
-    """Candidate pairs of different components inside blocks of a band key, as a mapInArrow function.
+def _block_links(percent: int):
+    """Links between different components inside blocks of a band key, as a mapInArrow function.
 
-    The rows of a block pair arrive together; only they are held.
+    The rows of a block pair arrive together; only they are held. Pairs that the bit counts leave
+    open are confirmed on the full sets, and no more links are returned than it takes to connect
+    the components that meet.
     """
     least = least_matches(percent)
 
@@ -154,8 +156,17 @@ def _block_pairs(percent: int):
         ids, comps, sizes, key = value("class"), value("comp"), value("n_shingles"), value("key")[0]
         table = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         keys, planes = table("keys"), table("planes").view(np.uint64).reshape(len(ids), LOW_BITS, LANES)
+        shingles = group.column("shingles").combine_chunks().flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(sizes)
+        parent: dict[int, int] = {}
+
+        def root(comp: int) -> int:
+            while comp in parent:
+                comp = parent[comp]
+            return comp
+
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        found_a, found_b = [], []
+        links: list[tuple[int, int]] = []
         for at in range(0, len(a), 64):
             rows = a[at:at + 64]
             differ = np.bitwise_or.reduce(planes[rows][:, None] ^ planes[b][None], axis=2)
@@ -165,13 +176,23 @@ def _block_pairs(percent: int):
             if left == right:
                 wanted &= ids[rows][:, None] < ids[b]
             i, j = np.nonzero(wanted)
+            if not len(i):
+                continue
             # Each pair belongs to the first band that it shares.
-            first = np.argmax(keys[rows[i]] == keys[b[j]], axis=1) if len(i) else i
-            own = keys[rows[i], first] == key if len(i) else np.zeros(0, bool)
-            found_a.append(ids[rows[i][own]])
-            found_b.append(ids[b[j][own]])
-        x, y = np.concatenate(found_a or [np.zeros(0, np.int64)]), np.concatenate(found_b or [np.zeros(0, np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"]) if len(x) else None
+            first = np.argmax(keys[rows[i]] == keys[b[j]], axis=1)
+            own = keys[rows[i], first] == key
+            for x, y in zip(rows[i[own]].tolist(), b[j[own]].tolist()):
+                p, q = root(int(comps[x])), root(int(comps[y]))
+                if p != q:
+                    common = len(np.intersect1d(
+                        shingles[ends[x] - sizes[x]:ends[x]], shingles[ends[y] - sizes[y]:ends[y]], assume_unique=True))
+                    if 100 * common >= percent * (sizes[x] + sizes[y] - common):
+                        parent[p] = q
+                        links.append((int(ids[x]), int(ids[y])))
+        if not links:
+            return None
+        x, y = zip(*links)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -226,6 +247,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, seed: int
     have no shingles and are linked with nothing. A null doc_id counts as a document but never
     names a component that has another id. Repeated rows keep their number; other columns go.
     """
+    return _labelled(docs, size, percent, seed, miss).drop("text_hash")
+
+
+def _labelled(docs: DataFrame, size: int, percent: int, seed: int = 29, miss: float = 1e-6) -> DataFrame:
     bands = band_count(percent, miss)
     sketches = stored(_sketches(docs, size, bands, seed), "sketches")
     keyed = sketches.filter("class is not null").select("class", F.explode("keys").alias("key"))
@@ -261,24 +286,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, seed: int
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = dealt.select("key", "class", "comp", "block", F.explode(others).alias("other")).select(
         "key", "class", "comp", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    cells = cells.join(chosen.select("class", "n_shingles", "planes", "keys"), "class").select(
-        "key", "left", "right", "block", "class", "comp", "n_shingles", "keys", "planes")
-    late = stored(
-        cells.repartition(F.col("key"), F.col("left"), F.col("right")).sortWithinPartitions("key", "left", "right")
-        .mapInArrow(_block_pairs(percent), "a long, b long"), "late")
-    second = _confirmed(late, sets(late), percent)
+    cells = stored(cells, "cells")
+    meeting = cells.select("class").distinct()
+    full = chosen.join(_sets(docs, chosen.join(meeting, "class"), size), "class").select("class", "n_shingles", "keys", "planes", "shingles")
+    second = stored(
+        cells.join(full, "class").select("key", "left", "right", "block", "class", "comp", "n_shingles", "keys", "planes", "shingles")
+        .repartition(F.col("key"), F.col("left"), F.col("right")).sortWithinPartitions("key", "left", "right")
+        .mapInArrow(_block_links(percent), "a long, b long"), "late")
     roots = components(first.unionByName(second))
 
-    placed = sketches.select("doc_id", "n_shingles", "class").join(roots, F.col("class") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
+    placed = sketches.select("doc_id", "text_hash", "n_shingles", "class").join(roots, F.col("class") == F.col("node"), "left").select(
+        "doc_id", "text_hash", "n_shingles", F.coalesce("root", "class").alias("root"))
     placed = stored(placed, "placed")
     names = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("name"))
     named = placed.join(names, "root", "left").withColumn("component_id", F.coalesce("name", "doc_id"))
-    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return named.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without all but one document of each group of near duplicates; of rows with one doc_id, one stays."""
-    kept = near_duplicates(docs, size, percent).filter("kept").select("doc_id").distinct()
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    return docs.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each group of near duplicates, the one that names it.
+
+    Of several texts with that doc_id the one with the smallest hash stays, of repeated rows any one.
+    """
+    rows = _labelled(docs, size, percent).filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = stored(rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("k")).select("doc_id", "k.*"), "kept")
+
+    def of(keys: DataFrame) -> DataFrame:
+        d, k = docs.alias("d"), keys.alias("k")
+        return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash")), "left_semi")
+
+    return of(kept.filter("n = 1")).unionByName(of(kept.filter("n > 1")).dropDuplicates(["doc_id"]))
