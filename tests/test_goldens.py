@@ -1,4 +1,7 @@
-"""Known answers: functions, JSON paths, measures, log tails, sequences."""
+"""Known answers: functions, JSON paths, measures, log tails, sequences.
+
+Fixed values: the URL cases, the log tails, the measure vectors and their answers are published ones that results must match.
+"""
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,11 +38,11 @@ def test_normalize_url(spark, raw, normal, error):
 
 
 def test_short_texts(spark):
-    assert one(spark, T.abbrev(F.lit("dd if=/dev/zero of=$tmp/foobar count=1024.sleep 200&.sleep 200&.sleep 200"), 10)) == "dd i.. 200"
+    assert one(spark, T.abbrev(F.lit("copy the long log of tuesday to the old disk"), 10)) == "copy..disk"
     assert [one(spark, T.left_abbrev(F.lit(s), 5)) for s in ("helloworld", "hello", "ok")] == ["..rld", "hello", "ok"]
-    assert one(spark, T.trim_space(F.lit("\t\t\nspace bound \n\t  string\nok\n\n"))) == "space bound string.ok"
-    assert [one(spark, T.trim_path(F.lit(s))) for s in ("/usr/bin/bwa -foo bar", "/usr/bin/echo", "/some/path/name/")] == [
-        "../bwa -foo bar", "../echo", "../name/"]
+    assert one(spark, T.trim_space(F.lit("\n\t wide open \n\t  field\nend\n\n"))) == "wide open field.end"
+    assert [one(spark, T.trim_path(F.lit(s))) for s in ("/opt/tools/sort -r list", "/opt/tools/cat", "/a/long/way/")] == [
+        "../sort -r list", "../cat", "../way/"]
     assert one(spark, T.title_case(F.lit("the last of the mohicans"))) == "The Last of the Mohicans"
     assert [one(spark, T.format_bytes(F.lit(n))) for n in (0, 512, 1024, 1536, 1048576, 3 * 1024**3)] == ["0", "512B", "1K", "1.5K", "1M", "3G"]
     assert [one(spark, T.parse_short_number(F.lit(s))) for s in ("1.2k", "3m", "17", "x")] == [1200, 3000000, 17, 0]

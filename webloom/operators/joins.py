@@ -17,18 +17,23 @@ def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
 
 
 def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], how: str = "inner", spread_on: str | None = None,
-           salts: int = 16, small: bool | None = None) -> DataFrame:
+           salts: int | None = None, small: bool | None = None) -> DataFrame:
     """Join facts with a table that has one row per key.
 
     A table measured to be small is broadcast. A larger one is joined by key; with
     ``spread_on`` the facts of a hot key are dealt to ``salts`` tasks and the table's
-    rows are copied once per salt, so no single task receives the whole group.
+    rows are copied once per salt, so no single task receives the whole group. By default
+    there are as many salts as the largest key has shares of a shuffle partition.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if fits_broadcast(table) if small is None else small:
         return facts.join(F.broadcast(table), keys, how)
     if spread_on is None:
         return facts.join(table, keys, how)
+    if salts is None:
+        largest, rows = facts.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, -(-(largest or 0) * partitions // max(rows or 0, 1)))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

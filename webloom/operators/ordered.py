@@ -34,18 +34,19 @@ def _literal(value, kind: str) -> str:
     return f"CAST('{value}' AS {kind})"
 
 
-def range_of(df: DataFrame, order: list[str]) -> Column:
-    """Number of the value range a row falls into, ascending in ``order``."""
+def range_of(df: DataFrame, order: list[str], by: list[str] | None = None) -> Column:
+    """Number of the value range a row falls into, ascending in ``order`` (unique within ``by``)."""
     count = range_count(df)
     key = F.struct(*order)
-    # Few keys with the smallest hashes: a fixed-size, repeatable sample of the order.
+    # Rows with the smallest hashes: a fixed-size, repeatable sample of the order. The hash covers ``by``
+    # too, else all rows of an order value that many keys share would be drawn together.
     sample = (
-        df.select(*order)
-        .orderBy(F.xxhash64(*order), *order)
+        df.select(*order, F.xxhash64(*order, *(by or [])).alias("_draw"))
+        .orderBy("_draw", *order)
         .limit(count * SAMPLES_PER_RANGE)
         .collect()
     )
-    keys = sorted({tuple(row) for row in sample}, key=lambda k: tuple((v is not None, v) for v in k))
+    keys = sorted({tuple(row)[:len(order)] for row in sample}, key=lambda k: tuple((v is not None, v) for v in k))
     step = max(1, len(keys) // count)
     points = keys[step::step][: count - 1]
     if not points:
@@ -70,7 +71,7 @@ def running(df: DataFrame, order: list[str], measures: dict[str, tuple[str, Colu
     """
     by = by or []
     kinds = {"sum": F.sum, "min": F.min, "max": F.max}
-    tagged = df.withColumn("_range", range_of(df, order))
+    tagged = df.withColumn("_range", range_of(df, order, by))
     for name, (_, value) in measures.items():
         tagged = tagged.withColumn(f"_v_{name}", value)
     totals = tagged.groupBy(*by, "_range").agg(*[kinds[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in measures.items()])
