@@ -20,9 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/webloom-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh place in the folder that driver and executors share."""
-    return f"{shared_dir(spark).rstrip('/')}/webloom-{name}-{uuid.uuid4().hex}"
+    """A fresh place in this application's part of the folder that driver and executors share."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what the operators of this application have stored, once their results are written."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -25,6 +25,8 @@ BUCKETS = 1 << 15
 #: Entries of a worker's memory of words, and cells (documents x words) of one forward-backward run.
 REMEMBERED, CELLS = 300_000, 400_000
 UNKNOWN = "und"
+#: The sample is drawn from so many values of a hash of the doc_id.
+DRAWS = 1 << 50
 
 
 def features(word: str) -> list[int]:
@@ -142,8 +144,8 @@ def sample(docs: DataFrame, per_language: int = 300, window: int = 120) -> list[
     share = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1_000_000))
-    wanted = F.create_map(*[x for lang, n in share.items() for x in (F.lit(lang), F.lit(per_language * 1_000_000 // n))])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(DRAWS))
+    wanted = F.create_map(*[x for lang, n in share.items() for x in (F.lit(lang), F.lit(min(DRAWS, per_language * DRAWS // n)))])
     chosen = labelled.filter(draw < F.element_at(wanted, F.col("lang"))).select("lang", F.xxhash64("doc_id").alias("h"), words(F.col("text")).alias("w"))
     begin = F.pmod("h", F.greatest(F.size("w") - window, F.lit(1))).cast("int") + 1
     rows = chosen.select("lang", "h", F.slice("w", begin, window).alias("w")).limit(2 * per_language * len(share)).collect()
