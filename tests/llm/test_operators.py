@@ -172,6 +172,12 @@ def test_lattice_sums_over_all_segmentations():
             found += math.prod(math.exp(log_p[7 + b]) for b in s[0].encode()) * every(s[1:])
         return found
 
+    long_word = "ab" * 400
+    assert -1e5 < lattice.log_probability(long_word) < -300
+    plain, logs = [0.0] * len(pieces), [0.0] * len(pieces)
+    lattice.expect("abaé", 3.0, plain)
+    lattice._expect_long("▁abaé", lattice.arcs("▁abaé"), 3.0, logs)
+    assert np.allclose(plain, logs)
     for word in ("a", "abab", "aé", "bbba", "ca"):
         assert math.isclose(lattice.log_probability(word), math.log(every("▁" + word)), rel_tol=1e-9)
         counts = [0.0] * len(pieces)

@@ -6,8 +6,9 @@ probabilities. A word's probability sums over all its segmentations by a forward
 space, a document's is the product over its words and the end. White space always separates
 pieces, so the document lattice is the chain of its word lattices.
 
-Word counts of all training documents form a table. Words with at least ``share`` of all tokens,
-at most ``1 / share`` of them, are broadcast; the other words of a document are joined to the table.
+All words form a table with their training count and their lattice probability, which is
+computed once per word. Words with at least ``share`` of all training tokens, at most
+``1 / share`` of them, are broadcast; the other words of a document are joined to the table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from webloom.llm.common import stored
 
 NONE = -math.inf
 SMOOTHING = 0.1
-#: Entries of a worker's memory of words.
+#: Words that a counting task holds before it sends them on.
 REMEMBERED = 300_000
 
 
@@ -49,69 +50,109 @@ def first_weights(scores: list[float]) -> np.ndarray:
     return weight / weight.sum()
 
 
+def _log_add(a: float, b: float) -> float:
+    if a == NONE:
+        return b
+    return a + math.log1p(math.exp(b - a)) if a >= b else b + math.log1p(math.exp(a - b))
+
+
 class Lattice:
     """All segmentations of words into pieces; characters without a piece are spelt in byte pieces."""
 
     def __init__(self, pieces: list[str], log_p: np.ndarray):
-        self.index = {p: i for i, p in enumerate(pieces) if not (len(p) == 6 and p.startswith("<0x"))}
         self.bytes = [-1] * 256
+        self.index: dict[str, int] = {}  # pieces by number, and -1 for what only begins a piece
         for i, p in enumerate(pieces):
             if len(p) == 6 and p.startswith("<0x"):
                 self.bytes[int(p[3:5], 16)] = i
+            else:
+                for k in range(1, len(p)):
+                    self.index.setdefault(p[:k], -1)
+                self.index[p] = i
         self.log_p = log_p.tolist()
-        self.longest = max(map(len, self.index), default=1)
+        self.p = np.exp(log_p).tolist()
         self.floor = min(self.log_p, default=-20.0)
 
     def spelt(self, char: str) -> tuple[list[int], float]:
         ids = [self.bytes[b] for b in char.encode()]
         return ids, sum(self.log_p[i] if i >= 0 else self.floor for i in ids)
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, list[int]]]]:
-        """For every end, the pieces that end there: start, log weight, piece numbers."""
-        s = "▁" + word
-        get, log_p, longest = self.index.get, self.log_p, self.longest
-        found = [[]]
-        for j in range(1, len(s) + 1):
-            ends = [(i, log_p[k], [k]) for i in range(max(0, j - longest), j) if (k := get(s[i:j])) is not None]
-            if s[j - 1] not in self.index:
-                ids, weight = self.spelt(s[j - 1])
-                ends.append((j - 1, weight, ids))
-            found.append(ends)
+    def arcs(self, s: str) -> list[tuple[int, int, int]]:
+        """(start, end, piece) in order of their starts; piece -1 spells a single character."""
+        get, size, found = self.index.get, len(s), []
+        for i in range(size):
+            spell = True
+            for j in range(i + 1, size + 1):
+                k = get(s[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    found.append((i, j, k))
+                    if j == i + 1:
+                        spell = False
+            if spell:
+                found.append((i, i + 1, -1))
         return found
 
+    def _weights(self, s: str, arcs: list[tuple[int, int, int]]) -> list[float]:
+        log_p = self.log_p
+        return [log_p[k] if k >= 0 else self.spelt(s[i])[1] for i, _, k in arcs]
+
     def log_probability(self, word: str) -> float:
-        """Natural logarithm of the sum over all segmentations."""
+        """Natural logarithm of the sum over all segmentations, by a forward recursion in log space."""
         s = "▁" + word
-        get, log_p, longest, known = self.index.get, self.log_p, self.longest, self.index
-        alpha = [0.0]
-        for j in range(1, len(s) + 1):
-            terms = [alpha[i] + log_p[k] for i in range(max(0, j - longest), j) if (k := get(s[i:j])) is not None]
-            if s[j - 1] not in known:
-                terms.append(alpha[j - 1] + self.spelt(s[j - 1])[1])
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
+        arcs = self.arcs(s)
+        alpha = [NONE] * (len(s) + 1)
+        alpha[0] = 0.0
+        for (i, j, _), w in zip(arcs, self._weights(s, arcs)):
+            alpha[j] = _log_add(alpha[j], alpha[i] + w)
         return alpha[-1]
 
     def expect(self, word: str, weight: float, counts: list[float]) -> None:
-        """Add the expected uses of every piece in a word that occurs ``weight`` times."""
-        arcs = self.arcs(word)
-        alpha = [0.0]
-        for ends in arcs[1:]:
-            terms = [alpha[i] + w for i, w, _ in ends]
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
+        """Add the expected uses of every piece in a word that occurs ``weight`` times.
+
+        Plain probabilities serve as long as they are far from underflow, logarithms otherwise.
+        """
+        s = "▁" + word
+        arcs = self.arcs(s)
+        p = self.p
+        alpha, beta = [0.0] * (len(s) + 1), [0.0] * (len(s) + 1)
+        alpha[0] = beta[-1] = 1.0
+        weights = [p[k] if k >= 0 else math.exp(self.spelt(s[i])[1]) for i, _, k in arcs]
+        for (i, j, _), w in zip(arcs, weights):
+            alpha[j] += alpha[i] * w
         whole = alpha[-1]
-        beta = [0.0] * len(arcs)  # probability, scaled by the whole, of reaching the end through a place
-        beta[-1] = 1.0
-        for j in range(len(arcs) - 1, 0, -1):
-            if beta[j]:
-                for i, w, ids in arcs[j]:
-                    share = beta[j] * math.exp(alpha[i] + w - alpha[j])
-                    beta[i] += share
-                    for k in ids:
-                        if k >= 0:
-                            counts[k] += weight * share
-        assert whole > NONE
+        if whole < 1e-250:
+            return self._expect_long(s, arcs, weight, counts)
+        share = weight / whole
+        for (i, j, k), w in zip(reversed(arcs), reversed(weights)):
+            through = w * beta[j]
+            beta[i] += through
+            uses = alpha[i] * through * share
+            if k >= 0:
+                counts[k] += uses
+            else:
+                self._spell(s[i], uses, counts)
+
+    def _expect_long(self, s: str, arcs: list[tuple[int, int, int]], weight: float, counts: list[float]) -> None:
+        alpha, beta = [NONE] * (len(s) + 1), [NONE] * (len(s) + 1)
+        alpha[0] = beta[-1] = 0.0
+        weights = self._weights(s, arcs)
+        for (i, j, _), w in zip(arcs, weights):
+            alpha[j] = _log_add(alpha[j], alpha[i] + w)
+        for (i, j, k), w in zip(reversed(arcs), reversed(weights)):
+            through = w + beta[j]
+            beta[i] = _log_add(beta[i], through)
+            uses = weight * math.exp(alpha[i] + through - alpha[-1])
+            if k >= 0:
+                counts[k] += uses
+            else:
+                self._spell(s[i], uses, counts)
+
+    def _spell(self, char: str, uses: float, counts: list[float]) -> None:
+        for k in self.spelt(char)[0]:
+            if k >= 0:
+                counts[k] += uses
 
 
 @dataclass
@@ -192,6 +233,24 @@ def train(docs: DataFrame, pieces: list[str], scores: list[float], rounds: int =
     return Model(pieces, np.log(weights), math.log(end), counts, words + documents, types + (documents > 0), documents)
 
 
+def _rated(docs: DataFrame, model: Model) -> DataFrame:
+    """``key, n, log_p`` of every word in ``docs`` or the training texts: training count and lattice probability.
+
+    The lattice of a word is computed once, however often and wherever the word occurs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.pieces, model.log_p))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*shared.value)
+        for batch in batches:
+            found = [lattice.log_probability(w) for w in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["key", "n", "log_p"])
+
+    here = word_counts(docs).withColumn("n", F.lit(0).cast("long"))
+    every = model.counts.unionByName(here).groupBy("word", "key").agg(F.sum("n").alias("n"))
+    return stored(every.select("key", "n", "word").mapInArrow(rate, "key long, n long, log_p double"), "rated")
+
+
 def score(docs: DataFrame, model: Model, share: float = 5e-7) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` for every row of ``docs``.
 
@@ -200,28 +259,17 @@ def score(docs: DataFrame, model: Model, share: float = 5e-7) -> DataFrame:
     texts are the end alone. Rows with a null or repeated doc_id are scored one by one.
     """
     context = docs.sparkSession.sparkContext
+    rated = _rated(docs, model)
     bound = max(1, math.ceil(model.tokens * share))
-    frequent = model.counts.filter(F.col("n") >= bound).select("key", "n").toArrow()  # at most 1 / share rows
-    keys, n = frequent.column("key").to_numpy(), frequent.column("n").to_numpy()
+    frequent = rated.filter(F.col("n") >= bound).toArrow()  # at most 1 / share rows
+    keys, n, log_p = (frequent.column(c).to_numpy() for c in ("key", "n", "log_p"))
     order = np.argsort(keys)
-    shared = context.broadcast((keys[order], n[order], model.pieces, model.log_p))
-    tokens, types, documents, log_end = model.tokens, model.types, model.documents, model.log_end
-    divisor = tokens + types + 1
+    shared = context.broadcast((keys[order], n[order], log_p[order]))
+    documents, log_end, divisor = model.documents, model.log_end, model.tokens + model.types + 1
 
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, pieces, log_p = shared.value
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, log_p = shared.value
         gains = np.log10((n + 1) / divisor)
-        lattice = Lattice(pieces, log_p)
-        known: dict[bytes, float] = {}
-
-        def subwords(word: bytes) -> float:
-            found = known.get(word)
-            if found is None:
-                found = lattice.log_probability(word.decode())
-                if len(known) < REMEMBERED:
-                    known[word] = found
-            return found
-
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -229,30 +277,32 @@ def score(docs: DataFrame, model: Model, share: float = 5e-7) -> DataFrame:
                 for text in part.column(2).to_pylist():
                     words = words_of(text)
                     hashed, times = np.unique(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64), return_counts=True)
-                    there = np.zeros(len(hashed), bool)
+                    there, place = np.zeros(len(hashed), bool), np.zeros(len(hashed), np.int64)
                     if len(keys):
                         place = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
                         there = keys[place] == hashed
-                    sure = math.log10((documents + 1) / divisor) + (float(times[there] @ gains[place[there]]) if there.any() else 0.0)
-                    rows.append((len(words) + 1, int(times[there].sum()) + (documents > 0), sure,
-                                 (sum(map(subwords, words)) + log_end) / math.log(10), hashed[~there], times[~there]))
+                    known, sure = place[there], times[there]
+                    rows.append((len(words) + 1, int(sure.sum()) + (documents > 0), math.log10((documents + 1) / divisor) + float(sure @ gains[known]),
+                                 log_end + float(sure @ log_p[known]), hashed[~there], times[~there]))
                 a, b, c, d, e, f = zip(*rows) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()),
                      pa.array(d, pa.float64()), pa.array(e, pa.list_(pa.int64())), pa.array(f, pa.list_(pa.int64()))],
-                    names=["doc_id", "row", "n_tokens", "sure_known", "sure", "score", "keys", "times"])
+                    names=["doc_id", "row", "n_tokens", "sure_known", "sure", "sure_log", "keys", "times"])
 
     schema = T.StructType([docs.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in ("row", "n_tokens", "sure_known")]
-                          + [T.StructField(n, T.DoubleType()) for n in ("sure", "score")]
+                          + [T.StructField(n, T.DoubleType()) for n in ("sure", "sure_log")]
                           + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("keys", "times")])
-    scored = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(base, schema), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
-    seen = rare.join(model.counts.filter(F.col("n") < bound).select("key", "n"), "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(divisor))).alias("more"))
-    return scored.select("doc_id", "row", "n_tokens", "sure_known", "sure", "score").join(seen, "row", "left").select(
+    summed = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(sums, schema), "scored")
+    rare = summed.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
+    seen = rare.join(rated.filter(F.col("n") < bound), "key").groupBy("row").agg(
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(divisor))).alias("more"),
+        F.sum(F.col("times") * F.col("log_p")).alias("more_log"))
+    return summed.select("doc_id", "row", "n_tokens", "sure_known", "sure", "sure_log").join(seen, "row", "left").select(
         "doc_id", "n_tokens", (F.col("sure_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("sure") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("sure") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        ((F.col("sure_log") + F.coalesce("more_log", F.lit(0.0))) / math.log(10)).alias("score"))
 
 
 def remainder(parts: int) -> Column:
