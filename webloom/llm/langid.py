@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from webloom.llm.common import words
 BUCKETS = 1 << 15
 #: Entries of a worker's memory of words, and cells (documents x words) of one forward-backward run.
 REMEMBERED, CELLS = 300_000, 400_000
+#: UTF-8 bytes of text whose words a worker holds at a time, but for a single larger text.
+HELD = 8 << 20
 UNKNOWN = "und"
 #: The sample is drawn from so many values of a hash of the doc_id.
 DRAWS = 1 << 50
@@ -152,6 +155,16 @@ def sample(docs: DataFrame, per_language: int = 300, window: int = 120) -> list[
     return [(r["lang"], list(r["w"])) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["w"])) if r["w"]]
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about ``HELD`` bytes of text each."""
+    start, held = 0, 0
+    for row, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        held += size or 0
+        if held >= HELD or row == batch.num_rows - 1:
+            yield batch.slice(start, row + 1 - start)
+            start, held = row + 1, 0
+
+
 def tag(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score, spans`` for every row of ``docs``, from whole texts alone.
 
@@ -181,7 +194,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
                 rated = np.concatenate([rated, model.evidence([features(w) for w in strings]).astype(np.float32)])
                 lettered = np.concatenate([lettered, np.fromiter((any(map(str.isalpha, w)) for w in strings), bool, len(strings))])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
             remember(texts)
             found = [(UNKNOWN, 0.0, [])] * len(texts)
