@@ -140,6 +140,19 @@ def test_one_row_of_a_group_stays(edge, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_unlike_texts_stay_under_one_id_or_none(spark):
+    same, other = prose(1, 80), prose(4, 60)
+    rows = [(None, prose(2, 60)), (None, prose(3, 60)), (None, other), (None, other), (5, prose(5, 60)), (5, prose(6, 60)), (6, same), (5, same + " more"),
+            (None, same), (7, None), (7, ""), (None, None), (None, " "), (None, None), (8, other + " x"), (9, "y"), (9, "y")]
+    got = pairs(minhash.kept_documents(table(spark, rows), 5, 80))
+    key = lambda r: (str(r[0]), str(r[1]))
+    lost = [(None, other), (None, other), (6, same), (None, same), (None, None), (9, "y")]
+    want = list(rows)
+    for r in lost:
+        want.remove(r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_estimate_corrects_chance_collisions():
     assert minhash.estimate(minhash.PERMUTATIONS) == 1 and abs(minhash.estimate(minhash.PERMUTATIONS / 16)) < 1e-9
     a, b = minhash.shingle_set(prose(1, 400), 1), minhash.shingle_set(prose(1, 400) + " " + prose(9, 60), 1)
@@ -418,6 +431,15 @@ def test_leaks_equal_brute_force(spark, edge, nothing):
     assert decontaminate.leaked_items(nothing, bench).count() == 0 and decontaminate.leaked_items(edge, bench.limit(0)).count() == 0
 
 
+def test_only_the_leaking_text_of_an_id_goes(spark):
+    item = prose(41, 30)
+    rows = [(None, item), (None, prose(2, 40)), (None, None), (5, "x " + item), (5, prose(3, 40)), (5, prose(3, 40)), (6, prose(7, 40))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    key = lambda r: (str(r[0]), str(r[1]))
+    got = pairs(decontaminate.clean_documents(table(spark, rows), bench))
+    assert sorted(got, key=key) == sorted([r for r in rows if item not in (r[1] or "")], key=key)
+
+
 # --- archives
 
 def test_records_round_trip(spark):

@@ -131,19 +131,21 @@ def _found(docs: DataFrame, block: Block, item_type: T.DataType, coverage: float
         block = shared.value
         for batch in batches:
             rows, found = [], []
-            for n, text in enumerate(batch.column(1).to_pylist()):
+            for n, text in enumerate(batch.column(2).to_pylist()):
                 for leak in block.leaks(text, coverage):
                     rows.append(n)
                     found.append(leak)
             if rows:
                 columns = list(zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(columns[0]), *[pa.array(c, pa.int64()) for c in columns[1:]]],
-                    names=["doc_id", "item_id", "n_tiles", "covered", "n_tokens"])
+                    [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(columns[0]),
+                     *[pa.array(c, pa.int64()) for c in columns[1:]]],
+                    names=["doc_id", "text_hash", "item_id", "n_tiles", "covered", "n_tokens"])
 
     long = lambda name: T.StructField(name, T.LongType())
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", item_type), long("n_tiles"), long("covered"), long("n_tokens")])
-    return docs.select("doc_id", "text").mapInArrow(search, schema)
+    schema = T.StructType([
+        docs.schema["doc_id"], long("text_hash"), T.StructField("item_id", item_type), long("n_tiles"), long("covered"), long("n_tokens")])
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(search, schema)
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, coverage: float = 0.7,
@@ -156,6 +158,11 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, cove
     characters in lower case, so punctuation and line breaks do not matter. The benchmark is
     broadcast in blocks of ``block_bytes``; each block is one pass over the documents.
     """
+    return _leaks(docs, benchmark, min_match, coverage, block_bytes).drop("text_hash")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The leaked items with the ``text_hash`` of the row that covers them."""
     if not 0 < coverage <= 1 or min_match < 1:
         raise ValueError("coverage must be in (0, 1], min_match positive")
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
@@ -175,6 +182,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, cove
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, coverage: float = 0.7) -> DataFrame:
-    """``docs`` without the documents that cover a test item; rows are matched by doc_id, null included."""
-    leaked = leaked_items(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")
+    """``docs`` without the rows that cover a test item; rows are matched by doc_id (null included) and text."""
+    leaked = _leaks(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("leaked_id"), "text_hash").distinct()
+    return docs.join(
+        leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]) & (F.xxhash64(docs["text"]) == leaked["text_hash"]), "left_anti")

@@ -247,10 +247,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, seed: int
     have no shingles and are linked with nothing. A null doc_id counts as a document but never
     names a component that has another id. Repeated rows keep their number; other columns go.
     """
-    return _labelled(docs, size, percent, seed, miss).drop("text_hash")
+    placed = _placed(docs, size, percent, seed, miss)
+    names = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("name"))
+    named = placed.join(names, "root", "left").withColumn("component_id", F.coalesce("name", "doc_id"))
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _labelled(docs: DataFrame, size: int, percent: int, seed: int = 29, miss: float = 1e-6) -> DataFrame:
+def _placed(docs: DataFrame, size: int, percent: int, seed: int = 29, miss: float = 1e-6) -> DataFrame:
+    """``doc_id, text_hash, n_shingles`` and the ``root`` class of its component per row; null without shingles."""
     bands = band_count(percent, miss)
     sketches = stored(_sketches(docs, size, bands, seed), "sketches")
     keyed = sketches.filter("class is not null").select("class", F.explode("keys").alias("key"))
@@ -297,22 +301,26 @@ def _labelled(docs: DataFrame, size: int, percent: int, seed: int = 29, miss: fl
 
     placed = sketches.select("doc_id", "text_hash", "n_shingles", "class").join(roots, F.col("class") == F.col("node"), "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("root", "class").alias("root"))
-    placed = stored(placed, "placed")
-    names = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("name"))
-    named = placed.join(names, "root", "left").withColumn("component_id", F.coalesce("name", "doc_id"))
-    return named.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return stored(placed, "placed")
 
 
 def kept_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one that names it.
+    """``docs`` with one row of each group of near duplicates: the smallest doc_id, then the smallest hash of the text.
 
-    Of several texts with that doc_id the one with the smallest hash stays, of repeated rows any one.
+    A row is told apart by doc_id and text, so unlike texts stay also where they share a doc_id or have
+    none; a null doc_id stays only where its group has no other. Texts without shingles are linked with
+    nothing and all stay. Of repeated rows (equal doc_id and text) any one stays.
     """
-    rows = _labelled(docs, size, percent).filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
-    kept = stored(rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", "n")).alias("k")).select("doc_id", "k.*"), "kept")
+    rows = _placed(docs, size, percent).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rows = stored(rows, "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n"))
+    named = rows.filter("root is not null").groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.text_hash", "k.n")
+    kept = stored(named.unionByName(rows.filter("root is null").select("doc_id", "text_hash", "n")), "kept")
+    keyed = docs.select(F.struct("*").alias("record")).select("record", "record.doc_id", F.xxhash64("record.text").alias("text_hash"))
 
     def of(keys: DataFrame) -> DataFrame:
-        d, k = docs.alias("d"), keys.alias("k")
-        return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.text_hash")), "left_semi")
+        d, k = keyed.alias("d"), keys.alias("k")
+        return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash")), "left_semi")
 
-    return of(kept.filter("n = 1")).unionByName(of(kept.filter("n > 1")).dropDuplicates(["doc_id"]))
+    once = of(kept.filter("n = 1")).unionByName(of(kept.filter("n > 1")).dropDuplicates(["doc_id", "text_hash"]))
+    return once.select("record.*")
