@@ -56,6 +56,17 @@ def test_shared_passages(spark, duck):
     assert planted and len(planted - got) <= 0.02 * len(planted)
 
 
+def test_every_document_with_a_shared_passage_is_reported(spark, duck):
+    docs = duck.execute("select doc_id, text from documents where text is not null").fetchall()
+    owners = collections.defaultdict(set)
+    for i, text in docs:
+        for at in range(len(text) - 89):
+            owners[hash(text[at:at + 90])].add(i)
+    planted = {i for found in owners.values() if len(found) > 1 for i in found}
+    got = {r["doc_id"] for r in QUERIES["op4_substring_dedup"](spark, FOLDER).collect()}
+    assert planted and planted <= got
+
+
 def test_pipeline_stages(spark, duck):
     docs = table(spark, FOLDER, "documents")
     tables = [docs]

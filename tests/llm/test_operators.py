@@ -256,6 +256,31 @@ def test_shared_passages_are_found_and_clean_texts_left_alone(spark, edge, nothi
     assert chunk_dedup.repeated_spans(nothing).count() == 0
 
 
+def test_no_passage_of_the_wanted_length_is_missed(spark):
+    draw = random.Random(12)
+    letters = lambda n: "".join(draw.choice("abcdeé ñ") for _ in range(n))
+    rows, shared = [], []
+    for k in range(150):  # 90 to 100 bytes, each in two unlike surroundings
+        passage = letters(70)
+        while len(passage.encode()) < 90:
+            passage += draw.choice("abé")
+        shared.append(passage)
+        rows += [(2 * k + side, letters(draw.randrange(200)) + "XY"[side] + passage + "ZW"[side] + letters(draw.randrange(200))) for side in (0, 1)]
+    rows.append((900, letters(50) + "Q" + shared[0][1:] + "Q"))
+    docs = table(spark, rows).repartition(3)
+    spans = collections.defaultdict(list)
+    for r in chunk_dedup.repeated_spans(docs).collect():
+        spans[r["doc_id"]].append((r["span_start"], r["span_start"] + r["span_bytes"]))
+    for n, (i, text) in enumerate(rows[:-1]):
+        passage = shared[n // 2]
+        start = len(text[:text.index(passage)].encode())
+        assert spans[i] == [(start, start + len(passage.encode()))]
+    left = dict(pairs(chunk_dedup.without_repeats(docs)))
+    for k, passage in enumerate(shared):
+        assert sorted(passage in left[2 * k + side] for side in (0, 1)) == [False, True]
+        assert sorted(len(dict(rows)[2 * k + side]) - len(left[2 * k + side]) for side in (0, 1)) == [0, len(passage)]
+
+
 # --- lines
 
 def edits(a, b):

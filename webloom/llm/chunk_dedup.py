@@ -1,10 +1,11 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by content-defined anchors.
 
-A gear rolling hash over the UTF-8 bytes (32 bytes of context) decides where chunks end, so an
-insertion moves the chunks near it only and equal passages fall into equal chunks wherever they
-stand. Chunks are compared by 64-bit digests. Runs of chunks that also occur in another document
-are the repeated spans; a run of the wanted length holds several chunks, so one chance collision
-of digests cannot make one.
+A gear rolling hash over the UTF-8 bytes (32 bytes of context) rates every gram of 32 bytes; the
+smallest hash within any ``min_bytes`` bytes makes an anchor (winnowing). It depends on these bytes
+alone, so rows that share a passage of that length share an anchor in it, wherever it stands. Anchors
+whose gram another row has too are compared with their surroundings: equal surroundings by one
+64-bit digest, unlike ones by the digests of all passages of ``min_bytes`` bytes around the gram.
+No pairs of rows are made.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from webloom.llm.common import stored
+from webloom.operators.joins import lookup
 
 GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 #: One position in so many ends a chunk; chunks have at least and at most so many bytes.
@@ -62,67 +64,211 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row"))
 
 
-def chunks(rows: DataFrame) -> DataFrame:
-    """``doc_id, row, start, length, digest`` for every chunk of numbered rows."""
-    flat = rows.select("record.doc_id", "row", "record.text")
+def passages(data: bytes, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, both ascending, of the shortest stretches of whole characters with ``min_bytes`` or more."""
+    inside = np.append((np.frombuffer(data, np.uint8) & 0xC0) == 0x80, False)
+    spots = np.flatnonzero(~inside)
+    after = np.searchsorted(spots, spots + min_bytes)
+    before = np.searchsorted(spots, spots - min_bytes, "right") - 1
+    pairs = np.concatenate([
+        np.stack([spots[after < len(spots)], spots[after[after < len(spots)]]], axis=1),
+        np.stack([spots[before[before >= 0]], spots[before >= 0]], axis=1)])
+    if not inside.any():
+        pairs = pairs[:len(pairs) // 2]
+        return pairs[:, 0], pairs[:, 1]
+    keys = np.unique(pairs[:, 0] * len(inside) + pairs[:, 1])
+    return keys // len(inside), keys % len(inside)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def anchors(data: bytes, min_bytes: int) -> np.ndarray:
+    """Place of the gram with the smallest hash in the ``min_bytes`` bytes from each position on, ascending: equal bytes, equal places."""
+    if len(data) < min_bytes:
+        return np.zeros(0, np.int64)
+    gram = gram_bytes(min_bytes)
+    hashed = gear_hash(np.frombuffer(data, np.uint8))[gram - 1:] & np.uint32(2**gram - 1)
+    hashed *= np.uint32(0x9E3779B1)
+    hashed ^= hashed >> np.uint32(15)
+    # The last of equal hashes is the smallest.
+    least = hashed.astype(np.uint64) << np.uint64(32) | np.arange(len(hashed), 0, -1).astype(np.uint64)
+    width, wanted = 1, min_bytes - gram + 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return len(hashed) - (least & np.uint64(2**32 - 1)).astype(np.int64)
+
+
+def gram_bytes(min_bytes: int) -> int:
+    return min(32, min_bytes)
+
+
+def _anchored(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """``doc_id, row, text_hash, at, low, high, gram, context`` per anchor.
+
+    Each passage belongs to the anchor of its first ``min_bytes`` bytes; ``low`` and ``high`` bound
+    those of an anchor, relative to ``at``. Equal contexts have the same passages.
+    """
+    flat = rows.select("record.doc_id", "row", F.xxhash64("record.text").alias("text_hash"), "record.text")
+    gram = gram_bytes(min_bytes)
+    reach = min_bytes - gram + 6
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                rows, starts, lengths, digests = [], [], [], []
-                for n, text in enumerate(part.column(2).to_pylist()):
+            for first in range(0, batch.num_rows, 128):
+                part = batch.slice(first, 128)
+                take, at, low, high, grams, contexts = [], [], [], [], [], []
+                for n, text in enumerate(part.column(3).to_pylist()):
                     data = (text or "").encode()
-                    ends = chunk_ends(data)
-                    begins = [0, *ends[:-1]]
-                    rows.append(np.full(len(ends), n))
-                    if ends:
-                        starts += begins
-                        lengths += [b - a for a, b in zip(begins, ends)]
-                        digests += [xxh3_64_intdigest(data[a:b]) for a, b in zip(begins, ends)]
-                if starts:
-                    take = pa.array(np.concatenate(rows))
+                    if len(data) < min_bytes:
+                        continue
+                    starts, ends = passages(data, min_bytes)
+                    owner = anchors(data, min_bytes)[starts]
+                    spots, a = np.unique(owner, return_index=True)
+                    b = np.append(a[1:], len(owner)) - 1
+                    take.append(np.full(len(spots), n))
+                    at.append(spots)
+                    low.append(starts[a] - spots)
+                    high.append(ends[b] - spots)
+                    for p in spots.tolist():
+                        grams.append(xxh3_64_intdigest(data[p:p + gram]))
+                        # What is cut off at the beginning of the text tells such contexts apart.
+                        contexts.append(xxh3_64_intdigest(data[max(0, p - reach):p + gram + reach], min(p, reach)))
+                if take:
+                    index = pa.array(np.concatenate(take))
+                    numbers = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+                    digests = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c).take(index) for c in range(3)], numbers(at), numbers(low), numbers(high), digests(grams), digests(contexts)],
+                        names=["doc_id", "row", "text_hash", "at", "low", "high", "gram", "context"])
+
+    long, number = (lambda c: T.StructField(c, T.LongType())), (lambda c: T.StructField(c, T.IntegerType()))
+    schema = T.StructType([flat.schema["doc_id"], long("row"), long("text_hash"), number("at"), number("low"), number("high"), long("gram"), long("context")])
+    return flat.mapInArrow(find, schema)
+
+
+def _around(texts: DataFrame, min_bytes: int) -> DataFrame:
+    """``gram, context, low, high, digest, first, last`` for every passage around the wanted spots of the texts."""
+    gram = gram_bytes(min_bytes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, spots in zip(batch.column(0), batch.column(1)):
+                data = text.as_py().encode()
+                starts, ends = passages(data, min_bytes)
+                owner = anchors(data, min_bytes)[starts]
+                starts, ends, spots = starts.tolist(), ends.tolist(), spots.as_py()
+                bounds = [np.searchsorted(owner, [s["at"] for s in spots], side).tolist() for side in ("left", "right")]
+                for begin in range(0, len(spots), 256):
+                    found = []
+                    for s, a, b in zip(spots[begin:begin + 256], bounds[0][begin:], bounds[1][begin:]):
+                        p, key = s["at"], (s["gram"], s["context"])
+                        for x, y in zip(starts[a:b], ends[a:b]):
+                            found.append((*key, x - p, y - p, xxh3_64_intdigest(data[x:y]) - 2**63, s["first"], s["last"]))
+                    columns = list(zip(*found))
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()),
-                         pa.array(np.array(digests, np.uint64).view(np.int64))],
-                        names=["doc_id", "row", "start", "length", "digest"])
-
-    schema = T.StructType([
-        flat.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType()),
-        T.StructField("length", T.IntegerType()), T.StructField("digest", T.LongType())])
-    return flat.mapInArrow(cut, schema)
-
-
-def _runs(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """Repeated spans with their ``row`` and, per span, how many chunks an earlier row already has."""
-    table = stored(chunks(rows), "chunks")
-    repeated = table.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select("digest", "first")
-    found = table.join(repeated, "digest")
-    along = Window.partitionBy("row").orderBy("start")
-    fresh = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("length")).over(along), F.lit(True)).cast("int")
-    numbered = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along))
-    return numbered.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("span_start"), F.sum("length").alias("span_bytes"),
-        F.count("*").alias("n_chunks"), F.count(F.when(F.col("first") < F.col("row"), 1)).alias("n_seen_before"),
-    ).filter(F.col("span_bytes") >= min_bytes)
+                        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", "context", "low", "high", "digest", "first", "last"])
+
+    return texts.mapInArrow(cut, "gram long, context long, low int, high int, digest long, first long, last long")
+
+
+def _halves(texts: DataFrame, min_bytes: int) -> DataFrame:
+    """``half, gram, context, first, last``: the gram with half of the other bytes of a passage on either side.
+
+    A passage around the gram holds one of them at least.
+    """
+    gram = gram_bytes(min_bytes)
+    more = (min_bytes - gram) // 2
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, spots in zip(batch.column(0), batch.column(1)):
+                data, found = text.as_py().encode(), []
+                for s in spots.as_py():
+                    p, key = s["at"], (s["gram"], s["context"], s["first"], s["last"])
+                    if p >= more:
+                        found.append((xxh3_64_intdigest(data[p - more:p + gram], 1) - 2**63, *key))
+                    if p + gram + more <= len(data):
+                        found.append((xxh3_64_intdigest(data[p:p + gram + more], 2) - 2**63, *key))
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64()) for c in zip(*found)], names=["half", "gram", "context", "first", "last"])
+
+    return texts.mapInArrow(cut, "half long, gram long, context long, first long, last long")
+
+
+def _marks(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """``doc_id, row, start, past`` of repeated text around an anchor, and ``seen_start, seen_past`` of what an earlier row has."""
+    if min_bytes < 1:
+        raise ValueError("min_bytes must be positive")
+    table = stored(_anchored(rows, min_bytes), "anchors")
+    shared = table.groupBy("gram").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("gram")
+    found = stored(table.join(shared, "gram"), "shared")
+    place = F.struct("row", "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "at")
+    contexts = stored(found.groupBy("gram", "context").agg(
+        F.min(place).alias("place"), F.max("row").alias("last"), F.first("low").alias("low"), F.first("high").alias("high")), "contexts")
+    # A gram with one context is repeated as far as the context goes; others are compared passage by passage.
+    several = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    keyed = rows.select("record.text", F.xxhash64("record.text").alias("text_hash"), F.coalesce(F.col("record.doc_id").cast("string"), F.lit("")).alias("id_key"))
+
+    def texts(wanted: DataFrame, name: str) -> DataFrame:
+        spots = wanted.groupBy("place.text_hash", "place.id_key").agg(F.collect_list(
+            F.struct("place.at", "gram", "context", F.col("place.row").alias("first"), "last")).alias("spots"))
+        return lookup(keyed, stored(spots, name), ["text_hash", "id_key"]).select("text", "spots")
+
+    unlike = contexts.join(several, "gram", "left_semi")
+    halves = stored(_halves(texts(unlike, "spots"), min_bytes), "halves")
+    alike = halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).filter("lo <> hi").select("half")
+    close = halves.join(alike, "half", "left_semi").select("gram", "context").distinct()
+    around = stored(_around(texts(unlike.join(close, ["gram", "context"], "left_semi"), "close"), min_bytes), "passages")
+    met = around.groupBy("digest").agg(F.min("first").alias("begin"), F.max("last").alias("end")).filter("begin <> end").select("digest", "begin")
+    early = lambda c: F.when(F.col("begin") < F.col("first"), F.col(c))
+    compared = around.join(met, "digest").groupBy("gram", "context").agg(
+        F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min(early("low")).alias("seen_low"), F.max(early("high")).alias("seen_high"))
+    whole = contexts.join(several, "gram", "left_anti").select(
+        "gram", "context", F.col("place.row").alias("first"), "low", "high", F.lit(None).cast("int").alias("seen_low"), F.lit(None).cast("int").alias("seen_high"))
+    known = stored(compared.select(whole.columns).unionByName(whole), "known")
+    marked = found.drop("low", "high").join(known, ["gram", "context"])
+    later = F.col("row") > F.col("first")
+    return marked.select(
+        "doc_id", "row", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("past"),
+        (F.col("at") + F.when(later, F.col("low")).otherwise(F.col("seen_low"))).alias("seen_start"),
+        (F.col("at") + F.when(later, F.col("high")).otherwise(F.col("seen_high"))).alias("seen_past"))
+
+
+def _joined(marks: DataFrame, start: str, past: str) -> DataFrame:
+    """Marks numbered by ``run``: those that overlap or touch are one."""
+    along = Window.partitionBy("row").orderBy(start, past)
+    before = F.max(past).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col(start) > before, F.lit(True)).cast("int")
+    return marks.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = 90) -> DataFrame:
     """``doc_id, span_start, span_bytes, n_chunks, n_seen_before`` for spans that occur in several rows.
 
-    Places count bytes of the UTF-8 text. Every row that holds a passage reports it, the first
-    one with ``n_seen_before`` 0 for what is new there. Passages are found up to a chunk short
-    at either end. Null and empty texts have no chunks; repeats inside one row alone are no
-    spans; repeated rows and rows with a null doc_id count as rows of their own.
+    Every stretch of whole characters with ``min_bytes`` or more that another row has too is found
+    in full; stretches that overlap or touch are one span. Places count bytes of the UTF-8 text.
+    Every row that holds a passage reports it. ``n_chunks`` counts the anchors of a span,
+    ``n_seen_before`` those whose surroundings an earlier row already has. Null and empty texts
+    have no spans; repeats inside one row alone are none; repeated rows and rows with a null
+    doc_id count as rows of their own.
     """
-    return _runs(numbered(docs.select("doc_id", "text")), min_bytes).drop("row", "run")
+    marks = _joined(_marks(numbered(docs.select("doc_id", "text")), min_bytes), "start", "past")
+    seen = F.coalesce((F.col("seen_start") == F.col("start")) & (F.col("seen_past") == F.col("past")), F.lit(False))
+    spans = marks.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("span_start"), (F.max("past") - F.min("start")).cast("long").alias("span_bytes"),
+        F.count("*").alias("n_chunks"), F.count(F.when(seen, 1)).alias("n_seen_before"))
+    return spans.drop("row", "run")
 
 
 def without_repeats(docs: DataFrame, min_bytes: int = 90) -> DataFrame:
     """``docs`` whose ``text`` has lost the spans that an earlier row already holds; other columns stay."""
     rows = stored(numbered(docs), "records")
-    marks = _runs(rows, min_bytes).filter("n_seen_before = n_chunks").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("span_start", "span_bytes"))).alias("spans"))
+    seen = _joined(_marks(rows, min_bytes).filter("seen_start is not null"), "seen_start", "seen_past").groupBy("row", "run").agg(
+        F.min("seen_start").alias("span_start"), (F.max("seen_past") - F.min("seen_start")).cast("long").alias("span_bytes"))
+    marks = seen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_bytes"))).alias("spans"))
     data = F.encode(F.col("record.text"), "utf-8")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["span_start"] + s["span_bytes"]))
     ends = F.concat(F.transform("spans", lambda s: s["span_start"].cast("long")), F.array(F.octet_length("record.text").cast("long")))
