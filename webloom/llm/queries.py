@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chunk_dedup, decontaminate, langid, line_dedup, lm_scoring, minhash, packing, quality, sharding, warc
+from webloom.llm import chunk_dedup, decontaminate, langid, line_dedup, lm_scoring, minhash, packing, prefix_trie, quality, sharding, warc
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,40 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.train(docs.filter(~held_out))
     return langid.tag(docs, model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", F.greatest(F.size("spans") - 1, F.lit(0)).alias("n_switches"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(t ORDER BY pos) AS l FROM turns GROUP BY conv_id),
+bits AS (
+  SELECT o.conv_id, o.l, coalesce(b.l, []) AS lent, CAST(o.conv_id AS VARCHAR) AS s FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+crc AS (
+  WITH RECURSIVE step AS (
+    SELECT conv_id, s, 1 AS i, 4294967295::BIGINT AS c FROM bits
+    UNION ALL
+    SELECT conv_id, s, i + 1, list_reduce([xor(c, ascii(substr(s, i, 1))::BIGINT), 1, 2, 3, 4, 5, 6, 7, 8],
+      lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END) FROM step WHERE i <= length(s))
+  SELECT conv_id, xor(c, 4294967295::BIGINT) % 4 AS h FROM step WHERE i = length(s) + 1),
+convs AS (SELECT b.conv_id, list_concat(b.lent[1:h], b.l[h + 1:]) AS l FROM bits b JOIN crc USING (conv_id)),
+prefixes AS (SELECT conv_id, d, l[1:d] AS k, l[d].text AS last, d = len(l) AS at_end FROM convs, unnest(range(0, len(l) + 1)) AS r(d)),
+nodes AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n,
+         (count(*) - 1) * coalesce(len(list_filter(regexp_split_to_array(any_value(last), '[ 	-]+'), lambda x: x <> '')), 0) AS saved,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE at_end), '') AS ends
+  FROM prefixes GROUP BY d, k),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+listed AS (SELECT n.*, coalesce(c.n, 0) AS children FROM nodes n LEFT JOIN kids c ON c.k = n.k),
+below AS (
+  SELECT k[1:a] AS k, sum(saved) AS saved, count(*) FILTER (WHERE children = 0) AS leaves FROM listed, unnest(range(0, d + 1)) AS r(a) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n AS BIGINT) AS n_convs, CAST(n.children AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM listed n JOIN below b ON b.k = n.k LEFT JOIN nodes p ON n.d > 0 AND p.k = n.k[1:n.d - 1]
+"""
