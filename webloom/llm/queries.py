@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chunk_dedup, decontaminate, langid, line_dedup, lm_scoring, minhash, packing, prefix_trie, quality, sharding, warc
+from webloom.llm import chunk_dedup, decontaminate, langid, line_dedup, lm_scoring, minhash, packing, prefix_trie, quality, sharding, warc, whitening
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,6 +234,12 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", F.greatest(F.size("spans") - 1, F.lit(0)).alias("n_switches"))
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen whitened components of every embedding, fitted on the distinct vectors."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the prefix trie of all rebuilt conversations."""
@@ -258,7 +264,8 @@ convs AS (SELECT b.conv_id, list_concat(b.lent[1:h], b.l[h + 1:]) AS l FROM bits
 prefixes AS (SELECT conv_id, d, l[1:d] AS k, l[d].text AS last, d = len(l) AS at_end FROM convs, unnest(range(0, len(l) + 1)) AS r(d)),
 nodes AS (
   SELECT d, k, min(conv_id) AS conv_id, count(*) AS n,
-         (count(*) - 1) * coalesce(len(list_filter(regexp_split_to_array(any_value(last), '[ 	-]+'), lambda x: x <> '')), 0) AS saved,
+         (count(*) - 1) * coalesce(len(list_filter(regexp_split_to_array(any_value(last), '[ 	-
+]+'), lambda x: x <> '')), 0) AS saved,
          coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE at_end), '') AS ends
   FROM prefixes GROUP BY d, k),
 kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
