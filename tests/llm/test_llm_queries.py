@@ -16,7 +16,7 @@ from webloom.llm.common import stored, table
 
 def test_entry_offers_the_queries():
     names = {n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chunk_dedup, decontaminate, langid, line_dedup, lm_scoring, minhash, packing, prefix_trie, quality, sharding, warc, whitening
+from webloom.llm import chunk_dedup, decontaminate, langid, line_dedup, lm_scoring, minhash, packing, prefix_trie, quality, sharding, toxicity, warc, whitening
 from webloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,6 +234,16 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", F.greatest(F.size("spans") - 1, F.lit(0)).alias("n_switches"))
 
 
+@query
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; three quarters of the labelled documents may train."""
+    docs = table(spark, folder, "documents")
+    held_out = lm_scoring.remainder(4) == 2
+    model = toxicity.train(docs.filter(~held_out), table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen whitened components of every embedding, fitted on the distinct vectors."""
