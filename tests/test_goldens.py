@@ -200,13 +200,3 @@ def test_sitemaps(spark):
         ("http://a/2", "li da da")], "loc string, body string")
     assert [r["url"] for r in S.scan_sitemap_any(files, files).collect()] == ["http://a/p?x=1&y=2"] * 2
     assert S.scan_sitemap(files.filter("loc = 'http://a/2'")).count() == 0
-
-
-def test_warc_record_with_separator_inside(spark, tmp_path):
-    path = str(tmp_path / "a.warc")
-    body = "line one\r\n\r\nline two"
-    with open(path, "wb") as f:
-        for _ in range(3):
-            f.write(f"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode())
-    rows = S.scan_warc(spark, path).collect()
-    assert len(rows) == 3 and all(r["body"] == body and r["complete"] and r["headers"]["warc-type"] == "resource" for r in rows)

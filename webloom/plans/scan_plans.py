@@ -11,6 +11,7 @@ from webloom.plans.registry import query
 from webloom.plans.search_plans import BAG, VOCAB, words
 from webloom.session import shared_dir
 from webloom.sources import files as S
+from webloom.sources.archives import scan_warc as scan_warc_files
 
 
 def stage(t) -> str:
@@ -157,15 +158,22 @@ def feed_block(t):
     return S.scan_feed(t.spark, feed(t), ("Title", "Link")).filter("link is not null")
 
 
-@query("scan_warc", "select url, case when page_id % 2 = 0 then 'response' else 'resource' end as type, md5(html) as digest, true as complete from pages")
+@query("scan_warc", """select url, case when page_id % 2 = 0 then 'response' else 'resource' end as type, page_id % 3 as kind,
+  case when page_id % 3 = 0 then md5(html) when page_id % 3 = 1 then md5('WARC/1.0' || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) || 'WARC/1.1' || chr(13) || chr(10) || html)
+  else md5(unhex(hex(encode(html)) || 'FF00FE')) end as digest, true as complete from pages""")
 def scan_warc(t):
+    """Both versions in one archive; bodies with a record separator inside and bodies that are no UTF-8."""
     path = stage(t)
     kind = F.when(F.col("page_id") % 2 == 0, "response").otherwise("resource")
-    record = F.concat(F.lit("WARC/1.0\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Target-URI: "), "url", F.lit("\r\nContent-Length: "),
-                      F.octet_length("html"), F.lit("\r\n\r\n"), "html")
-    t.pages.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
-    read = S.scan_warc(t.spark, path)
-    return read.select(F.col("headers")["warc-target-uri"].alias("url"), F.col("headers")["warc-type"].alias("type"),
+    nested = F.concat(F.lit("WARC/1.0\r\n\r\n"), "html", F.lit("\r\n\r\nWARC/1.1\r\n"), "html")
+    body = F.when(F.col("page_id") % 3 == 0, F.col("html").cast("binary")).when(F.col("page_id") % 3 == 1, nested.cast("binary")).otherwise(
+        F.concat(F.col("html").cast("binary"), F.unhex(F.lit("FF00FE"))))
+    head = F.concat(F.lit("WARC/1."), F.when(F.col("page_id") % 2 == 0, "0").otherwise("1"), F.lit("\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Target-URI: "), "url",
+                    F.lit("\r\nX-Kind: "), F.col("page_id") % 3, F.lit("\r\ncontent-length: "), F.octet_length(body), F.lit("\r\n\r\n"))
+    t.pages.select(F.concat(head.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    read = scan_warc_files(t.spark, path)
+    header = lambda name: F.col("headers")[name]
+    return read.select(header("warc-target-uri").alias("url"), header("warc-type").alias("type"), header("x-kind").cast("bigint").alias("kind"),
                        F.md5("body").alias("digest"), "complete")
 
 

@@ -47,6 +47,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

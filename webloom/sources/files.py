@@ -122,20 +122,6 @@ def scan_feed(spark: SparkSession, path: str, fields: tuple[str, ...], row_tag:
     return items.toDF(*[f.lower() for f in fields]).dropna("all")
 
 
-def scan_warc(spark: SparkSession, path: str) -> DataFrame:
-    """WARC records: lower-cased header map, body of Content-Length bytes, and whether all of it is there."""
-    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.0\r\n").text(path)
-    record = F.regexp_replace("value", r"\AWARC/1\.0\r\n", "")
-    cut = F.instr(record, "\r\n\r\n")
-    lines = F.filter(F.split(F.substring(record, F.lit(1), cut - 1), "\r\n"), lambda x: x != "")
-    headers = F.map_from_entries(F.transform(lines, lambda x: F.struct(
-        F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))))))
-    parts = raw.select(headers.alias("headers"), F.encode(F.substring(record, cut + 4, F.length(record)), "UTF-8").alias("bytes"))
-    size = F.element_at("headers", F.lit("content-length")).cast("int")
-    return parts.select("headers", F.decode(F.substring("bytes", F.lit(1), size), "UTF-8").alias("body"),
-                        (F.octet_length("bytes") >= size).alias("complete"))
-
-
 def scan_json_lines_typed(lines: DataFrame, schema: str) -> DataFrame:
     """Typed posts; a blank unique slug is built from slug and id."""
     post = lines.select(F.from_json("value", schema).alias("p")).select("p.*")
