@@ -8,17 +8,16 @@ the state store; results go to files, never through the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
 from webloom.operators.fetchlog import is_success
 from webloom.operators.spread import spread
-from webloom.session import shared_dir
+from webloom.session import shared_dir, ship
+from webloom.streaming.ordered import in_order
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -29,7 +28,7 @@ def as_stream(df: DataFrame, key: str, batches: int = 4) -> DataFrame:
     """A table replayed as a stream of files in about ``batches`` micro-batches.
 
     The table is written by as many tasks as it has partitions. Files of one write have no
-    promised order, so jobs that drop late rows take them in one batch.
+    promised order, so jobs that drop late rows use ``steps`` instead.
     """
     spark, path = df.sparkSession, folder(df.sparkSession, "stream")
     spread(df, key).write.parquet(path)
@@ -41,33 +40,76 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process what is there and return the result table; ``update`` results carry ``batch``.
+#: State partitions of a job. They are fixed when it first runs, so they must not follow the cluster of the day.
+STATE_PARTITIONS = 16
 
-    State is kept in RocksDB, on the executors' disks rather than their heaps.
+
+def run_to_end(stream: DataFrame, out: str, state: str, mode: str = "append", partitions: int = STATE_PARTITIONS,
+               sink: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Process what has arrived since the last run on the same ``state`` folder, then stop.
+
+    State is kept in RocksDB, on the executors' disks rather than their heaps. The settings are
+    those of a session of its own; the caller's stay as they are.
     """
     spark = stream.sparkSession
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    settings = {
-        PROVIDER: ROCKSDB,
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        # Every partition keeps a store open, so more than two per core only cost time.
-        "spark.sql.shuffle.partitions": str(min(int(partitions), 2 * spark.sparkContext.defaultParallelism)),
-    }
+    settings = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+                "spark.sql.shuffle.partitions": str(partitions)}
+    before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
-    out, state = folder(spark, "sink"), folder(spark, "state")
-    if mode == "append":
+    if sink is not None:
+        writer = stream.writeStream.foreachBatch(sink)
+    elif mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out)
     else:
         writer = stream.writeStream.foreachBatch(
             lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}"))
-    running = writer.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        running = writer.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+    finally:  # a started query has its own copy
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     running.awaitTermination()
+
+
+def drain(stream: DataFrame, mode: str = "append", partitions: int = STATE_PARTITIONS) -> DataFrame:
+    """Process what is there and return the result table; ``update`` results carry ``batch``."""
+    spark = stream.sparkSession
+    out, state = folder(spark, "sink"), folder(spark, "state")
+    run_to_end(stream, out, state, mode, partitions)
     return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", IntegerType())).parquet(out)
 
 
+def jittered(df: DataFrame, time: str, tie: str, minutes: int, batches: int = 4) -> list[DataFrame]:
+    """A table in ``batches`` parts as it might arrive: by ``time``, rows up to ``minutes`` too late."""
+    at = F.unix_micros(time)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return [df]
+    arrival = at + F.pmod(F.xxhash64(tie), F.lit(max(1, minutes * 60_000_000)))
+    part = F.least(F.floor((arrival - low) * batches / (high - low + 1)), F.lit(batches - 1))
+    return [df.filter(part == k) for k in range(batches)]
+
+
+def steps(parts: list[DataFrame], job: Callable[[DataFrame], DataFrame], mode: str = "append", partitions: int = STATE_PARTITIONS,
+          sink: Callable[[DataFrame, int], None] | None = None, between: Callable[[int], None] | None = None) -> DataFrame | None:
+    """Feed a job one part after the other, each in a run that picks up the state of the run before.
+
+    Returns the result table (none if a ``sink`` takes the batches); ``between`` is called after each run.
+    """
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    source, out, state = (folder(spark, name) for name in ("stream", "sink", "state"))
+    for number, part in enumerate(parts):
+        part.write.mode("append").parquet(source)
+        result = job(spark.readStream.schema(schema).parquet(source))
+        run_to_end(result, out, state, mode, partitions, sink)
+        if between is not None:
+            between(number)
+    if sink is not None:
+        return None
+    return spark.read.schema(result.schema if mode == "append" else result.schema.add("batch", IntegerType())).parquet(out)
+
+
 def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Last update of every key."""
     rest = [c for c in updates.columns if c not in (*keys, "batch", "part")]
@@ -85,11 +127,27 @@ def bounded_frontier(urls: DataFrame, delay: str) -> DataFrame:
     return urls.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["url"])
 
 
-def statistics(log: DataFrame) -> DataFrame:
-    """Running totals per site."""
-    return log.groupBy("site").agg(
-        F.count("*").alias("requests"), F.count_if(is_success(F.col("status"))).alias("successes"),
-        F.sum("size").alias("total_size"), F.min("started").alias("first_start"), F.max("ended").alias("last_end"))
+def statistics(log: DataFrame, delay: str) -> DataFrame:
+    """State of each site's statistics right after every fetch, like the batch ``running_snapshots``.
+
+    Fetches are taken in the order of ``ended`` (``ts`` as a timestamp), equal ones by event_id; a fetch comes out once
+    the watermark has passed it.
+    """
+    def step(total: tuple, row) -> tuple[tuple, tuple]:
+        n, good, served, size, spent, first, last = total
+        answered = row.status != 0
+        n, good, served = n + 1, good + (200 <= row.status <= 399), served + answered
+        if answered:
+            size, spent = size + row.size, spent + row.ended - row.started
+            first, last = min(first, row.started) if served > 1 else row.started, max(last, row.ended) if served > 1 else row.ended
+        whole = (lambda v: v // served) if served else (lambda v: None)
+        per_second = n * 1e6 / (last - first) if served and last > first else None
+        return (n, good, served, size, spent, first, last), (row.event_id, row.ended, n, good, whole(size), whole(spent), per_second)
+
+    rows = log.select("site", F.timestamp_micros("ended").alias("ts"), "event_id", "started", "ended", "status", "size")
+    return in_order(rows, ["site"], "ts", "event_id", delay, step, (0,) * 7,
+                    "n long, good long, served long, size long, spent long, first long, last long",
+                    "event_id long, ended long, requests long, successes long, avg_size long, avg_time long, per_second double")
 
 
 def rate(events: DataFrame, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
@@ -106,30 +164,64 @@ def idle_sessions(events: DataFrame, gap: str, delay: str, by: list[str]) -> Dat
 
 def ttl_cache(requests: DataFrame, ttl_seconds: int, delay: str = "10 minutes") -> DataFrame:
     """(key, id, ts, served, result): a stored result answers while it is at most ``ttl`` old,
-    else the request's own value is stored. Input: key, id, ts, value. Results older than the
-    TTL leave the state once the watermark has passed them."""
-    ttl = pd.Timedelta(seconds=ttl_seconds)
-
-    def answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, result = state.get if state.exists else (None, None)
-        # Chunk by chunk, as requests arrive: a busy key is never held whole.
-        for frame in frames:
-            out = []
-            for one in frame.sort_values(["ts", "id"]).itertuples(index=False):
-                served = at is not None and one.ts - pd.Timestamp(at, unit="us") <= ttl
-                if not served:
-                    at, result = one.ts.value // 1000, float(one.value)
-                out.append((key[0], one.id, one.ts, served, result))
-            yield pd.DataFrame(out, columns=["key", "id", "ts", "served", "result"])
-        state.update((at, result))
-        state.setTimeoutTimestamp(max(at // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-
-    return requests.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
-        answer, "key bigint, id bigint, ts timestamp, served boolean, result double", "made_at bigint, result double",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    else the request's own value is stored. Input: key, id, ts, value.
+
+    Requests are answered in event time, equal times by id, once the watermark has passed them. A key's
+    result leaves the state when the watermark has passed its time to live.
+    """
+    ttl = ttl_seconds * 1_000_000
+
+    def step(stored: tuple, row) -> tuple[tuple, tuple]:
+        at, result = stored
+        now = row.ts.value // 1000
+        served = at >= 0 and now - at <= ttl
+        if not served:
+            at, result = now, float(row.value)
+        return (at, result), (row.id, row.ts, served, result)
+
+    return in_order(requests.select("key", "ts", "id", "value"), ["key"], "ts", "id", delay, step, (-1, 0.0), "at long, result double",
+                    "id long, ts timestamp, served boolean, result double", lives=lambda stored: stored[0] + ttl)
+
+
+def measure_totals(values: DataFrame) -> DataFrame:
+    """Running totals of (measure, iteration, value): count, sum, bounds and the value of the last iteration."""
+    return values.groupBy("measure").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.max_by("value", "iteration").alias("last"), F.max("iteration").alias("iteration"))
+
+
+def published(place: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A sink that merges every batch's updated rows into a table with a version per batch.
+
+    Readers take the newest finished version at any time; a batch that is repeated writes its own version
+    again, from the version before it, so nothing counts twice.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        older = newest_version(spark, place, below=number)
+        if older is not None:
+            old = spark.read.parquet(f"{place}/version={older}")
+            batch = old.join(batch.select(key), key, "left_anti").unionByName(batch)
+        batch.write.mode("overwrite").parquet(f"{place}/version={number}")
+
+    return merge
+
+
+def newest_version(spark: SparkSession, place: str, below: int | None = None) -> int | None:
+    """Number of the newest finished version of a published table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    found = [(s.getPath(), s.getPath().getName()) for s in files.listStatus(path)]
+    done = [int(name.split("=")[1]) for at, name in found if name.startswith("version=") and files.exists(at.suffix("/_SUCCESS"))]
+    return max((n for n in done if below is None or n < below), default=None)
+
+
+def current(spark: SparkSession, place: str) -> DataFrame | None:
+    """What a published table holds now; none before its first version."""
+    version = newest_version(spark, place)
+    return None if version is None else spark.read.parquet(f"{place}/version={version}")
 
 
 def page_results(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], good: str) -> tuple[DataFrame, DataFrame]:
