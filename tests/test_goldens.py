@@ -116,6 +116,25 @@ def test_measures(spark):
     assert scored(spark, BINARY).agg(M.matthews_column()).first()[0] == pytest.approx(0.57735, abs=1e-5)
     gini = spark.createDataFrame([(0, 1.0, 0.86), (1, 1.0, 0.26), (2, 0.0, 0.52), (3, 1.0, 0.32)], "id long, a double, p double")
     assert M.gini(gini, "a", "p", "id").first()["gini"] == pytest.approx(-1 / 3, abs=1e-9)
+    told = gini.selectExpr("id", "array(p) as pred", "cast(a as int) as target")
+    row = M.measure_report(told, ["gini", "eucll", "loss", "iteration"], 1, regression=True, known={"loss": 0.5, "iteration": 7.0}).first()
+    assert row["gini"] == pytest.approx(-1 / 3, abs=1e-9) and (row["loss"], row["iteration"]) == (0.5, 7.0)
+    assert row["eucll"] == pytest.approx((0.14**2 + 0.74**2 + 0.52**2 + 0.68**2) / 4)
+
+
+def test_report_from_one_confusion_table(spark):
+    rows = scored(spark, [([0.9, 0.1, 0.0], 0), ([0.2, 0.8, 0.0], 0), ([0.1, 0.9, 0.0], 1), ([0.4, 0.6, 0.0], 1)])
+    row = M.measure_report(rows, ["acc", "f1", "cmdiag", "cmfull", "mcc", "eucll"], 3).first()
+    assert row["cmdiag"] == pytest.approx([0.5, 1.0, 0.0], abs=1e-6) and row["cmfull"] == [[0.5, 0.5, 0.0], [0.0, 1.0, 0.0], [None] * 3]
+    assert row["accp"] == row["acc"] == 0.75 and row["mcc"] == pytest.approx(0.57735, abs=1e-5)
+    assert row["precision"] == pytest.approx(0.5, abs=1e-6) and row["recall"] == pytest.approx((1 + 2 / 3) / 3, abs=1e-6)
+    with pytest.raises(ValueError):
+        M.measure_report(scored(spark, [([0.5, 0.5], 2)]), ["f1"], 2)
+    for bad in ("loss", "accuracy", "unheard"):
+        with pytest.raises(ValueError):
+            M.measure_report(rows, [bad], 3)
+    empty = M.measure_report(rows.limit(0), ["acc", "f1", "cmfull"], 2).first()
+    assert empty["rows"] == 0 and empty["f1"] is None and empty["cmfull"] == [[None, None], [None, None]]
 
 
 def test_confusion(spark):
@@ -143,6 +162,9 @@ def test_log_tail(spark):
     assert tail(5, 3) == ["m2", "m3", "m4"]
     with pytest.raises(ValueError):
         L.latest_messages(log(1), -1, ["i"], "m")
+    two = log(5).withColumn("site", F.col("i") % 2)
+    got = sorted(map(tuple, L.latest_messages(two, 3, ["i"], "m", by=["site"]).collect()))
+    assert got == [(0, 1, "m0"), (0, 2, "m2"), (0, 3, "m4"), (1, 1, ""), (1, 2, "m1"), (1, 3, "m3")]
 
 
 def sequence(spark, values):

@@ -7,7 +7,7 @@ answer: it counts as a failure and stays out of time bounds and averages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.operators.ordered import running
@@ -102,14 +102,20 @@ def running_status_map(log: DataFrame) -> DataFrame:
     return counted.select("site", "event_id", "ended", "status", met.alias("requests_by_status"))
 
 
-def latest_messages(messages: DataFrame, n: int, order: list[str], text: str) -> DataFrame:
-    """Last ``n`` messages in order, padded with blanks in front when there are fewer."""
+def latest_messages(messages: DataFrame, n: int, order: list[str], text: str, by: list[str] | None = None) -> DataFrame:
+    """(by, pos, message): last ``n`` messages of each key in order, padded with blanks in front when there are fewer.
+
+    Every task passes on its last ``n`` of a key alone, so a busy key costs no more than others. Without
+    ``by`` the whole table is one key, also when it is empty.
+    """
     if n < 0:
         raise ValueError("the count cannot be negative")
-    spark = messages.sparkSession
-    last = messages.orderBy(*[F.desc(c) for c in order]).limit(n)
-    back = last.agg(F.array_sort(F.collect_list(F.struct(*order, text))).alias("tail"))
-    missing = F.lit(n) - F.size("tail")
-    return back.select(F.posexplode(F.concat(
-        F.array_repeat(F.lit(""), missing), F.transform("tail", lambda m: m[text]))).alias("pos", "message")).select(
-            (F.col("pos") + 1).cast("bigint").alias("pos"), "message")
+    by, spark = by or [], messages.sparkSession
+    rows = messages.select(*by, *order, text)
+    back = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*[F.desc(c) for c in order])
+    last = rows.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= n).select(
+        *by, (F.lit(n + 1) - F.col("_back")).cast("bigint").alias("pos"), F.col(text).alias("_message"))
+    places = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))) if n else F.explode(F.array().cast("array<bigint>"))
+    keys = messages.select(*by).distinct() if by else spark.range(1).select()
+    wanted = keys.select(*by, places.alias("pos"))
+    return wanted.join(last, [*by, "pos"], "left").select(*by, "pos", F.coalesce("_message", F.lit("")).alias("message"))

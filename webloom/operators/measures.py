@@ -137,25 +137,73 @@ def per_position_accuracy(rows: DataFrame, pred: str, target: str, classes: int)
     return totals.select("acc", mean("s", "n").alias("mean_acc"), mean("u", "m").alias("mean_iou"))
 
 
-def measure_report(rows: DataFrame, names: list[str], classes: int) -> DataFrame:
-    """One row with the chosen measures: acc, acc-k, f1, auc, mcll, mcc."""
-    direct, nested = [], []
+def target_vector() -> Column:
+    """What ``pred`` should have been: the target itself, or one at its class and zero elsewhere."""
+    return F.when(F.size("pred") == 1, F.array(F.col("target").cast("double"))).otherwise(
+        F.transform("pred", lambda p, i: (i == F.col("target")).cast("double")))
+
+
+def class_measures(rows: DataFrame, classes: int) -> dict[str, object]:
+    """f1, precision, recall, accp, mcc, cmdiag and cmfull from one confusion table of ``classes`` squared cells.
+
+    ``cmdiag`` has a class's share of its own rows that were right, ``cmfull`` a list per target class with the share
+    of its rows given to each class (null for a class without rows). Rows without a target count nowhere.
+    """
+    cells = {(r["predicted"], r["target"]): r["n"] for r in confusion_matrix(rows.filter("target is not null")).collect()}
+    if any(t < 0 or t >= classes or p is None or p >= classes for p, t in cells):
+        raise ValueError(f"a target or prediction is not among {classes} classes")
+    n = lambda p, t: float(cells.get((p, t), 0))
+    every = range(classes)
+    targets, given = [sum(n(p, t) for p in every) for t in every], [sum(n(p, t) for t in every) for p in every]
+    precision = sum(n(c, c) / (targets[c] + EPS) for c in every) / classes
+    recall = sum(n(c, c) / (given[c] + EPS) for c in every) / classes
+    tp, tn, fn, fp = (n(0, 0), n(1, 1), n(0, 1), n(1, 0)) if classes > 1 else (n(0, 0), 0.0, 0.0, 0.0)
+    spread = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+    return {
+        "precision": precision, "recall": recall, "f1": 2 * precision * recall / (precision + recall) if precision + recall else None,
+        "accp": sum(n(c, c) for c in every) / sum(targets) if sum(targets) else None,
+        "mcc": (tp * tn - fp * fn) / (spread or 1.0) ** 0.5,
+        "cmdiag": [n(c, c) / (targets[c] + EPS) for c in every],
+        "cmfull": [[n(p, t) / targets[t] if targets[t] else None for p in every] for t in every]}
+
+
+#: Measures by name; f1 brings three more.
+FROM_CELLS = {"f1": ["precision", "recall", "f1", "accp"], "mcc": ["mcc"], "cmdiag": ["cmdiag"], "cmfull": ["cmfull"]}
+KINDS = {"cmdiag": "array<double>", "cmfull": "array<array<double>>"}
+
+
+def measure_report(rows: DataFrame, names: list[str], classes: int, regression: bool = False, known: dict[str, float] | None = None) -> DataFrame:
+    """One row with the chosen measures: acc, acc-k, f1, cmdiag, cmfull, auc, gini, mcll, mcc, eucll, and
+    loss, train_loss or iteration, which the training job tells in ``known``.
+
+    Gini compares the targets in the order of the best class with their own, for ``regression`` in the order
+    of the predicted value.
+    """
+    direct, nested, fixed = [], [], []
+    cells = class_measures(rows, classes) if any(name in FROM_CELLS for name in names) else {}
+    literal = lambda value, kind: F.lit(None).cast(kind) if value is None else F.array(*[literal(v, kind[6:-1]) for v in value]) if kind[:5] == "array" else F.lit(value).cast(kind)
     for name in names:
-        if name.startswith("acc"):
-            k = int(name.split("-")[1]) if "-" in name else 1
-            direct += accuracy_columns([k])
+        if name == "acc" or name.startswith("acc-"):
+            direct += accuracy_columns([int(name[4:] or 1)])
         elif name == "mcll":
             direct.append(log_loss_column().alias("mcll"))
-        elif name == "mcc":
-            direct.append(matthews_column().alias("mcc"))
-        elif name == "f1":
-            nested += [(m, precision_recall_f1(rows, classes), m) for m in ("precision", "recall", "f1", "accp")]
+        elif name == "eucll":
+            direct.append(F.avg(squared_distance(F.col("pred"), target_vector())).alias("eucll"))
+        elif name in FROM_CELLS:
+            fixed += [literal(cells[m], KINDS.get(m, "double")).alias(m) for m in FROM_CELLS[name]]
         elif name == "auc":
             nested.append(("auc", auc(rows, F.get("pred", 1), F.col("target") == 1), "auc"))
+        elif name == "gini":
+            told = F.get("pred", 0) if regression else argmax(F.col("pred")).cast("double")
+            nested.append(("gini", gini(rows.select("id", F.col("target").cast("double").alias("a"), told.alias("p")), "a", "p", "id"), "gini"))
+        elif name in ("loss", "train_loss", "iteration"):
+            if name not in (known or {}):
+                raise ValueError(f"{name} must be told by the training job")
+            fixed.append(F.lit(known[name]).cast("double").alias(name))
         else:
             raise ValueError(f"unknown measure {name}")
     base = rows.agg(F.count("*").alias("rows"), *direct)
-    return base.select("*", *[frame.select(column).scalar().alias(alias) for alias, frame, column in nested])
+    return base.select("*", *fixed, *[frame.select(column).scalar().alias(alias) for alias, frame, column in nested])
 
 
 def measure_history(log: DataFrame) -> DataFrame:

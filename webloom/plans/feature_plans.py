@@ -166,13 +166,17 @@ def path_distances(t):
     return t.part.select("p_partkey", V.prefix_distance(a, b).alias("prefix"), F.round(size, 9).alias("size"), F.round(V.boost(size), 9).alias("boosted"))
 
 
-@query("class_similarity", """with c as (select doc_id, list_distinct(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda x: x <> '')) as a,
-    list_distinct(list_filter(string_split(split_part(text, chr(10), 2), ' '), lambda x: x <> '')) as b from documents),
-  n as (select doc_id, least(3, len(a)) as a, least(3, len(b)) as b, least(3, len(list_intersect(a, b))) as k from c)
-  select doc_id, round((1 + k)::double / (1 + a + b - k), 9) as similarity from n""")
+@query("class_similarity", """with l as (select doc_id, unnest(range(1, len(string_split(text, chr(10))))) as pos, string_split(text, chr(10)) as lines from documents),
+  c as (select doc_id, pos, list_distinct(list_filter(string_split(lines[pos], ' '), lambda x: x <> '')) as a,
+    list_distinct(list_filter(string_split(lines[pos + 1], ' '), lambda x: x <> '')) as b from l),
+  n as (select doc_id, pos, least(3, len(a)) as a, least(3, len(b)) as b, least(3, len(list_intersect(a, b))) as k from c)
+  select doc_id, pos, round((1 + k)::double / (1 + a + b - k), 9) as similarity from n""")
 def class_similarity(t):
-    line = lambda i: F.filter(F.split(F.coalesce(F.get(F.split("text", "\n"), i), F.lit("")), " "), lambda x: x != "")
-    return t.documents.select("doc_id", F.round(V.class_similarity(line(0), line(1), 3), 9).alias("similarity"))
+    """Every line of a text against the next one."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("b"))
+    return t.documents.select("doc_id", F.posexplode(F.filter(pairs, lambda p: p["b"].isNotNull())).alias("at", "p")).select(
+        "doc_id", (F.col("at") + 1).cast("bigint").alias("pos"), F.round(V.class_similarity(F.col("p.a"), F.col("p.b"), 3), 9).alias("similarity"))
 
 
 @query("deep_merge", """select o_orderkey, '/a/status=' || case when o_orderkey % 2 = 0 then 'new' else o_orderstatus end || ';/b/price=' || o_totalprice || ';/c/rank=' || o_orderpriority as merged from orders""")

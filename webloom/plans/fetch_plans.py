@@ -88,13 +88,13 @@ def last_snapshot(t):
 MESSAGE = "content_type || ' ' || status"
 
 
-@query("latest_messages", f"""with {LOG}, tail as (select *, row_number() over (order by ended desc, event_id desc) as back from log where site = 3)
-  select p.pos, coalesce(content_type || ' ' || status, '') as message
-  from (select unnest(range(1, 5001)) as pos) p left join tail on tail.back = 5001 - p.pos""")
+@query("latest_messages", f"""with {LOG}, tail as (select *, row_number() over (partition by site order by ended desc, event_id desc) as back from log)
+  select s.site, p.pos, coalesce(content_type || ' ' || status, '') as message
+  from (select distinct site from log) s, (select unnest(range(1, 1101)) as pos) p left join tail on tail.back = 1101 - p.pos and tail.site = s.site""")
 def latest_messages(t):
-    """More lines are asked for than the site has, so the front is padded."""
-    log = L.fetch_log(t.events).filter("site = 3").withColumn("message", F.concat_ws(" ", "content_type", "status"))
-    return L.latest_messages(log, 5000, ["ended", "event_id"], "message")
+    """The last lines of every site; more are asked for than some sites have, so their front is padded."""
+    log = L.fetch_log(t.events).withColumn("message", F.concat_ws(" ", "content_type", "status"))
+    return L.latest_messages(log, 1100, ["ended", "event_id"], "message", by=["site"])
 
 
 @query("split_on_marker", f"""with {LOG} select site, event_id, cast(coalesce(sum(case when content_type = 'signup' then 1 else 0 end) over

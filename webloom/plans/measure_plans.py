@@ -1,5 +1,5 @@
-"""Measures over predictions derived from the embeddings: the first ten components squashed
-to probabilities, with the label as target."""
+"""Measures over predictions derived from the embeddings: all components, dealt to ten classes, summed and
+squashed to probabilities, with the label as target."""
 
 from pyspark.sql import functions as F
 
@@ -9,7 +9,8 @@ from webloom.plans.registry import query
 
 CLASSES = 10
 PRED = """pred as (select vec_id as id, label as target, list_transform(o, lambda x: x / list_sum(o)) as pred from
-   (select vec_id, label, list_transform(embedding[1:10], lambda x: 1.0::double / (1.0::double + exp(-x::double))) as o from embeddings))"""
+   (select vec_id, label, list_transform(range(0, 10), lambda c: 1.0::double / (1.0::double + exp(-round(list_sum(list_transform(list_filter(range(1, len(embedding) + 1),
+     lambda i: (i - 1) % 10 = c), lambda i: embedding[i]::double)), 9)))) as o from embeddings))"""
 ARG = "list_position(pred, list_max(pred)) - 1"
 CONF = f"conf as (select {ARG} as p, target as t, count(*) as n from pred group by all)"
 F1 = f"""{CONF}, cl as (select unnest(range(10)) as c), d as (select c, coalesce((select sum(n) from conf where p = c and t = c), 0)::double as diag,
@@ -18,7 +19,10 @@ F1 = f"""{CONF}, cl as (select unnest(range(10)) as c), d as (select c, coalesce
 
 
 def predictions(t):
-    odds = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, CLASSES), lambda x: 1.0 / (1.0 + F.exp(-x)))
+    values = F.col("embedding").cast("array<double>")
+    part = lambda c: F.aggregate(F.filter(values, lambda x, i: i % CLASSES == c), F.lit(0.0), lambda a, x: a + x)
+    # Rounded, so that equal sums in another order stay equal.
+    odds = F.array(*[1.0 / (1.0 + F.exp(-F.round(part(c), 9))) for c in range(CLASSES)])
     total = F.aggregate("o", F.lit(0.0), lambda s, x: s + x)
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("target"), odds.alias("o"))
     return rows.select("id", "target", F.transform("o", lambda x: x / total).alias("pred"))
@@ -82,12 +86,15 @@ def log_loss(t):
     return rounded(predictions(t).agg(M.log_loss_column().alias("mcll")))
 
 
-@query("matthews_corr", f"""with {PRED}, b as (select list_position(pred[1:2], list_max(pred[1:2])) - 1 as p, target % 2 as t from pred),
+@query("matthews_corr", f"""with {PRED}, b as (select case when round(list_sum(list_transform(range(1, 11, 2), lambda i: pred[i])), 9) >= round(list_sum(list_transform(range(2, 11, 2), lambda i: pred[i])), 9)
+    then 0 else 1 end as p, target % 2 as t from pred),
   c as (select count(*) filter (p = 0 and t = 0)::double as tp, count(*) filter (p = 1 and t = 1)::double as tn, count(*) filter (p = 0 and t = 1)::double as fn,
    count(*) filter (p = 1 and t = 0)::double as fp from b)
   select round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) as mcc from c""")
 def matthews_corr(t):
-    two = predictions(t).select((F.col("target") % 2).alias("target"), F.slice("pred", 1, 2).alias("pred"))
+    """Even against odd classes, each side with the probabilities of all its classes."""
+    side = lambda k: F.round(F.aggregate(F.filter("pred", lambda p, i: i % 2 == k), F.lit(0.0), lambda a, p: a + p), 9)
+    two = predictions(t).select((F.col("target") % 2).alias("target"), F.array(side(0), side(1)).alias("pred"))
     return rounded(two.agg(M.matthews_column().alias("mcc")))
 
 
@@ -113,15 +120,34 @@ def per_position_accuracy(t):
     return rounded(M.per_position_accuracy(rows, "p", "t", 3))
 
 
-@query("measure_report", f"""with {PRED}, {F1}, k as (select {RANK} as rank, -ln(pred[target + 1]) as ll, id from pred),
+MILLIONTHS = "cast(round(({}) * 1000000) as bigint)"
+
+
+@query("measure_report", f"""with {PRED}, {F1}, k as (select {RANK} as rank, -ln(pred[target + 1]) as ll, id,
+    list_sum(list_transform(range(1, 11), lambda i: (pred[i] - (i - 1 = target)::int) * (pred[i] - (i - 1 = target)::int))) as e from pred),
   b2 as (select (target = 1)::int as y, pred[2] as s from pred), r2 as (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0::double as rk from b2),
-  au as (select (sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::double) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auc from r2)
-  select count(*) as rows, round(avg((rank <= 1)::int), 6) as acc, round(avg((rank <= 3)::int), 6) as acc3, round(avg(ll), 6) as mcll,
+  au as (select (sum(rk) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2.0::double) / (count(*) filter (y = 1) * count(*) filter (y = 0)) as auc from r2),
+  g as (select target::double as a, {ARG} as p, id from pred),
+  gx as (select sum(a) over (order by p desc, id rows unbounded preceding) / sum(a) over () - row_number() over (order by p desc, id) / count(*) over ()::double as d1,
+    sum(a) over (order by a desc, id rows unbounded preceding) / sum(a) over () - row_number() over (order by a desc, id) / count(*) over ()::double as d2 from g),
+  gi as (select sum(d1) / sum(d2) as gini from gx),
+  two as (select coalesce(sum(n) filter (p = 0 and t = 0), 0)::double as tp, coalesce(sum(n) filter (p = 1 and t = 1), 0)::double as tn,
+    coalesce(sum(n) filter (p = 0 and t = 1), 0)::double as fn, coalesce(sum(n) filter (p = 1 and t = 0), 0)::double as fp from conf),
+  mc as (select (tp * tn - fp * fn) / sqrt(case when (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 then 1 else (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) end) as mcc from two),
+  dg as (select string_agg({MILLIONTHS.format('diag / (targ + 1e-8::double)')}::varchar, ',' order by c) as cmdiag from d),
+  cf as (select string_agg({MILLIONTHS.format('coalesce((select n from conf where p = x.c and t = y.c), 0)::double / y.targ')}::varchar, ',' order by y.c, x.c) as cmfull from d x, d y)
+  select count(*) as rows, round(avg((rank <= 1)::int), 6) as acc, round(avg((rank <= 3)::int), 6) as acc3, round(avg(ll), 6) as mcll, round(avg(e), 6) as eucll,
    any_value(round(precision, 6)) as precision, any_value(round(recall, 6)) as recall, any_value(round(2 * precision * recall / (precision + recall), 6)) as f1,
-   any_value(round(accp, 6)) as accp, any_value(round(auc, 6)) as auc from k, pr, au""")
+   any_value(round(accp, 6)) as accp, any_value(round(auc, 6)) as auc, any_value(round(gini, 6)) as gini, any_value(round(mcc, 6)) as mcc,
+   any_value(cmdiag) as cmdiag, any_value(cmfull) as cmfull, round(avg(ll), 6) as loss from k, pr, au, gi, mc, dg, cf""")
 def measure_report(t):
-    report = M.measure_report(predictions(t), ["acc", "acc-3", "f1", "auc", "mcll"], CLASSES)
-    return rounded(report.withColumnRenamed("acc-3", "acc3"))
+    """Every measure the report knows; the loss told by the job is the log loss here."""
+    rows = predictions(t)
+    loss = rows.agg(M.log_loss_column()).first()[0]
+    names = ["acc", "acc-3", "f1", "cmdiag", "cmfull", "auc", "gini", "mcll", "mcc", "eucll", "loss"]
+    report = M.measure_report(rows, names, CLASSES, known={"loss": loss})
+    listed = lambda values: F.array_join(F.transform(values, lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",")
+    return rounded(report.withColumnRenamed("acc-3", "acc3").withColumn("cmdiag", listed(F.col("cmdiag"))).withColumn("cmfull", listed(F.flatten("cmfull"))))
 
 
 @query("measure_history", """select event_type as measure, row_number() over (partition by event_type order by event_id) as step, value from events""")

@@ -118,12 +118,14 @@ def unindent(t):
 
 
 @query("common_prefix", r"""
-select doc_id, (select max(case when left(a, n) = left(b, n) then left(a, n) else '' end)
-  from (select unnest(range(0, least(length(a), length(b)) + 1)) as n)) as shared
-from (select doc_id, split_part(text, ' ', 1) as a, split_part(text, ' ', 2) as b from documents)""")
+select doc_id, pos, left(a, coalesce(list_position(list_transform(range(1, length(a) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1)), false) - 1, length(a))) as shared
+from (select doc_id, pos, w[pos] as a, w[pos + 1] as b from (select doc_id, string_split(text, ' ') as w, unnest(range(1, len(string_split(text, ' ')))) as pos from documents))""")
 def common_prefix(t):
-    words = F.split("text", " ")
-    return t.documents.select("doc_id", T.common_prefix(F.get(words, 0), F.coalesce(F.get(words, 1), F.lit(""))).alias("shared"))
+    """What every word of a text shares with the next one."""
+    words = t.documents.select("doc_id", F.split("text", " ").alias("w"))
+    pairs = F.filter(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b")), lambda p: p["b"].isNotNull())
+    return words.select("doc_id", F.posexplode(pairs).alias("at", "p")).select(
+        "doc_id", (F.col("at") + 1).cast("bigint").alias("pos"), T.common_prefix(F.col("p.a"), F.col("p.b")).alias("shared"))
 
 
 @query("parse_short_number", """
