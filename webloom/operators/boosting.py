@@ -1,41 +1,105 @@
-"""Gradient-boosted trees from pyspark.ml with a measured hold-out."""
+"""Gradient-boosted trees from pyspark.ml, measured on a hold-out while the ensemble grows.
+
+An ensemble of n rounds begins with that of any fewer rounds, so one training run gives the
+measures of all its prefixes: every tree's answer is a column, and the running sums of those
+columns are the margins after each round.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel
+from collections.abc import Iterator
+
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators.features import MinMaxScale, hash_order
 from webloom.operators.measures import measure_report
+from webloom.session import checkpoint
 
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
 
 
-def train(rows: DataFrame, features: list[str], label: str, rounds: int, seed: int) -> OneVsRestModel:
-    booster = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=4, seed=seed)
-    return OneVsRest(classifier=booster, featuresCol="features", labelCol=label).fit(assemble(rows, features))
+def train(rows: DataFrame, features: list[str], label: str, classes: int, rounds: int, seed: int, depth: int = 4) -> list[GBTClassificationModel]:
+    """One ensemble per class against all others; a single one where there are two classes."""
+    ready = checkpoint(assemble(rows, features).select("features", label))
+    fit = lambda c: GBTClassifier(featuresCol="features", labelCol="one", maxIter=rounds, maxDepth=depth, seed=seed).fit(
+        ready.select("features", (F.col(label) == c).cast("double").alias("one")))
+    return [fit(1)] if classes == 2 else [fit(c) for c in range(classes)]
 
 
-def predict(model: OneVsRestModel, rows: DataFrame, features: list[str], label: str, classes: int) -> DataFrame:
-    """(pred, target): one-against-all margins squashed and normalized over the classes."""
-    from pyspark.ml.functions import vector_to_array
+def staged_margins(models: list, rows: DataFrame, features: list[str]) -> DataFrame:
+    """``rows`` with ``margins``: for each ensemble the weighted answers of its trees, summed up round by round."""
+    ready = assemble(rows, features)
+    columns = []
+    for number, model in enumerate(models):
+        answers = []
+        for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+            name = f"_tree_{number}_{k}"
+            ready = tree.setFeaturesCol("features").setPredictionCol(name).transform(ready)
+            answers.append(F.col(name) * weight)
+        columns.append(F.array(*answers))
+    sums = lambda answers: F.transform(answers, lambda a, i: F.aggregate(F.slice(answers, F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x))
+    return ready.select(*rows.columns, F.array(*[sums(a) for a in columns]).alias("margins"))
 
-    scored = model.transform(assemble(rows, features))
-    # Margin 0.5 * ln(p / (1 - p)) of the boosted trees back to a probability.
-    odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+
+def probabilities(margins: Column, after: Column | int, classes: int) -> Column:
+    """Class shares after a number of rounds. A margin is half the log odds."""
+    odds = F.transform(margins, lambda m: 1 / (1 + F.exp(-2 * F.element_at(m, F.lit(after) if isinstance(after, int) else after))))
+    if classes == 2:
+        return F.array(1 - odds[0], odds[0])
     share = F.aggregate(odds, F.lit(0.0), lambda s, x: s + x)
-    return scored.select(F.transform(odds, lambda x: x / share).alias("pred"), F.col(label).cast("int").alias("target"))
+    return F.transform(odds, lambda x: x / share)
+
 
+def predict(models: list[GBTClassificationModel], rows: DataFrame, features: list[str], label: str, classes: int) -> DataFrame:
+    """``rows`` with ``pred`` (a share per class) and ``target``, by the whole ensembles."""
+    scored = staged_margins(models, rows, features)
+    return scored.select(*rows.columns, probabilities(F.col("margins"), -1, classes).alias("pred"), F.col(label).cast("int").alias("target"))
 
-def train_report(rows: DataFrame, ids: list[str], features: list[str], label: str, classes: int, rounds: int, fraction: float, seed: int) -> DataFrame:
-    """Train on a hash-drawn share of the rows and report the measures of the rest."""
+
+def split(rows: DataFrame, ids: list[str], fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Training rows and held-out rows; a hash of the ids decides."""
     digest = F.conv(F.substring(hash_order(ids, seed), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
     tagged = rows.withColumn("_test", digest < fraction)
-    fit_rows, test_rows = tagged.filter("not _test").drop("_test"), tagged.filter("_test").drop("_test")
+    return tagged.filter("not _test").drop("_test"), tagged.filter("_test").drop("_test")
+
+
+def train_report(rows: DataFrame, ids: list[str], features: list[str], label: str, classes: int, rounds: int, every: int,
+                 fraction: float, seed: int, names: tuple[str, ...] = ("acc", "f1", "mcll")) -> DataFrame:
+    """Measures on the held-out rows after each ``every`` rounds and after the last: ``iteration`` and a column per measure.
+
+    Rows with a null feature are skipped. Features are scaled by the bounds of the training rows.
+    """
+    fit_rows, test_rows = split(rows, ids, fraction, seed)
     scale = MinMaxScale(features).fit(fit_rows)
-    model = train(scale.transform(fit_rows), features, label, rounds, seed)
-    return measure_report(predict(model, scale.transform(test_rows), features, label, classes), ["acc", "f1", "mcll"], classes)
+    models = train(scale.transform(fit_rows), features, label, classes, rounds, seed)
+    scored = checkpoint(staged_margins(models, scale.transform(test_rows), features).select(
+        F.col(label).cast("int").alias("target"), F.monotonically_increasing_id().alias("id"), "margins"))
+
+    def reports() -> Iterator[DataFrame]:
+        for step in sorted({*range(every, rounds + 1, every), rounds}):
+            at = scored.select("id", "target", probabilities(F.col("margins"), step, classes).alias("pred"))
+            yield measure_report(at, ["iteration", *names], classes, known={"iteration": step})
+
+    found = reports()
+    result = next(found)
+    for more in found:
+        result = result.unionByName(more)
+    return result
+
+
+def train_values(rows: DataFrame, features: list[str], label: str, rounds: int, seed: int, depth: int = 5) -> GBTRegressionModel:
+    """Regression trees for a real-valued label."""
+    return GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).fit(
+        checkpoint(assemble(rows, features).select("features", F.col(label).cast("double").alias(label))))
+
+
+def predict_values(model: GBTRegressionModel, rows: DataFrame, features: list[str], label: str) -> DataFrame:
+    """``rows`` with ``pred`` (an array of the one value) and ``target``, as the measures for regression want them."""
+    scored = model.setPredictionCol("_value").transform(assemble(rows, features))
+    return scored.select(*rows.columns, F.array("_value").alias("pred"), F.col(label).cast("double").alias("target"))
