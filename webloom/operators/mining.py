@@ -8,12 +8,14 @@ list of ten thousand equal entries costs one row and no pair.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.vectors import boost, class_similarity, size_distance
 from webloom.operators.nodes import TEXT, shared_prefix
-from webloom.session import checkpoint
+from webloom.session import checkpoint, ship
 
 EPS = 1.2
 MIN_CLUSTER = 6
@@ -269,9 +271,65 @@ def item_schema(fields: DataFrame) -> DataFrame:
         (F.col("values") > 1).alias("vary"), "present", "items")
 
 
-def match_sequences(schema: DataFrame, share: float = 0.5) -> DataFrame:
-    """Columns that at least ``share`` of the items have."""
-    return schema.filter(F.col("present") >= share * F.col("items"))
+def pair_sequences(own: list[str], seed: list[str]) -> list[int]:
+    """For every field of ``own`` the place of its partner in ``seed``, -1 without one.
+
+    Fields are tag paths. Partners keep their order and are used once. The most fields with equal paths are paired,
+    then the most with equal last tags, and of such pairings the one whose ordinals differ least.
+    """
+    if not own or not seed:
+        return [-1] * len(own)
+    shift = len(own) * len(seed) + 1  # more than all ordinals can differ
+    near, equal = shift, shift * (min(len(own), len(seed)) + 1)
+    last = lambda path: path.replace(":", "/").rsplit("/", 1)[-1]
+    paths, tags = np.array(seed), np.array([last(p) for p in seed])
+    places = np.arange(len(seed))
+    best = np.zeros((len(own) + 1, len(seed) + 1), np.int64)
+    for i, path in enumerate(own):
+        gain = np.where(paths == path, equal, np.where(tags == last(path), near, 0))
+        paired = np.where(gain > 0, best[i, :-1] + gain - np.abs(places - i), -1)
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], paired))
+    found = [-1] * len(own)
+    i, j = len(own), len(seed)
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            found[i - 1] = j - 1
+            i, j = i - 1, j - 1
+    return found
+
+
+def matched_fields(fields: DataFrame) -> DataFrame:
+    """(page_id, label, parent, item, node, key, seed_key): every field with its partner in the seed, null without one.
+
+    The seed of a label is its item with the most fields, the first of equal ones. Each item is compared with
+    the seed alone, so the work grows with the items, not with their pairs.
+    """
+    path = F.substring_index("key", "#", 1)
+    one = F.struct("node", "key", path.alias("path"))
+    items = fields.groupBy("page_id", "label", "parent", "item").agg(F.array_sort(F.collect_list(one)).alias("own"))
+    seeds = items.groupBy("page_id", "label").agg(F.max_by(
+        F.transform("own", lambda f: F.struct(f["key"].alias("key"), f["path"].alias("path"))), F.struct(F.size("own"), -F.col("parent"), -F.col("item"))).alias("seed"))
+    ship(fields.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def partners(own: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series([pair_sequences(list(a), list(b)) for a, b in zip(own, seed)])
+
+    joined = items.join(seeds, ["page_id", "label"]).withColumn("to", partners(F.transform("own", lambda f: f["path"]), F.transform("seed", lambda f: f["path"])))
+    each = joined.select("page_id", "label", "parent", "item", "seed", F.inline(F.arrays_zip("own", "to")))
+    return each.select("page_id", "label", "parent", "item", "own.node", "own.key", F.when(F.col("to") >= 0, F.get("seed", F.col("to"))["key"]).alias("seed_key"))
+
+
+def match_sequences(fields: DataFrame, share: float = 0.5) -> DataFrame:
+    """(page_id, label, key, present, items): fields of the seed that have a partner in at least ``share`` of the items."""
+    pairs = matched_fields(fields)
+    items = pairs.groupBy("page_id", "label").agg(F.countDistinct("parent", "item").alias("items"))
+    found = pairs.filter("seed_key is not null").groupBy("page_id", "label", F.col("seed_key").alias("key")).agg(F.count("*").alias("present"))
+    return found.join(items, ["page_id", "label"]).filter(F.col("present") >= share * F.col("items")).select("page_id", "label", "key", "present", "items")
 
 
 def seed_alignment(fields: DataFrame) -> DataFrame:
@@ -309,6 +367,6 @@ def common_prefix_suffix(items: DataFrame, rows: DataFrame) -> DataFrame:
                        F.reverse(shared_prefix(F.col("c"), F.col("d"))).alias("suffix"))
 
 
-def item_field_count_filter(schema: DataFrame, least: int = 2, most: int = 10_000) -> DataFrame:
-    """(page_id, label) of item types with an acceptable number of columns."""
-    return schema.groupBy("page_id", "label").agg(F.count("*").alias("fields")).filter(F.col("fields").between(least, most))
+def item_field_count_filter(schema: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:
+    """(page_id, label) of item types with an acceptable number of columns; without ``most`` no number is too large."""
+    return schema.groupBy("page_id", "label").agg(F.count("*").alias("fields")).filter((F.col("fields") >= least) & (F.lit(True) if most is None else F.col("fields") <= most))

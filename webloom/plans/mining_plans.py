@@ -174,12 +174,33 @@ def field_type(t):
     return M.item_schema(aligned(t)).select("page_id", "label", "key", "type")
 
 
-@query("match_sequences", mine("select page_id, label, key, present, items from described where present >= 0.5 * items", SCHEMA))
+#: Rows of the pairing table: the best score up to each place of the seed, and the places paired so far. A third of the fields is
+#: left out by item, so that fields are missing and their ordinals shift.
+PAIRING = FIELDS + """, thinned as (select *, regexp_extract(key, '^[^#]*', 0) as p from fields where (parent + item) % 3 <> 0 or col % 2 = 0),
+  ms_seq as (select page_id, label, parent, item, list({'k': key, 'p': p, 't': regexp_extract(p, '[^/:]*$', 0)} order by node) as own from thinned group by all),
+  ms_pick as (select page_id, label, arg_max(own, (len(own), -parent, -item)) as seed from ms_seq group by all),
+  ms_start as (select s.*, p.seed, len(own) * len(seed) + 1 as near, (len(own) * len(seed) + 1) * (least(len(own), len(seed)) + 1) as equal from ms_seq s join ms_pick p using (page_id, label)),
+  ms_steps as (select page_id, label, parent, item, own, seed, near, equal, 0 as i, list_transform(range(0, len(seed) + 1), lambda x: {'s': 0::bigint, 'm': []::bigint[]}) as best from ms_start
+    union all
+    select page_id, label, parent, item, own, seed, near, equal, i + 1, list_transform(cand, lambda c, z: list_sort(cand[1:z])[-1])
+    from (select *, list_transform(best, lambda b, z: case
+        when z > 1 and own[i + 1].p = seed[z - 1].p and best[z - 1].s + equal - abs(z - 2 - i) > b.s then {'s': best[z - 1].s + equal - abs(z - 2 - i), 'm': list_append(best[z - 1].m, z - 1)}
+        when z > 1 and own[i + 1].p <> seed[z - 1].p and own[i + 1].t = seed[z - 1].t and best[z - 1].s + near - abs(z - 2 - i) > b.s
+          then {'s': best[z - 1].s + near - abs(z - 2 - i), 'm': list_append(best[z - 1].m, z - 1)}
+        else b end) as cand from ms_steps where i < len(own))),
+  ms_matched as (select page_id, label, seed[j].k as key from (select page_id, label, seed, unnest(best[-1].m) as j from ms_steps where i = len(own))),
+  ms_kinds as (select page_id, label, count(*) as items from ms_seq group by all),
+  ms_majority as (select page_id, label, key, count(*) as present, any_value(items) as items from ms_matched join ms_kinds using (page_id, label) group by all)"""
+
+
+@query("match_sequences", mine("select page_id, label, key, present, items from ms_majority where present >= 0.5 * items", PAIRING))
 def match_sequences(t):
-    return M.match_sequences(M.item_schema(aligned(t))).select("page_id", "label", "key", "present", "items")
+    """Fields that half of the items have, where every third item lacks each second field."""
+    whole = (F.col("parent") + F.col("item")) % 3 != 0
+    return M.match_sequences(aligned(t).filter(whole | (F.col("column") % 2 == 0)))
 
 
-@query("item_field_count_filter", mine("select page_id, label, count(*) as fields from described group by all having count(*) between 2 and 10000", SCHEMA))
+@query("item_field_count_filter", mine("select page_id, label, count(*) as fields from described group by all having count(*) >= 2", SCHEMA))
 def item_field_count_filter(t):
     return M.item_field_count_filter(M.item_schema(aligned(t)))
 
