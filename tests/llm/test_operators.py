@@ -345,6 +345,35 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(both, total)
 
 
+def test_prediction_pass_equals_the_training_pass():
+    draws = np.random.default_rng(4)
+    evidence, lengths = draws.normal(size=(9, 5, 4)) * 6, np.array([9, 1, 4, 9, 2])
+    transitions, start = draws.normal(size=(4, 4)), draws.normal(size=4)
+    gamma, _, _ = langid.forward_backward(evidence, lengths, transitions, start)
+    for kind, gap in ((np.float64, 1e-9), (np.float32, 1e-4)):
+        got = langid.posteriors(np.ascontiguousarray(evidence.transpose(0, 2, 1)).astype(kind), lengths, transitions, start)
+        assert all(np.allclose(got[:n, :, r], gamma[:n, r], atol=gap) for r, n in enumerate(lengths))
+
+
+def test_features_of_words():
+    found = ["Abc", "abc,", "x", "12", "", "étaient", "abd"]
+    owner, number, lettered = langid.features(found)
+    own = [sorted(number[owner == k].tolist()) for k in range(len(found))]
+    assert lettered.tolist() == [True, True, True, False, False, True, True]
+    assert own[0] == own[1] and own[3] == own[4] == [0] and own[0] != own[6]
+    assert [len(f) for f in own] == [7 + 4 + 3, 14, 7 + 2 + 1, 1, 1, 7 + 8 + 7, 14]
+    assert len(set(own[0]) & set(own[6])) >= 5  # the prefixes a and ab, ^a, ab and ^ab
+    for k, word in enumerate(found):  # a word's features do not depend on its neighbours
+        assert sorted(langid.features([word])[1].tolist()) == own[k]
+    assert langid.features([])[0].size == 0
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"the cat sat on the mat {prose(k, 5)}", "en") for k in range(700)] + [(None, f"der hund lag auf dem sofa {prose(k, 5)}", "de") for k in range(700)]
+    drawn = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    assert all(60 < sum(lang == k for lang, _ in drawn) < 150 for k in ("en", "de"))
+
+
 def test_languages_are_told_apart_also_inside_a_text(spark, edge, nothing):
     vocab = {"aa": "ka lo mi ruta zeno".split(), "bb": "schtrum plotz wern glauf".split()}
     text = lambda lang, seed, n: " ".join(random.Random(seed).choices(vocab[lang], k=n))

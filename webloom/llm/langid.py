@@ -18,13 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh32_intdigest
 
 from webloom.llm.common import words
 
 BUCKETS = 1 << 15
 #: Entries of a worker's memory of words, and cells (documents x words) of one forward-backward run.
-REMEMBERED, CELLS = 300_000, 400_000
+REMEMBERED, CELLS = 500_000, 400_000
 #: UTF-8 bytes of text whose words a worker holds at a time, but for a single larger text.
 HELD = 8 << 20
 UNKNOWN = "und"
@@ -32,22 +31,57 @@ UNKNOWN = "und"
 DRAWS = 1 << 50
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word; words without a letter share one."""
-    core = word.lower().strip(".,;:!?\"'()[]{}«»„“”-–*#$%&|<>")
-    if not any(map(str.isalpha, core)):
-        return [0]
-    s = f"^{core}$"
-    names = ["w" + core]
-    names += ["p" + core[:k] for k in (1, 2, 3)] + ["s" + core[-k:] for k in (1, 2, 3)]
-    names += [s[i:i + 2] for i in range(len(s) - 1)] + [s[i:i + 3] for i in range(len(s) - 2)]
-    return [1 + xxh32_intdigest(n) % (BUCKETS - 1) for n in names]
+STRIPPED = ".,;:!?\"'()[]{}«»„“”-–*#$%&|<>"
+#: Odd multipliers of the feature hashes.
+STEP, KIND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def stacked(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of many words in a row and where each word's begin."""
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((f for fs in found for f in fs), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+def _number(kind: int, code: np.ndarray) -> np.ndarray:
+    """Bucket of a feature of one kind; bucket 0 is left to words without a letter."""
+    code = (code + np.uint64(kind * int(KIND) % 2**64)) * STEP
+    code = (code ^ (code >> np.uint64(31))) * KIND
+    return ((code >> np.uint64(33)) % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and number of every feature of the words, and which words have a letter.
+
+    A word has its whole form, its first and last one to three characters, and the pairs and triples of its
+    characters between marks for its beginning and end; one without a letter has bucket 0 alone.
+    """
+    cores = [w.lower().strip(STRIPPED) for w in words]
+    lettered = np.fromiter((c.isalpha() or any(map(str.isalpha, c)) for c in cores), bool, len(cores))
+    who = np.flatnonzero(lettered)
+    codes = np.frombuffer("".join(f"^{cores[k]}$" for k in who).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(cores[k]) + 2 for k in who), np.int64, len(who))
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(who) else np.zeros(0, np.int64)
+    word = np.repeat(np.arange(len(who)), sizes)
+    place = np.arange(len(codes)) - begins[word] if len(who) else np.zeros(0, np.int64)
+    left = sizes[word] - place if len(who) else np.zeros(0, np.int64)  # characters from here to the end
+    pair = codes[:-1] * STEP + codes[1:]
+    triple = pair[:-1] * STEP + codes[2:]
+    owners, numbers = [np.flatnonzero(~lettered)], [np.zeros(int((~lettered).sum()), np.int32)]
+
+    def add(owner: np.ndarray, kind: int, code: np.ndarray) -> None:
+        owners.append(who[owner])
+        numbers.append(_number(kind, code))
+
+    if len(who):
+        mixed = _number(0, codes + place.astype(np.uint64) * KIND).astype(np.uint64) + codes * STEP
+        add(np.arange(len(who)), 1, np.add.reduceat(mixed * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), begins))
+        for k in range(1, 4):  # a short word's affixes are the word itself
+            size = np.minimum(k, sizes - 2)
+            head, tail = np.zeros(len(who), np.uint64), np.zeros(len(who), np.uint64)
+            for n in range(k):
+                there = n < size
+                head = np.where(there, head * STEP + codes[np.minimum(begins + 1 + n, len(codes) - 1)], head)
+                tail = np.where(there, tail * STEP + codes[begins + sizes - 1 - size + np.minimum(n, size - 1)], tail)
+            add(np.arange(len(who)), 1 + k, head)
+            add(np.arange(len(who)), 4 + k, tail)
+        two, three = np.flatnonzero(left > 1), np.flatnonzero(left > 2)
+        add(word[two], 8, pair[two])
+        add(word[three], 9, triple[three])
+    return np.concatenate(owners), np.concatenate(numbers), lettered
 
 
 @dataclass
@@ -57,9 +91,36 @@ class Model:
     transitions: np.ndarray  # from x to, logarithms
     start: np.ndarray
 
-    def evidence(self, found: list[list[int]]) -> np.ndarray:
-        flat, begins = stacked(found)
-        return np.add.reduceat(self.weights[flat], begins, axis=0)
+    def evidence(self, owner: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+        """Summed weights per word and language."""
+        return np.stack([np.bincount(owner, self.weights[number, k], n) for k in range(len(self.languages))], axis=1).astype(np.float32)
+
+
+def posteriors(evidence: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Word distributions alone, (place, language, row), for the same layout of ``evidence``; what prediction needs of ``forward_backward``."""
+    places, _, rows = evidence.shape
+    e = np.exp(evidence - evidence.max(axis=1, keepdims=True))
+    a = np.exp(transitions).astype(e.dtype)
+    into, out = np.ascontiguousarray(a.T), np.ascontiguousarray(a)
+    forward = np.empty_like(e)
+    now = np.exp(start).astype(e.dtype)[:, None] * e[0]
+    for t in range(places):
+        if t:
+            np.matmul(into, forward[t - 1], out=now)
+            now *= e[t]
+        np.divide(now, now.sum(axis=0), out=forward[t])
+    back = np.ones_like(now)
+    short = int(lengths.min())
+    for t in range(places - 1, -1, -1):
+        if t < places - 1:
+            step = e[t + 1] * back
+            step /= step.sum(axis=0)
+            np.matmul(out, step, out=back)
+            if t + 1 >= short:  # nothing follows the last word of a shorter row
+                back[:, lengths <= t + 1] = 1
+        forward[t] *= back
+        forward[t] /= forward[t].sum(axis=0)
+    return forward
 
 
 def forward_backward(evidence: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,14 +181,13 @@ def fit(samples: list[tuple[str, list[str]]], rounds: int = 40, length: int = 64
         label[k % length, k // length] = y
         lengths[k // length] += 1
     inside = np.arange(length)[:, None] < lengths[None]
-    flat, begins = stacked([features(w) for w in known])
-    owner = np.repeat(np.arange(len(known)), np.diff(np.append(begins, len(flat))))
+    owner, flat, _ = features(list(known))
     model = Model(languages, np.zeros((BUCKETS, size)), np.zeros((size, size)), np.zeros(size))
     gold = np.eye(size)[label] * inside[:, :, None]
     gold_pairs = np.einsum("tri,trj->ij", gold[:-1], gold[1:])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (model.weights, model.transitions, model.start)]
     for round_ in range(1, rounds + 1):
-        rated = np.add.reduceat(model.weights[flat], begins, axis=0)
+        rated = model.evidence(owner, flat, len(known)).astype(np.float64)
         gamma, pairs, _ = forward_backward(rated[at], lengths, model.transitions, model.start)
         error = (gold - gamma * inside[:, :, None])
         by_word = np.stack([np.bincount(at.ravel(), error[:, :, k].ravel(), len(known)) for k in range(size)], axis=1)
@@ -142,16 +202,18 @@ def fit(samples: list[tuple[str, list[str]]], rounds: int = 40, length: int = 64
 
 
 def sample(docs: DataFrame, per_language: int = 300, window: int = 120) -> list[tuple[str, list[str]]]:
-    """About ``per_language`` labelled documents of each language, chosen by hash, and a stretch of words of each."""
+    """About ``per_language`` labelled documents of each language, chosen by a hash of id and text, and a stretch of words of each."""
     labelled = docs.filter("lang is not null and text is not null")
     share = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(DRAWS))
+    # The text counts too, else rows with one id, or none, would be drawn all together.
+    mark = F.xxhash64("doc_id", "text", F.lit(77))
+    draw = F.pmod(mark, F.lit(DRAWS))
     wanted = F.create_map(*[x for lang, n in share.items() for x in (F.lit(lang), F.lit(min(DRAWS, per_language * DRAWS // n)))])
-    chosen = labelled.filter(draw < F.element_at(wanted, F.col("lang"))).select("lang", F.xxhash64("doc_id").alias("h"), words(F.col("text")).alias("w"))
+    chosen = labelled.filter(draw < F.element_at(wanted, F.col("lang"))).select("lang", F.xxhash64(mark).alias("h"), words(F.col("text")).alias("w"))
     begin = F.pmod("h", F.greatest(F.size("w") - window, F.lit(1))).cast("int") + 1
-    rows = chosen.select("lang", "h", F.slice("w", begin, window).alias("w")).limit(2 * per_language * len(share)).collect()
+    rows = chosen.select("lang", "h", F.slice("w", begin, window).alias("w")).orderBy("h").limit(2 * per_language * len(share)).collect()
     return [(r["lang"], list(r["w"])) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["w"])) if r["w"]]
 
 
@@ -187,12 +249,12 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
             if len(known) > REMEMBERED:
                 known.clear()
                 rated, lettered = rated[:1], lettered[:1]
-            fresh = list(dict.fromkeys(w for t in texts for w in t if w not in known))
+            fresh = list({w for t in texts for w in t}.difference(known))
             if fresh:
-                strings = [w.decode() for w in fresh]
+                owner, number, letters = features([w.decode() for w in fresh])
                 known.update(zip(fresh, range(len(rated), len(rated) + len(fresh))))
-                rated = np.concatenate([rated, model.evidence([features(w) for w in strings]).astype(np.float32)])
-                lettered = np.concatenate([lettered, np.fromiter((any(map(str.isalpha, w)) for w in strings), bool, len(strings))])
+                rated = np.concatenate([rated, model.evidence(owner, number, len(fresh))])
+                lettered = np.concatenate([lettered, letters])
 
         for batch in (part for whole in batches for part in parts(whole)):
             texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
@@ -208,12 +270,12 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
                 lengths = np.array([size_ for size_, _ in order[at:to]])
                 ids = np.zeros((lengths.max(), len(rows)), np.int64)
                 for k, n in enumerate(rows):
-                    ids[:lengths[k], k] = [known[w] for w in texts[n]]
-                gamma, _, _ = forward_backward(rated[ids].astype(np.float64), lengths, model.transitions, model.start)
+                    ids[:lengths[k], k] = np.fromiter(map(known.__getitem__, texts[n]), np.int64, len(texts[n]))
+                gamma = posteriors(np.ascontiguousarray(rated[ids].transpose(0, 2, 1)), lengths, model.transitions, model.start)
                 weight = lettered[ids]
-                total = np.einsum("trk,tr->rk", gamma, weight)
+                total = np.einsum("tkr,tr->rk", gamma, weight, dtype=np.float64)
                 counts = weight.sum(axis=0)
-                labels = gamma.argmax(axis=2)
+                labels = gamma.argmax(axis=1)
                 for k, n in enumerate(rows):
                     if counts[k]:
                         own = labels[:lengths[k], k]
