@@ -222,6 +222,11 @@ def test_scores_equal_brute_force(spark, edge, nothing):
         assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
         assert np.allclose([x[3:] for x in got], [x[3:] for x in sorted(want)], rtol=1e-6, atol=1e-4)
     assert lm_scoring.score(nothing, lm_scoring.train(nothing, pieces, scores)).count() == 0
+    # Words of other rows noted in the same pass change neither the counts nor a score.
+    once = lm_scoring.train(edge, pieces, scores, rounds=1, training=F.coalesce("doc_id", F.lit(0)) % 2 == 0)
+    assert (once.tokens, once.types, once.documents) == (model.tokens, model.types, model.documents) and np.allclose(once.log_p, model.log_p)
+    again = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in lm_scoring.score(edge, once, counted=True).collect())
+    assert [x[:3] for x in again] == [x[:3] for x in got] and np.allclose([x[3:] for x in again], [x[3:] for x in got], rtol=1e-6, atol=1e-4)
 
 
 # --- substrings

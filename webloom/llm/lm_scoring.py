@@ -94,18 +94,31 @@ class Lattice:
                 found.append((i, i + 1, -1))
         return found
 
-    def _weights(self, s: str, arcs: list[tuple[int, int, int]]) -> list[float]:
-        log_p = self.log_p
-        return [log_p[k] if k >= 0 else self.spelt(s[i])[1] for i, _, k in arcs]
-
     def log_probability(self, word: str) -> float:
-        """Natural logarithm of the sum over all segmentations, by a forward recursion in log space."""
+        """Natural logarithm of the sum over all segmentations, by a forward recursion in log space.
+
+        Pieces are found and added up in one go: a place's sum is complete when its own pieces begin.
+        """
         s = "▁" + word
-        arcs = self.arcs(s)
-        alpha = [NONE] * (len(s) + 1)
+        get, log_p, size, exp, log1p = self.index.get, self.log_p, len(s), math.exp, math.log1p
+        alpha = [NONE] * (size + 1)
         alpha[0] = 0.0
-        for (i, j, _), w in zip(arcs, self._weights(s, arcs)):
-            alpha[j] = _log_add(alpha[j], alpha[i] + w)
+        for i in range(size):
+            here, spell = alpha[i], True
+            for j in range(i + 1, size + 1):
+                k = get(s[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    if j == i + 1:
+                        spell = False
+                    new, old = here + log_p[k], alpha[j]
+                    if old == NONE:
+                        alpha[j] = new
+                    else:
+                        alpha[j] = old + log1p(exp(new - old)) if old >= new else new + log1p(exp(old - new))
+            if spell:
+                alpha[i + 1] = _log_add(alpha[i + 1], here + self.spelt(s[i])[1])
         return alpha[-1]
 
     def expect(self, word: str, weight: float, counts: list[float]) -> None:
@@ -114,18 +127,30 @@ class Lattice:
         Plain probabilities serve as long as they are far from underflow, logarithms otherwise.
         """
         s = "▁" + word
-        arcs = self.arcs(s)
-        p = self.p
-        alpha, beta = [0.0] * (len(s) + 1), [0.0] * (len(s) + 1)
+        get, p, size, arcs = self.index.get, self.p, len(s), []
+        alpha, beta = [0.0] * (size + 1), [0.0] * (size + 1)
         alpha[0] = beta[-1] = 1.0
-        weights = [p[k] if k >= 0 else math.exp(self.spelt(s[i])[1]) for i, _, k in arcs]
-        for (i, j, _), w in zip(arcs, weights):
-            alpha[j] += alpha[i] * w
+        for i in range(size):
+            here, spell = alpha[i], True
+            for j in range(i + 1, size + 1):
+                k = get(s[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    w = p[k]
+                    alpha[j] += here * w
+                    arcs.append((i, j, k, w))
+                    if j == i + 1:
+                        spell = False
+            if spell:
+                w = math.exp(self.spelt(s[i])[1])
+                alpha[i + 1] += here * w
+                arcs.append((i, i + 1, -1, w))
         whole = alpha[-1]
         if whole < 1e-250:
-            return self._expect_long(s, arcs, weight, counts)
+            return self._expect_long(s, [arc[:3] for arc in arcs], weight, counts)
         share = weight / whole
-        for (i, j, k), w in zip(reversed(arcs), reversed(weights)):
+        for i, j, k, w in reversed(arcs):
             through = w * beta[j]
             beta[i] += through
             uses = alpha[i] * through * share
@@ -137,7 +162,7 @@ class Lattice:
     def _expect_long(self, s: str, arcs: list[tuple[int, int, int]], weight: float, counts: list[float]) -> None:
         alpha, beta = [NONE] * (len(s) + 1), [NONE] * (len(s) + 1)
         alpha[0] = beta[-1] = 0.0
-        weights = self._weights(s, arcs)
+        weights = [self.log_p[k] if k >= 0 else self.spelt(s[i])[1] for i, _, k in arcs]
         for (i, j, _), w in zip(arcs, weights):
             alpha[j] = _log_add(alpha[j], alpha[i] + w)
         for (i, j, k), w in zip(reversed(arcs), reversed(weights)):
@@ -157,7 +182,10 @@ class Lattice:
 
 @dataclass
 class Model:
-    """Subword probabilities and the word counts of the training documents."""
+    """Subword probabilities and the word counts of the training documents.
+
+    Words that only other documents hold have a count of 0; they are there to be rated.
+    """
 
     pieces: list[str]
     log_p: np.ndarray
@@ -173,29 +201,32 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, key, n`` over whole texts; each task sums before it sends."""
+def word_counts(docs: DataFrame, training: Column) -> DataFrame:
+    """``word, key, n`` over whole texts of all rows; ``n`` counts in the ``training`` rows alone. Each task sums before it sends."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        others: set = set()
 
         def flush() -> pa.RecordBatch:
-            words = list(held)
+            others.difference_update(held)
+            words = [*held, *others]
             batch = pa.RecordBatch.from_arrays(
                 [pa.array([w.decode() for w in words], pa.string()),
                  pa.array(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)),
-                 pa.array(held.values(), pa.int64())], names=["word", "key", "n"])
+                 pa.array([*held.values(), *[0] * len(others)], pa.int64())], names=["word", "key", "n"])
             held.clear()
+            others.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) > REMEMBERED:
+            for text, learnt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (held if learnt else others).update(words_of(text))
+                if len(held) + len(others) > REMEMBERED:
                     yield flush()
-        if held:
+        if held or others:
             yield flush()
 
-    found = docs.select("text").mapInArrow(count, "word string, key long, n long")
+    found = docs.select("text", F.coalesce(training, F.lit(False)).alias("learnt")).mapInArrow(count, "word string, key long, n long")
     return found.groupBy("word", "key").agg(F.sum("n").alias("n"))
 
 
@@ -220,20 +251,25 @@ def _expected(counts: DataFrame, pieces: list[str], log_p: np.ndarray) -> np.nda
     return found
 
 
-def train(docs: DataFrame, pieces: list[str], scores: list[float], rounds: int = 2) -> Model:
-    """Learn piece probabilities and word counts from the texts of all given documents."""
-    counts = stored(word_counts(docs), "words")
-    words, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    documents = docs.count()
+def train(docs: DataFrame, pieces: list[str], scores: list[float], rounds: int = 2, training: Column | None = None) -> Model:
+    """Learn piece probabilities and word counts from the texts of all ``training`` rows (by default every row).
+
+    The words of the other rows are noted in the same pass, so that ``score`` need not read them again.
+    """
+    training = F.lit(True) if training is None else training
+    counts = stored(word_counts(docs, training), "words")
+    learnt = counts.filter("n > 0")
+    words, types = learnt.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    documents = docs.filter(training).count()
     weights, end = first_weights(scores), 0.5
     for _ in range(rounds):
-        uses = _expected(counts, pieces, np.log(weights)) + SMOOTHING
+        uses = _expected(learnt, pieces, np.log(weights)) + SMOOTHING
         total = uses.sum() + documents + SMOOTHING
         weights, end = uses / total, (documents + SMOOTHING) / total
     return Model(pieces, np.log(weights), math.log(end), counts, words + documents, types + (documents > 0), documents)
 
 
-def _rated(docs: DataFrame, model: Model) -> DataFrame:
+def _rated(docs: DataFrame, model: Model, counted: bool) -> DataFrame:
     """``key, n, log_p`` of every word in ``docs`` or the training texts: training count and lattice probability.
 
     The lattice of a word is computed once, however often and wherever the word occurs.
@@ -246,20 +282,22 @@ def _rated(docs: DataFrame, model: Model) -> DataFrame:
             found = [lattice.log_probability(w) for w in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["key", "n", "log_p"])
 
-    here = word_counts(docs).withColumn("n", F.lit(0).cast("long"))
-    every = model.counts.unionByName(here).groupBy("word", "key").agg(F.sum("n").alias("n"))
+    every = model.counts
+    if not counted:
+        every = every.unionByName(word_counts(docs, F.lit(False))).groupBy("word", "key").agg(F.sum("n").alias("n"))
     return stored(every.select("key", "n", "word").mapInArrow(rate, "key long, n long, log_p double"), "rated")
 
 
-def score(docs: DataFrame, model: Model, share: float = 5e-7) -> DataFrame:
+def score(docs: DataFrame, model: Model, share: float = 5e-7, counted: bool = False) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` for every row of ``docs``.
 
     Tokens are the words and one end. ``base_score`` is the word-unigram log10 probability with
     one added to every count, ``score`` the log10 probability of the lattice model. Null and empty
-    texts are the end alone. Rows with a null or repeated doc_id are scored one by one.
+    texts are the end alone. Rows with a null or repeated doc_id are scored one by one, an empty table gives none;
+    a text of any length is one row of counts. ``counted`` says that ``docs`` are the rows given to ``train``, whose words are known.
     """
     context = docs.sparkSession.sparkContext
-    rated = _rated(docs, model)
+    rated = _rated(docs, model, counted)
     bound = max(1, math.ceil(model.tokens * share))
     frequent = rated.filter(F.col("n") >= bound).toArrow()  # at most 1 / share rows
     keys, n, log_p = (frequent.column(c).to_numpy() for c in ("key", "n", "log_p"))

@@ -161,9 +161,8 @@ def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, folder, "documents")
-    model = lm_scoring.train(
-        docs.filter(lm_scoring.remainder(7) != 2), *lm_scoring.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
-    return lm_scoring.score(docs, model).select(
+    model = lm_scoring.train(docs, *lm_scoring.load_pieces(public_tokenizers.path("piece_bpe_32k.model")), training=lm_scoring.remainder(7) != 2)
+    return lm_scoring.score(docs, model, counted=True).select(
         "doc_id", (lm_scoring.remainder(7) == 2).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
