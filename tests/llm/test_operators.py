@@ -402,11 +402,13 @@ def test_token_ids_are_those_of_the_tokenizers_library(spark, edge):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    end = "<|endoftext|>"
+    marked = table(spark, [(800 + k, t) for k, t in enumerate([f"a {end} b", end, end * 3, f"x{end}y z", f" {end} ", f"a b{end}", f"<|endof text|> {end[:-1]}", f"{end}\n\nc  d"])])
+    docs = edge.unionByName(marked)
     got = collections.defaultdict(list)
-    for r in packing.pieces(edge.filter("doc_id is not null and doc_id <> 5"), *byte_bpe(), with_ids=True).collect():
+    for r in packing.pieces(docs.filter("doc_id is not null and doc_id <> 5"), *byte_bpe(), with_ids=True).collect():
         got[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"], r["ids"]))
-    for doc_id, text in pairs(edge):
+    for doc_id, text in pairs(docs):
         if doc_id in (None, 5):
             continue
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]

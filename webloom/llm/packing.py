@@ -14,6 +14,7 @@ Everything is counted in stretches: "``n`` pieces of length ``l`` from rank ``r`
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -49,7 +50,7 @@ class Words(dict):
 
 
 def rank_encoder(ranks: str, pattern: str):
-    """Encoder of a rank file (base64 token, rank); special-token strings are ordinary text."""
+    """Encoder of a rank file (base64 token, rank) for text without added tokens."""
     import base64
 
     import tiktoken
@@ -58,30 +59,37 @@ def rank_encoder(ranks: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
 
-def token_bytes(text: str | None, encode, known: Words) -> bytes:
-    """Ids of a whole text, then the end id, as little-endian unsigned 32-bit numbers.
+def text_bytes(text: str, encode, known: Words) -> bytes:
+    """Ids of a text without added tokens, as little-endian unsigned 32-bit numbers.
 
     The byte-level pattern never joins characters across a blank that stands between two other
     characters, so such texts are encoded word by word; other texts are encoded as a whole.
     """
-    text = text or ""
     words = text.split(" ")
     if all(w and not w[0].isspace() and not w[-1].isspace() for w in words):
-        head = np.array(encode(words[0]), "<u4").tobytes()
-        ids = head + b"".join([known[" " + w] for w in words[1:]])
-    else:
-        ids = np.array(encode(text), "<u4").tobytes()
+        return np.array(encode(words[0]), "<u4").tobytes() + b"".join([known[" " + w] for w in words[1:]])
+    return np.array(encode(text), "<u4").tobytes()
+
+
+def token_bytes(text: str | None, encode, known: Words, added: dict[str, int]) -> bytes:
+    """Ids of a whole text, then the end id. Added tokens are cut out first, the longer one where two begin."""
+    text = text or ""
+    parts = [text]
+    if any(token in text for token in added):
+        parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+    ids = b"".join([added[p].to_bytes(4, "little") if p in added else text_bytes(p, encode, known) for p in parts if p])
     return ids + END_ID.to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, pattern: str, added: dict[str, int] | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every document row: doc_id, piece, start, length, ids_crc32 and, if asked, ids.
 
-    ``ranks`` is the text of the vocabulary's rank file and ``pattern`` its splitting pattern. A
+    ``ranks`` is the text of the vocabulary's rank file, ``pattern`` its splitting pattern and ``added``
+    the ids of strings that are tokens of their own wherever they stand. A
     document longer than ``capacity`` is cut so that all but the first piece are full. A null or
     empty text is the end id alone, so every row has a piece; a null doc_id stays null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared, own = docs.sparkSession.sparkContext.broadcast(ranks), dict(added or {})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = rank_encoder(shared.value, pattern)
@@ -91,7 +99,7 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACITY,
                 part = batch.slice(at, 256)
                 rows, out = [], []
                 for n, text in enumerate(part.column(1).to_pylist()):
-                    ids = token_bytes(text, encode, known)
+                    ids = token_bytes(text, encode, known, own)
                     total = len(ids) // 4
                     first = total % capacity or capacity
                     starts = [0, *range(first, total, capacity)]

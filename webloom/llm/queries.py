@@ -135,12 +135,15 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-def byte_bpe() -> tuple[str, str]:
-    """Rank file and pattern of the public byte-level vocabulary; its ids are those of byte_bpe_50k.json."""
+def byte_bpe() -> tuple[str, str, dict[str, int]]:
+    """Rank file, pattern and added tokens of the public byte-level vocabulary; its ids are those of byte_bpe_50k.json."""
+    import json
+
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as ranks:
-        return ranks.read(), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as ranks, open(public_tokenizers.path("byte_bpe_50k.json")) as whole:
+        added = {token["content"]: token["id"] for token in json.load(whole)["added_tokens"]}
+        return ranks.read(), public_tokenizers.PATTERN, added
 
 
 @query
