@@ -313,8 +313,8 @@ def test_lines_equal_brute_force(spark, edge):
     for doc_id, text in sorted(rows):
         kept, lines = [], [] if text is None else text.split("\n")
         for line in lines:
-            late = len(line) >= 20 and any(abs(len(e) - len(line)) < 2 and (e == line or edits(e, line) <= 1) for e in earlier)
-            if len(line) >= 20:
+            late = any(e == line or min(len(e), len(line)) >= 20 and abs(len(e) - len(line)) < 2 and edits(e, line) <= 1 for e in earlier)
+            if line.strip(" \t\n\x0b\x0c\r"):
                 earlier.append(line)
             if not late:
                 kept.append(line)
@@ -328,6 +328,14 @@ def test_lines_of_edge_tables(edge, nothing):
     assert line_dedup.deduplicate(nothing).count() == 0
 
 
+def test_short_lines_go_only_as_copies_and_counts_take_free_names(spark):
+    rows = [(1, "subscribe now\n\nread more\n   \na"), (2, "subscribe now\n\nread mere\n   \na\nb"), (3, "a\n" * 50)]
+    named = table(spark, rows).withColumn("n_lines", F.lit(99))
+    got = line_dedup.deduplicate(named, counts=("all", "gone")).orderBy("doc_id").collect()
+    assert [(r["text"], r["all"], r["gone"], r["n_lines"]) for r in got] == [
+        (rows[0][1], 5, 0, 99), ("\nread mere\n   \nb", 6, 2, 99), ("", 51, 50, 99)]
+
+
 # --- language
 
 def test_forward_backward_equals_enumeration():
@@ -527,5 +535,11 @@ def test_archives_begin_with_their_dictionary():
     assert list(warc.read_archive(io.BytesIO(packed))) == records
     assert warc.train_dictionary(records) and len(packed) < sum(map(len, records)) / 2
     assert list(warc.read_archive(io.BytesIO(warc.archive([])))) == []
+    draw = random.Random(4)
+    noise = lambda n: draw.randbytes(n // 2).hex().encode()
+    for few in ([noise(200_000) for _ in range(20)], [noise(60) for _ in range(15)], [noise(3_000_000), *records], [b"x"], [b"a" * 100_000] * 3):
+        packed = warc.archive(few)
+        assert int.from_bytes(packed[4:8], "little") > 9 and warc.train_dictionary(few) and list(warc.read_archive(io.BytesIO(packed))) == few
+        assert sum(map(len, warc.sample(few))) <= warc.SAMPLE_BYTES
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(packed[:-5])))

@@ -8,6 +8,7 @@ character deleted), which makes all of them cheap also for very long lines.
 Emitting every variant of every line would multiply the input, so a lossless filter comes first:
 with one edit, the first or the second half of a line is untouched. Only lines that share a half,
 cut as for their own length or for one character more, with another distinct line emit variants.
+Lines too short for an edit to be an accident (``min_chars``) are compared for equality alone.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import stored
+from webloom.llm.common import SPACES, stored
 from webloom.operators.joins import lookup
 
 #: Characters per block of the variant keys.
@@ -31,10 +32,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
         "record", F.xxhash64("record.doc_id", "record.text").alias("row"), F.coalesce(F.col("record.doc_id").cast("string"), F.lit("")).alias("id_key"))
 
 
-def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """Every line of ``min_chars`` or more, with its digest and its place."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """Every line that holds a word, with its digest and its place."""
     split = rows.select("record.doc_id", *KEY, F.posexplode(F.split("record.text", "\n")).alias("pos", "line"))
-    return split.filter(F.length("line") >= min_chars).select(
+    return split.filter(F.btrim("line", F.lit(SPACES)) != "").select(
         F.unhex(F.md5("line")).alias("id"), F.struct("doc_id", *KEY, "pos").alias("place"), "line")
 
 
@@ -74,8 +75,9 @@ def _variants(line: Column) -> Column:
 
 def _dropped(rows: DataFrame, min_chars: int) -> DataFrame:
     """``row, id_key, pos`` of the lines that an earlier line makes superfluous."""
-    long = _lines(rows, min_chars)
-    seen = long.select("id", "place", F.xxhash64("line").alias("short"), _halves(F.col("line")).alias("halves"))
+    lines = _lines(rows)
+    halves = F.when(F.length("line") >= min_chars, _halves(F.col("line")))
+    seen = lines.select("id", "place", F.xxhash64("line").alias("short"), halves.alias("halves"))
     # The hashes are functions of the line: any row of an id will do.
     distinct = stored(seen.groupBy("id").agg(
         F.min("place").alias("first"), F.count("*").alias("n"), F.min("short").alias("short"), F.min("halves").alias("halves")), "lines")
@@ -102,21 +104,22 @@ def _dropped(rows: DataFrame, min_chars: int) -> DataFrame:
     marked = stored(distinct.select("id", "first", "n").join(alike, "id", "left"), "marked")
     # A late line goes everywhere, any other line everywhere but in its first place.
     firsts = marked.filter("late").select("first.row", "first.id_key", "first.pos")
-    copies = lookup(long.select("id", "place", F.xxhash64("place").alias("spread")), marked.filter("n > 1").select("id", "first"), "id", spread_on="spread").filter(
+    copies = lookup(lines.select("id", "place", F.xxhash64("place").alias("spread")), marked.filter("n > 1").select("id", "first"), "id", spread_on="spread").filter(
         F.col("place") != F.col("first")).select("place.row", "place.id_key", "place.pos")
     return firsts.unionByName(copies)
 
 
-def deduplicate(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def deduplicate(docs: DataFrame, min_chars: int = 20, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with the lines removed that repeat an earlier line or differ from one by a single edit.
 
     Lines are the parts between line feeds. Earlier means a smaller (doc_id, hash of id and text,
     line number) over all documents, null doc_ids first; being dropped itself does not stop a line
-    from making later ones superfluous. Lines with fewer than ``min_chars`` characters always
-    stay. A null text stays null, an empty one empty; a text that loses every line becomes empty.
-    Repeated rows (equal doc_id and text) are one document and all look alike afterwards; an
-    empty table gives no rows. Columns are kept; ``n_lines`` and ``n_dropped`` are added and
-    replace columns of these names.
+    from making later ones superfluous. Lines with fewer than ``min_chars`` characters go only if
+    they repeat exactly; lines without a word always stay. A null text stays null, an empty one
+    empty; a text that loses every line becomes empty. Repeated rows (equal doc_id and text) are
+    one document and all look alike afterwards; an empty table gives no rows. Columns are kept;
+    the numbers of lines and of dropped lines are added under the names ``counts`` and replace
+    columns of these names.
     """
     if min_chars < 1:
         raise ValueError("min_chars must be positive")
@@ -125,9 +128,9 @@ def deduplicate(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     text = F.col("record.text")
     lines = F.split(text, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(F.col("lines"), i))
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if c.lower() not in {n.lower() for n in counts}]
     joined = rows.join(gone, KEY, "left").withColumn("lines", lines)
     return joined.select(
         *[F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(f"record.`{c}`").alias(c) for c in names],
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(counts[1]))

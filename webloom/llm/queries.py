@@ -200,14 +200,15 @@ ORACLES["op5_line_dedup"] = r"""
 WITH split AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line FROM split WHERE text IS NOT NULL),
-firsts AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines WHERE length(line) >= 20 GROUP BY line),
+firsts AS (
+  SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
 same_size AS (
-  SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.n = b.n AND a.first < b.first
+  SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.n >= 20 AND a.n = b.n AND a.first < b.first
    AND (substr(a.line, 1, a.n // 2) = substr(b.line, 1, a.n // 2) OR substr(a.line, a.n // 2 + 1) = substr(b.line, a.n // 2 + 1))
   WHERE len(list_filter(range(1, a.n + 1), lambda i: substr(a.line, i, 1) <> substr(b.line, i, 1))) = 1),
 one_more AS (
   SELECT s.line AS short, t.line AS long, s.first AS short_first, t.first AS long_first
-  FROM firsts s JOIN firsts t ON t.n = s.n + 1
+  FROM firsts s JOIN firsts t ON s.n >= 20 AND t.n = s.n + 1
    AND (substr(s.line, 1, t.n // 2) = substr(t.line, 1, t.n // 2) OR substr(s.line, t.n // 2) = substr(t.line, t.n // 2 + 1))
   WHERE len(list_filter(range(1, t.n + 1), lambda i: substr(t.line, 1, i - 1) || substr(t.line, i + 1) = s.line)) > 0),
 late AS (
