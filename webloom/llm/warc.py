@@ -2,7 +2,8 @@
 
 A writer task gathers records up to ``archive_bytes``, trains a Zstandard dictionary on a bounded
 sample of them, puts it into a leading skippable frame and compresses every record into a frame of
-its own, so any record can be read with the dictionary alone. Archives go to the shared folder
+its own, so any record can be read with the dictionary alone. Every archive that holds a record has
+a dictionary: where there is too little to train on, it is plain content of the sample. Archives go to the shared folder
 through its file system; a task hands on the names of the files that it finished, so files of lost
 or repeated attempts are never read.
 """
@@ -30,6 +31,8 @@ DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of payload per archive, of the dictionary, and of the records it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 20, 32 << 10, 2 << 20
+#: Bytes of one piece of the sample.
+PIECE_BYTES = 8 << 10
 READ_BYTES = 1 << 20
 
 
@@ -61,22 +64,27 @@ def record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False)
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def sample(records: list[bytes]) -> list[bytes]:
+    """Pieces of ``PIECE_BYTES`` at most, ``SAMPLE_BYTES`` together: evenly spread records, and evenly spread parts of long ones."""
+    step = max(1, -(-len(records) * PIECE_BYTES // SAMPLE_BYTES))
+    chosen = records[::step]
+    share = SAMPLE_BYTES // max(1, len(chosen))
+    pieces = []
+    for r in chosen:
+        n = min(-(-len(r) // PIECE_BYTES), max(1, share // PIECE_BYTES))
+        width = min(PIECE_BYTES, len(r))
+        pieces += [r[at:at + width] for at in (k * (len(r) - width) // max(1, n - 1) for k in range(n))]
+    return pieces
+
+
 def train_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from evenly spread records, ``SAMPLE_BYTES`` at most; empty if they are too few to train on."""
-    total = sum(map(len, records))
-    step = max(1, -(-total // SAMPLE_BYTES))
-    sample, room = [], SAMPLE_BYTES
-    for r in records[::step]:
-        sample.append(r[:room])
-        room -= len(sample[-1])
-        if room <= 0:
-            break
-    if len(sample) < 16:
-        return b""
+    """A dictionary from a bounded sample of the records; the end of the sample itself where there is too little to train on."""
+    pieces = sample(records)
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, pieces)) // 10))
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 10)), sample, k=200, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little or too uniform data
-        return b""
+        return zstandard.train_dictionary(size, pieces, k=200, d=8).as_bytes()
+    except zstandard.ZstdError:  # too little or too uniform data: plain content serves as well
+        return b"".join(pieces)[-size:]
 
 
 def archive(records: list[bytes], level: int = 3) -> bytes:
