@@ -14,29 +14,34 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null texts have no words and go, repeated rows share one verdict."""
     return quality.accepted(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; a document that loses all its words goes."""
-    blank = lambda text: F.size(words(text)) == 0
-    clean = line_dedup.deduplicate(docs).filter((F.col("n_dropped") == 0) | ~blank(F.col("text")))
-    return clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+    """Texts without repeated lines; a document that loses all its words goes.
+
+    Null, empty and blank texts lose no line and stay; repeated rows lose the same lines; an empty
+    table gives no rows.
+    """
+    gone = "_" * max(map(len, docs.columns)) + "gone"  # longer than any column
+    clean = line_dedup.deduplicate(docs, counts=(gone + "_of", gone))
+    clean = clean.filter((F.col(gone) == 0) | (F.size(words(F.col("text"))) > 0))
+    return clean.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, 80 percent."""
+    """One document of each group of near duplicates: five-word shingles, 80 percent; texts without words have no duplicates."""
     return minhash.kept_documents(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item."""
+    """Documents that cover no benchmark item; null and empty texts cover none, repeated rows go or stay together."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in sequences of 2048 tokens."""
+    """Pieces of the remaining documents and their places in sequences of 2048 tokens; a null text is an empty one."""
     return packing.packed(packing.pieces(docs, *byte_bpe()))
 
 
