@@ -484,6 +484,32 @@ def test_tiles_cover_moved_parts_without_overlap():
     assert decontaminate.tiles(doc, item, 4) == [(12, 0, 10), (0, 10, 10)]
     assert decontaminate.tiles(np.array([1, 2, 3, 9, 1, 2, 3, 4]), np.array([1, 2, 3, 4]), 3) == [(4, 0, 4)]
     assert decontaminate.tiles(np.zeros(0, int), item, 4) == []
+    # One token throughout: as many whole items as needed, then what is left of a shorter text.
+    assert decontaminate.tiles(np.full(30_000, 7), np.full(200, 7), 4) == [(0, 0, 200)]
+    assert decontaminate.tiles(np.full(10, 7), np.full(4_000, 7), 4) == [(0, 0, 10)]
+
+
+def plain_tiles(document, item, least):
+    """The greedy tiling by its definition."""
+    found, doc_free, item_free = [], [True] * len(document), [True] * len(item)
+    run = lambda p, i, n: p + n <= len(document) and i + n <= len(item) and all(doc_free[p:p + n]) and all(item_free[i:i + n]) and document[p:p + n] == item[i:i + n]
+    for n in range(min(len(document), len(item)), least - 1, -1):
+        for i, p in itertools.product(range(len(item)), range(len(document))):
+            if run(p, i, n):
+                doc_free[p:p + n], item_free[i:i + n] = [False] * n, [False] * n
+                found.append((p, i, n))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_tiles_equal_their_definition(seed):
+    draw = random.Random(seed)
+    letters = draw.choice([1, 2, 3, 8])
+    some = lambda n: [draw.randrange(1, letters + 1) for _ in range(draw.randrange(n))]
+    item, document = some(25), [0] + some(30)
+    document = document + [0] * draw.randrange(3) + item[draw.randrange(9):] + item[:draw.randrange(1, 9)]
+    least = draw.randrange(1, 5)
+    assert decontaminate.tiles(np.array(document), np.array(item, int), least) == plain_tiles(document, item, least)
 
 
 def test_leaks_equal_brute_force(spark, edge, nothing):

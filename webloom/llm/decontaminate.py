@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Test items are taken in blocks of bounded size. The tokens of a block become a table of seeds
-(runs of ``min_match`` tokens) that is broadcast; whole documents look their own runs up in it.
+Test items are taken in blocks of bounded size, one block after the other. The tokens of a block
+become a table of seeds (runs of ``min_match`` tokens) that is broadcast; whole documents look
+their own runs up in it, and the block is let go before the next one is read.
 Only items of which the shared seeds could cover enough tokens are tiled: running Karp-Rabin
 matching finds the longest common run of unmarked tokens, marks it in both, and repeats with
 shorter runs down to ``min_match``. Tiles never overlap and may stand in any order, so a passage
@@ -11,7 +12,6 @@ whose parts were moved is still covered. An item is leaked if its tiles cover ``
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webloom.llm.common import stored
+
 TOKEN = re.compile(r"\w+")
-PRIME, BASE = (1 << 31) - 1, 1_000_003
+PRIME, BASES = (1 << 31) - 1, (1_000_003, 48_271)
 #: Bytes of test text in one broadcast block.
 BLOCK_BYTES = 8 << 20
 
@@ -30,94 +32,129 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def _grams(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hash of every run of ``size`` tokens, each from the one before by prefix sums."""
-    count = len(ids) - size + 1
-    if count < 1:
-        return np.zeros(0, np.int64)
-    found = np.zeros(count, np.int64)
-    for j in range(size):
-        found = (found * BASE + ids[j:j + count]) % PRIME
-    return found
+class Rolled:
+    """Karp-Rabin hashes of the runs of an array of token numbers, of any size, equal for equal runs of any array.
+
+    The sums ``x[0] + x[1] B + x[2] B^2 + ...`` are rolled over the array once, for two bases; a
+    run's hash is the difference of the sums at its ends, brought down to power zero.
+    """
+
+    def __init__(self, numbers: np.ndarray):
+        self.count = len(numbers)
+        self.sums = [np.append(0, np.cumsum((numbers + 1) * _powers(base, self.count) % PRIME)) for base in BASES]
+        self.down = [_powers(pow(base, -1, PRIME), self.count) for base in BASES]
+
+    def runs(self, size: int) -> np.ndarray:
+        """Hash of every run of ``size`` tokens."""
+        n = self.count - size + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        one, two = ((s[size:] - s[:n]) % PRIME * d[:n] % PRIME for s, d in zip(self.sums, self.down))
+        return one << 31 | two
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    found = np.ones(1, np.int64)
+    while len(found) < count:
+        found = np.concatenate([found, found * pow(base, len(found), PRIME) % PRIME])
+    return found[:count]
+
+
+def _open_from(marked: np.ndarray) -> np.ndarray:
+    """Unmarked tokens from each place on, up to the next marked one or the end."""
+    stops = np.append(np.flatnonzero(marked), len(marked))
+    here = np.arange(len(marked))
+    return stops[np.searchsorted(stops, here)] - here
 
 
 def tiles(document: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Greedy tiling of two token-id arrays: (start in document, start in item, length), longest first.
 
     Runs of equal length are marked in order of their place in the item, then in the document.
+    Each length takes a few passes over the arrays, also where they repeat one token throughout.
     """
-    marked_doc, marked_item = np.zeros(len(document), bool), np.zeros(len(item), bool)
+    item_hashes = Rolled(item)
+    # Tokens outside shared seeds are in no tile: of a stretch of them one stays, marked from the start.
+    seeds = np.flatnonzero(np.isin(Rolled(document).runs(min_match), item_hashes.runs(min_match)))
+    change = np.zeros(len(document) + 1, np.int64)
+    np.add.at(change, seeds, 1)
+    np.add.at(change, seeds + min_match, -1)
+    inside = np.cumsum(change[:-1]) > 0
+    places = np.flatnonzero(inside | np.append(False, inside[:-1]))
+    document, marked_doc, marked_item = document[places], ~inside[places], np.zeros(len(item), bool)
+    hashes = Rolled(document)
     found: list[tuple[int, int, int]] = []
-    length = _longest_open(document, item, marked_doc, marked_item, min_match)
-    while length >= min_match:
-        places = defaultdict(list)
-        hashes = _grams(item, length)
-        wanted = np.unique(hashes)
-        spots = _grams(document, length)
-        for p in np.flatnonzero(np.isin(spots, wanted)).tolist():
-            places[int(spots[p])].append(p)
-        for i, h in enumerate(hashes.tolist()):
-            if marked_item[i:i + length].any():
+    length = len(item) + 1
+    while True:
+        open_doc, open_item = _open_from(marked_doc), _open_from(marked_item)
+
+        def common(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Open runs of the item that the document has open too, and the document's runs."""
+            at, spots = np.flatnonzero(open_item >= size), np.flatnonzero(open_doc >= size)
+            have = hashes.runs(size)[spots]
+            wanted = item_hashes.runs(size)[at]
+            return at[np.isin(wanted, have)], spots, have
+
+        # The longest open common run: shorter parts of a common run are common as well.
+        low, high = min_match - 1, min(length - 1, open_doc.max(initial=0), open_item.max(initial=0))
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        length = low
+        if length < min_match:
+            return found
+        at, spots, have = common(length)
+        order = np.argsort(have, kind="stable")
+        have, spots = have[order], spots[order]
+        wanted = item_hashes.runs(length)[at]
+        first, last = (np.searchsorted(have, wanted, side).tolist() for side in ("left", "right"))
+        following: dict[int, int] = {}
+        # No tile is shorter than this length, so one that meets a run covers an end of it.
+        for i, begin, end in zip(at.tolist(), first, last):
+            if marked_item[i] or marked_item[i + length - 1]:
                 continue
-            for p in places.get(h, ()):
-                if not marked_doc[p:p + length].any() and np.array_equal(document[p:p + length], item[i:i + length]):
-                    marked_doc[p:p + length] = True
-                    marked_item[i:i + length] = True
-                    found.append((p, i, length))
-                    break
-        # The longest run that is still open bounds the next search.
-        length = min(length - 1, _longest_open(document, item, marked_doc, marked_item, min_match))
-    return found
-
-
-def _longest_open(document: np.ndarray, item: np.ndarray, marked_doc: np.ndarray, marked_item: np.ndarray, least: int) -> int:
-    """Length of the longest common run of unmarked tokens, or 0."""
-    spots = defaultdict(list)
-    for i, h in enumerate(_grams(item, least).tolist()):
-        if not marked_item[i:i + least].any():
-            spots[h].append(i)
-    hashes = _grams(document, least)
-    best = 0
-    for p in np.flatnonzero(np.isin(hashes, np.fromiter(spots, np.int64, len(spots)))).tolist():
-        for i in spots[int(hashes[p])]:
-            k, most = 0, min(len(document) - p, len(item) - i)
-            while k < most and document[p + k] == item[i + k] and not marked_doc[p + k] and not marked_item[i + k]:
+            k = following.get(begin, begin)
+            while k < end and (marked_doc[spots[k]] or marked_doc[spots[k] + length - 1]):
                 k += 1
-            best = max(best, k)
-    return best if best >= least else 0
+            following[begin] = k
+            if k < end and np.array_equal(document[spots[k]:spots[k] + length], item[i:i + length]):
+                marked_doc[spots[k]:spots[k] + length] = True
+                marked_item[i:i + length] = True
+                found.append((int(places[spots[k]]), i, length))
 
 
 class Block:
-    """Seeds of a block of items: token numbers, seed hashes and where they stand."""
+    """Seeds of a block of items: token numbers, sorted seed hashes and where they stand."""
 
     def __init__(self, items: list[tuple[object, list[str]]], min_match: int):
         self.words: dict[str, int] = {}
-        self.ids, self.items = [i for i, _ in items], []
-        self.min_match = min_match
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, (_, words) in enumerate(items):
-            numbers = np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64)
-            self.items.append(numbers)
-            for at, h in enumerate(_grams(numbers, min_match).tolist()):
-                self.seeds[h].append((n, at))
-        self.hashes = np.sort(np.fromiter(self.seeds, np.int64, len(self.seeds)))
+        self.ids, self.min_match = [i for i, _ in items], min_match
+        self.starts = np.cumsum([0, *(len(w) for _, w in items)])
+        self.numbers = np.array([self.words.setdefault(w, len(self.words) + 1) for _, words in items for w in words], np.int64)
+        hashes = Rolled(self.numbers).runs(min_match)
+        spots = np.arange(len(hashes))
+        whole = self._item_of(spots) == self._item_of(spots + min_match - 1)
+        order = np.argsort(hashes[whole], kind="stable")
+        self.hashes, self.spots = hashes[whole][order], spots[whole][order]
+
+    def _item_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
 
     def leaks(self, text: str | None, coverage: float) -> Iterator[tuple[object, int, int, int]]:
         """Leaked items of a text: item id, tiles, covered tokens, tokens of the item."""
         number = self.words.get
         document = np.array([number(w, 0) for w in tokens(text)], np.int64)  # 0: in no item
-        hashes = _grams(document, self.min_match)
-        if not len(hashes) or not len(self.hashes):
+        hashes = np.unique(Rolled(document).runs(self.min_match))
+        first, last = (np.searchsorted(self.hashes, hashes, side) for side in ("left", "right"))
+        counts = last - first
+        if not counts.any():
             return
-        at = np.searchsorted(self.hashes, hashes)
-        shared = hashes[self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes]
-        open_items = defaultdict(set)
-        for h in set(shared.tolist()):
-            for n, start in self.seeds[h]:
-                open_items[n].update(range(start, start + self.min_match))
-        for n, covered in sorted(open_items.items()):
-            item = self.items[n]
-            if len(covered) >= coverage * len(item):
+        # The places of all shared seeds in the items, and the tokens that they cover.
+        offsets = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        covered = np.unique(self.spots[offsets][:, None] + np.arange(self.min_match))
+        for n, reach in zip(*(x.tolist() for x in np.unique(self._item_of(covered), return_counts=True))):
+            item = self.numbers[self.starts[n]:self.starts[n + 1]]
+            if reach >= coverage * len(item):
                 marks = tiles(document, item, self.min_match)
                 total = sum(length for _, _, length in marks)
                 if total >= coverage * len(item):
@@ -125,6 +162,7 @@ class Block:
 
 
 def _found(docs: DataFrame, block: Block, item_type: T.DataType, coverage: float) -> DataFrame:
+    """Leaked items of one block, written before the block's broadcast is taken back."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +183,9 @@ def _found(docs: DataFrame, block: Block, item_type: T.DataType, coverage: float
     long = lambda name: T.StructField(name, T.LongType())
     schema = T.StructType([
         docs.schema["doc_id"], long("text_hash"), T.StructField("item_id", item_type), long("n_tiles"), long("covered"), long("n_tokens")])
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(search, schema)
+    found = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(search, schema), "leaks")
+    shared.unpersist()
+    return found
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, coverage: float = 0.7,
@@ -156,7 +196,8 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, min_match: int = 4, cove
     texts match nothing; rows with a null id are searched like others; repeated documents give
     repeated rows, repeated items count once. Empty tables give no rows. Tokens are word
     characters in lower case, so punctuation and line breaks do not matter. The benchmark is
-    broadcast in blocks of ``block_bytes``; each block is one pass over the documents.
+    broadcast in blocks of ``block_bytes``; each block is one pass over the documents. A very long
+    or repetitive text costs passes over its tokens, not pairs of places.
     """
     return _leaks(docs, benchmark, min_match, coverage, block_bytes).drop("text_hash")
 
