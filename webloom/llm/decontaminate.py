@@ -24,6 +24,8 @@ from webloom.llm.common import stored
 
 TOKEN = re.compile(r"\w+")
 PRIME, BASES = (1 << 31) - 1, (1_000_003, 48_271)
+INVERSES = tuple(pow(base, -1, PRIME) for base in BASES)
+POWERS: dict[int, np.ndarray] = {}
 #: Bytes of test text in one broadcast block.
 BLOCK_BYTES = 8 << 20
 
@@ -42,7 +44,7 @@ class Rolled:
     def __init__(self, numbers: np.ndarray):
         self.count = len(numbers)
         self.sums = [np.append(0, np.cumsum((numbers + 1) * _powers(base, self.count) % PRIME)) for base in BASES]
-        self.down = [_powers(pow(base, -1, PRIME), self.count) for base in BASES]
+        self.down = [_powers(base, self.count) for base in INVERSES]
 
     def runs(self, size: int) -> np.ndarray:
         """Hash of every run of ``size`` tokens."""
@@ -54,9 +56,11 @@ class Rolled:
 
 
 def _powers(base: int, count: int) -> np.ndarray:
-    found = np.ones(1, np.int64)
+    """The first powers of a base; a task keeps the longest array that it has needed."""
+    found = POWERS.get(base, np.ones(1, np.int64))
     while len(found) < count:
         found = np.concatenate([found, found * pow(base, len(found), PRIME) % PRIME])
+    POWERS[base] = found
     return found[:count]
 
 
@@ -144,11 +148,15 @@ class Block:
         """Leaked items of a text: item id, tiles, covered tokens, tokens of the item."""
         number = self.words.get
         document = np.array([number(w, 0) for w in tokens(text)], np.int64)  # 0: in no item
-        hashes = np.unique(Rolled(document).runs(self.min_match))
+        hashes = Rolled(document).runs(self.min_match)
+        if not len(hashes) or not len(self.hashes):
+            return
+        near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hashes = np.unique(hashes[self.hashes[near] == hashes])
+        if not len(hashes):
+            return
         first, last = (np.searchsorted(self.hashes, hashes, side) for side in ("left", "right"))
         counts = last - first
-        if not counts.any():
-            return
         # The places of all shared seeds in the items, and the tokens that they cover.
         offsets = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         covered = np.unique(self.spots[offsets][:, None] + np.arange(self.min_match))
