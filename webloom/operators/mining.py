@@ -8,10 +8,14 @@ list of ten thousand equal entries costs one row and no pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.functions.vectors import boost, class_similarity, size_distance
 from webloom.operators.nodes import TEXT, shared_prefix
@@ -95,26 +99,52 @@ def subtree_similarity(folded: DataFrame, eps: float = EPS) -> DataFrame:
 
 def connected(vertices: DataFrame, edges: DataFrame, scope: str = "page_id") -> DataFrame:
     """(scope, v, label): smallest vertex of each component. ``vertices`` holds (scope, v),
-    ``edges`` (scope, a, b).
+    ``edges`` (scope, a, b); no edge leaves its scope.
 
-    Labels travel along edges and then jump to the label's own label, which halves the
-    remaining way per round. Each round is stored, so a lost executor costs one round.
+    One shuffle brings the edges of a scope together, sorted; they then stream through a union-find
+    that knows the vertices of one scope at a time, however many edges there are.
     """
-    both = checkpoint(edges.select(scope, F.col("a").alias("u"), F.col("b").alias("v"))
-                      .unionByName(edges.select(scope, F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    touched = both.select(scope, "v").distinct()
-    labels = checkpoint(touched.withColumn("label", F.col("v")))
-    while not labels.isEmpty():
-        heard = both.join(labels.withColumnRenamed("v", "u"), [scope, "u"]).groupBy(scope, "v").agg(F.min("label").alias("heard"))
-        lowered = labels.join(heard, [scope, "v"]).select(scope, "v", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        jump = lowered.select(scope, F.col("v").alias("label"), F.col("label").alias("further"))
-        following = checkpoint(lowered.join(jump, [scope, "label"], "left").select(
-            scope, "v", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = following.drop("old")
-        if following.filter(F.col("label") < F.col("old")).isEmpty():
-            break
-    single = vertices.select(scope, "v").join(touched, [scope, "v"], "left_anti").withColumn("label", F.col("v"))
-    return single.unionByName(labels.select(scope, "v", "label"))
+    rows = edges.select(scope, "a", "b").repartition(scope).sortWithinPartitions(scope)
+    kinds = [edges.schema[scope].dataType, edges.schema["a"].dataType]
+    schema = T.StructType([T.StructField(scope, kinds[0]), T.StructField("v", kinds[1]), T.StructField("label", kinds[1])])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+        done: list[tuple] = []
+        current = None
+
+        def root(v):
+            while above[v] != v:
+                above[v] = v = above[above[v]]
+            return v
+
+        def close() -> bool:
+            done.extend((current, v, root(v)) for v in above)
+            above.clear()
+            return len(done) >= 8192
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*done), types)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[scope, "v", "label"])
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in (0, 1, 1)]
+            for of, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if of != current:
+                    if close():
+                        yield rows()
+                    current = of
+                above.setdefault(a, a)
+                above.setdefault(b, b)
+                low, high = sorted((root(a), root(b)))
+                above[high] = low
+        close()
+        if done:
+            yield rows()
+
+    found = rows.mapInArrow(find, schema)
+    return vertices.select(scope, "v").join(found, [scope, "v"], "left").withColumn("label", F.coalesce("label", "v"))
 
 
 def cluster_subtrees(shapes: DataFrame, eps: float = EPS, min_size: int = MIN_CLUSTER) -> DataFrame:
