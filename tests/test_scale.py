@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import joins, links, mining, nearest, ordered, terms
+from webloom.operators import joins, jsonblock, links, mining, nearest, ordered, terms
 from webloom.operators import nodes as P
 
 
@@ -149,3 +149,11 @@ def test_equal_vectors_are_neighbours_but_not_the_query_itself(spark):
     got = nearest_vectors(vectors.filter("id = 4"), vectors, 4, "euclidean", itself=False).orderBy("rank").collect()
     assert [(r["item_id"], r["rank"]) for r in got] == [(3, 1), (5, 2), (0, 3), (1, 4)]
     assert got[0]["distance"] == 0 and abs(got[2]["distance"] - 1e-7) < 1e-9
+
+
+def test_leaf_paths_of_mixed_documents(spark):
+    texts = ['{"a": [{"b": 1}, {"b": {"c": null}}, [2, "x"]], "m": {}}', '{"a": "s", "d.e": {"f": true}, "n": []}', '7', 'null', None, '[]', "[" * 300 + "1" + "]" * 300]
+    docs = spark.createDataFrame([(t,) for t in texts * 50], "j string").select(F.parse_json("j").alias("v")).repartition(5)
+    got = [r["path"] for r in jsonblock.leaf_paths(docs, "v").collect()]
+    assert sorted(got) == sorted([".a[*].b", ".a[*].b.c", ".a[*][*]", ".a", ".d.e.f", "", "[*]" * 300])
+    assert jsonblock.leaf_paths(docs.limit(0), "v").count() == 0

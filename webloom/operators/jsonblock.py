@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.jsonpath import json_path
 
+#: Paths that a task remembers as handed on.
+KNOWN_PATHS = 100_000
+
 
 def _detail(item: Column, paths: list[str]) -> Column:
     def one(path: str) -> tuple[str, Column]:
@@ -29,19 +36,28 @@ def json_block(docs: DataFrame, value: str, items: str, details: dict[str, list[
 def leaf_paths(docs: DataFrame, value: str) -> DataFrame:
     """Distinct paths of all scalar values, list positions written as ``[*]``.
 
-    One pass per nesting level; each pass keeps distinct leaf paths only.
+    One scan: each task walks its values and hands on a path when it first meets it, so the shuffle
+    holds a few rows per task. Null counts as a scalar, empty lists and objects have no path.
     """
-    spark = docs.sparkSession
-    level = docs.select(F.lit("").alias("path"), F.col(value).alias("v"))
-    found = None
-    while True:
-        shape = F.schema_of_variant("v")
-        nested = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-        leaves = level.filter(~nested).select("path").distinct()
-        found = leaves if found is None else found.unionByName(leaves)
-        inner = level.filter(nested)
-        if inner.isEmpty():
-            return found.distinct()
-        level = spark.sql(
-            "select concat(path, if(e.key is null, '[*]', concat('.', e.key))) as path, e.value as v "
-            "from {inner}, lateral variant_explode(v) as e", inner=inner)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        for batch in batches:
+            if len(known) > KNOWN_PATHS:
+                known.clear()
+            fresh: set[str] = set()
+            for text in batch.column(0).to_pylist():
+                todo = [("", json.loads(text))]
+                while todo:
+                    path, v = todo.pop()
+                    if isinstance(v, dict):
+                        todo += [(f"{path}.{key}", inner) for key, inner in v.items()]
+                    elif isinstance(v, list):
+                        todo += [(f"{path}[*]", inner) for inner in v]
+                    else:
+                        fresh.add(path)
+            fresh -= known
+            known |= fresh
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(fresh))], names=["path"])
+
+    return docs.select(F.to_json(value).alias("v")).filter("v is not null").mapInArrow(walk, "path string").distinct()
