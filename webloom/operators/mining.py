@@ -104,7 +104,9 @@ def connected(vertices: DataFrame, edges: DataFrame, scope: str = "page_id") ->
     One shuffle brings the edges of a scope together, sorted; they then stream through a union-find
     that knows the vertices of one scope at a time, however many edges there are.
     """
-    rows = edges.select(scope, "a", "b").repartition(scope).sortWithinPartitions(scope)
+    # A stated number of partitions is never merged: small edge rows would else meet in few tasks.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.select(scope, "a", "b").repartition(tasks, scope).sortWithinPartitions(scope)
     kinds = [edges.schema[scope].dataType, edges.schema["a"].dataType]
     schema = T.StructType([T.StructField(scope, kinds[0]), T.StructField("v", kinds[1]), T.StructField("label", kinds[1])])
 
@@ -143,7 +145,7 @@ def connected(vertices: DataFrame, edges: DataFrame, scope: str = "page_id") ->
         if done:
             yield rows()
 
-    found = rows.mapInArrow(find, schema)
+    found = checkpoint(rows.mapInArrow(find, schema))
     return vertices.select(scope, "v").join(found, [scope, "v"], "left").withColumn("label", F.coalesce("label", "v"))
 
 
