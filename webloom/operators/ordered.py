@@ -82,7 +82,9 @@ def running(df: DataFrame, order: list[str], measures: dict[str, tuple[str, Colu
         *[kinds[k](f"_t_{n}").over(earlier).alias(f"_b_{n}") for n, (k, _) in measures.items()])
     inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", *[kinds[k](f"_v_{n}").over(inside).alias(f"_l_{n}") for n, (k, _) in measures.items()])
-    match = F.col("_range") == F.col("_before_range")
+    # Null-safe, though neither side is null: from a plain equality the optimizer derives a filter on the totals
+    # that names the order columns, which the totals do not have.
+    match = F.col("_range").eqNullSafe(F.col("_before_range"))
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     joined = local.join(before, match)
