@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import nearest
+from webloom.operators import nearest, terms
+from webloom.operators.spread import spread
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -70,3 +71,29 @@ def test_tiles_and_both_ways_of_products(spark, sparse):
         scores = sorted((-round(sum(mine.get(t, 0) * w for t, w in zip(ts, ws)), 9), b) for b, ts, ws in i)
         want |= {(a, b, round(-s, 6)) for s, b in scores[:4] if s < 0}
     assert got == want
+
+
+def _grown(spark, folder, monkeypatch):
+    """A stored table of a few pieces per core."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda x: F.sha1((F.col("doc_id") * 31 + x).cast("string"))))
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(words, F.lit(" twice twice")).alias("text")).write.parquet(folder)
+    monkeypatch.setattr("webloom.operators.spread.PIECE", 64 * 1024)
+    return spark.read.parquet(folder)
+
+
+def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    """There used to be one partition per core, whatever the size."""
+    docs = _grown(spark, str(tmp_path / "docs"), monkeypatch)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(docs, "doc_id").rdd.getNumPartitions() > 4 * cores
+    assert terms.rake_keywords(docs, ("the",)).rdd.getNumPartitions() > 4 * cores
+
+
+def test_large_documents_are_dealt_before_they_become_words(spark, tmp_path, monkeypatch):
+    """Beyond a split per core the words themselves used to be shuffled, for the counts and again for the norms."""
+    docs = _grown(spark, str(tmp_path / "docs"), monkeypatch)
+    monkeypatch.setattr("webloom.operators.spread.SPLIT", 1)
+    bag = terms.bag_of_words(docs, F.split("text", " "))
+    plan = terms.unit_weights(bag)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert bag.filter("term = 'twice' and tf = 2").count() == 2000
