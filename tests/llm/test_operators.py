@@ -229,6 +229,18 @@ def test_scores_equal_brute_force(spark, edge, nothing):
     assert [x[:3] for x in again] == [x[:3] for x in got] and np.allclose([x[3:] for x in again], [x[3:] for x in got], rtol=1e-6, atol=1e-4)
 
 
+def test_common_words_are_found_by_bucket(spark):
+    common = [f"w{k}" for k in range(400)]  # More words than buckets, so some share one.
+    draw = random.Random(7)
+    rows = [(k, [draw.choice([*common, "other", "é", ""]) for _ in range(draw.randrange(60))]) for k in range(40)]
+    terms = spark.createDataFrame(rows, "id long, terms array<string>")
+    made = spark.createDataFrame([(common,)], "common array<string>").select(quality._buckets(F.col("common")).alias("buckets"))
+    got = {r[0]: r[1] for r in terms.crossJoin(made).select("id", quality._places(F.col("terms"), F.col("buckets"))).collect()}
+    assert got == {k: sorted(common.index(w) + 1 for w in words if w in common) for k, words in rows}
+    none = spark.createDataFrame([(["a"], [])], "terms array<string>, common array<string>")
+    assert none.select(quality._places(F.col("terms"), quality._buckets(F.col("common")))).first()[0] == []
+
+
 # --- substrings
 
 def test_chunks_survive_insertions_and_keep_characters_whole():

@@ -11,12 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import SPACES, let, stored, words
+from webloom.llm.common import SPACE_CLASS, SPACES, let, stored
 from webloom.operators.joins import lookup
 
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?\"'()[]-"
 WINDOW = 5
+#: Common words of a language are looked up by hash, in so many buckets.
+BUCKETS = 256
+
+
+def _cut(text: Column, marks: str) -> Column:
+    """What is left between runs of ``marks``. No lambda, so it is compiled."""
+    return F.array_remove(F.split(text, marks + "+"), "")
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -35,14 +42,14 @@ def _windows(h: Column) -> Column:
 
 
 def _covered(windows: Column) -> Column:
-    placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(
         let(placed, lambda s: let(_repeated_starts(s), _stretch)))
 
 
 def _repeated_starts(placed: Column) -> Column:
     twice = F.filter(placed, lambda x, k: (x["h"] == F.get(placed, k - 1)["h"]) | (x["h"] == F.get(placed, k + 1)["h"]))
-    return F.array_sort(F.transform(twice, lambda x: x["i"]))
+    return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
 
 def _stretch(starts: Column) -> Column:
@@ -53,7 +60,26 @@ def _stretch(starts: Column) -> Column:
 
 def _terms(text: Column) -> Column:
     """Lower-case words, cut at white space and marks."""
-    return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D.,;:!?\"()\\[\\]]+"), lambda w: w != "")
+    return _cut(F.lower(text), "[\\x20\\x09-\\x0D.,;:!?\"()\\[\\]]")
+
+
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def _buckets(words: Column) -> Column:
+    """Per bucket the ``words`` whose hash falls into it, with their places from 1 on."""
+    placed = F.transform(words, lambda w, i: F.struct(_bucket(w).alias("bucket"), w.alias("word"), (i + 1).alias("place")))
+    return let(placed, lambda found: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: let(
+        F.filter(found, lambda x: x["bucket"] == b),
+        lambda own: F.struct(F.transform(own, lambda x: x["word"]).alias("words"), F.transform(own, lambda x: x["place"]).alias("places")))))
+
+
+def _places(terms: Column, buckets: Column) -> Column:
+    """Places of those terms that the buckets hold, ascending."""
+    own = lambda t: F.get(buckets, _bucket(t))
+    held = F.filter(terms, lambda t: F.array_contains(own(t)["words"], t))
+    return F.sort_array(F.transform(held, lambda t: F.get(own(t)["places"], F.array_position(own(t)["words"], t).cast("int") - 1)))
 
 
 def _bones(text: Column) -> Column:
@@ -74,7 +100,7 @@ def _classes(text: Column, bones: Column) -> list[Column]:
 
 
 def language_references(docs: DataFrame, common: int = 50) -> DataFrame:
-    """Per ``lang`` (null as empty): character-class shares, its most frequent words and their shares.
+    """Per ``lang`` (null as empty): character-class shares, its most frequent words by bucket and their shares.
 
     Counted over whole texts of all documents; word counts are summed on the map side first.
     Equal counts are ordered by word.
@@ -94,8 +120,7 @@ def language_references(docs: DataFrame, common: int = 50) -> DataFrame:
     shares = F.transform(F.coalesce("top", F.expr("array()")), lambda t: share(t["n"], F.col("total")))
     return joined.select(
         "lang", F.transform("classes", lambda n: share(n, chars)).alias("class_shares"),
-        F.coalesce(F.transform("top", lambda t: t["word"]), F.expr("cast(array() as array<string>)")).alias("common_words"),
-        F.array_max(F.transform("top", lambda t: F.length(t["word"]))).alias("longest"),
+        _buckets(F.coalesce(F.transform("top", lambda t: t["word"]), F.expr("cast(array() as array<string>)"))).alias("buckets"),
         F.concat(F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)), shares).alias("word_shares"))
 
 
@@ -119,7 +144,7 @@ def assess(docs: DataFrame, common: int = 50, min_words: int = 40, max_class_dis
     references = stored(language_references(docs, common), "references")
     base = docs.select(F.struct("*").alias("record"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found = (
-        base.withColumn("tokens", words(F.col("text")))
+        base.withColumn("tokens", _cut(F.col("text"), SPACE_CLASS))
         .withColumn("bones", _bones(F.col("text")))
         .withColumn("classes", F.array(*_classes(F.col("text"), F.col("bones"))))
         .withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
@@ -131,19 +156,17 @@ def assess(docs: DataFrame, common: int = 50, min_words: int = 40, max_class_dis
             repeated_words(F.col("tokens")).cast("long").alias("n_repeat_words"),
             _terms(F.col("text")).alias("terms")))
     joined = lookup(found, references, "lang", "left", spread_on="doc_id")
-    joined = joined.withColumn("places", F.array_sort(F.filter(F.transform(
-        F.filter("terms", lambda t: F.length(t) <= F.col("longest")),
-        lambda t: F.array_position(F.col("common_words"), t)), lambda i: i > 0)))
+    joined = joined.withColumn("places", _places(F.col("terms"), F.col("buckets")))
     # Sorted places: each run of equal ones is a bin.
     joined = joined.withColumn("starts", F.filter(
         F.transform("places", lambda x, i: i), lambda i: (i == 0) | (F.get("places", i) != F.get("places", i - 1))))
     n = F.greatest(F.size("terms"), F.lit(1)).cast("double")
     bins = F.concat(
-        F.array(F.struct(F.lit(0).cast("long").alias("at"), ((F.size("terms") - F.size("places")) / n).alias("p"))),
+        F.array(F.struct(F.lit(0).alias("at"), ((F.size("terms") - F.size("places")) / n).alias("p"))),
         F.transform("starts", lambda s, k: F.struct(
             F.get("places", s).alias("at"),
             ((F.coalesce(F.get("starts", k + 1), F.size("places")) - s) / n).alias("p"))))
-    share_of = lambda b: F.get("word_shares", b["at"].cast("int"))
+    share_of = lambda b: F.get("word_shares", b["at"])
     word = F.lit(0.5) + F.aggregate(bins, F.lit(0.0), lambda acc, b: acc + _part(b["p"], share_of(b)) - 0.5 * share_of(b))
     chars = F.greatest(F.aggregate("classes", F.lit(0), lambda a, b: a + b), F.lit(1)).cast("double")
     char = let(chars, lambda total: F.aggregate(
