@@ -58,3 +58,22 @@ def test_rows_with_missing_features_are_skipped(spark, rows):
     gap = spark.createDataFrame([(999, None, 0.5, 0.5, 1, 2.0)], rows.schema)
     models = B.train(rows.unionByName(gap), ["a", "b"], "label", 3, rounds=1, seed=1)
     assert B.staged_margins(models, gap, ["a", "b"]).count() == 0
+
+
+def test_rows_of_one_partition_are_dealt_to_many_tasks(rows, monkeypatch):
+    parts = []
+
+    def watched(df):
+        parts.append([r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()])
+        return checkpoint(df)
+
+    checkpoint = B.checkpoint
+    monkeypatch.setattr(B, "checkpoint", watched)
+    monkeypatch.setattr(B, "CELLS", 240)
+    one = rows.coalesce(1)
+    B.train(one, ["a", "b", "c"], "label", 2, rounds=1, seed=1)
+    B.train_values(one, ["a", "b", "c"], "worth", rounds=1, seed=1)
+    B.train_report(one, ["id"], ["a", "b", "c"], "label", classes=3, rounds=1, every=1, fraction=0.2, seed=1)
+    # 240 values are 60 rows of three features and a label.
+    assert len(parts) == 4 and all(max(found) <= 61 for found in parts) and [sum(found) for found in parts[:2]] == [600, 600]
+    assert sum(parts[2]) + sum(parts[3]) == 600

@@ -19,6 +19,19 @@ from webloom.operators.features import MinMaxScale, hash_order
 from webloom.operators.measures import measure_report
 from webloom.session import checkpoint
 
+#: Values of the rows that one task learns from. A file may be one row group, which one task would keep alone.
+CELLS = 2**20
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows in even parts of ``CELLS`` values at most, one per core at least.
+
+    More rows make more parts, and their order in a part does not depend on the shuffle.
+    """
+    kept = rows.select(*dict.fromkeys(columns))
+    cells = kept.count() * len(kept.columns)
+    return kept.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-cells // CELLS))).sortWithinPartitions(*kept.columns)
+
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
@@ -26,7 +39,7 @@ def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def train(rows: DataFrame, features: list[str], label: str, classes: int, rounds: int, seed: int, depth: int = 4) -> list[GBTClassificationModel]:
     """One ensemble per class against all others; a single one where there are two classes."""
-    ready = checkpoint(assemble(rows, features).select("features", label))
+    ready = checkpoint(assemble(_dealt(rows, [*features, label]), features).select("features", label))
     fit = lambda c: GBTClassifier(featuresCol="features", labelCol="one", maxIter=rounds, maxDepth=depth, seed=seed).fit(
         ready.select("features", (F.col(label) == c).cast("double").alias("one")))
     return [fit(1)] if classes == 2 else [fit(c) for c in range(classes)]
@@ -78,7 +91,7 @@ def train_report(rows: DataFrame, ids: list[str], features: list[str], label: st
     fit_rows, test_rows = split(rows, ids, fraction, seed)
     scale = MinMaxScale(features).fit(fit_rows)
     models = train(scale.transform(fit_rows), features, label, classes, rounds, seed)
-    scored = checkpoint(staged_margins(models, scale.transform(test_rows), features).select(
+    scored = checkpoint(staged_margins(models, scale.transform(_dealt(test_rows, [*features, label])), features).select(
         F.col(label).cast("int").alias("target"), F.monotonically_increasing_id().alias("id"), "margins"))
 
     def reports() -> Iterator[DataFrame]:
@@ -96,7 +109,7 @@ def train_report(rows: DataFrame, ids: list[str], features: list[str], label: st
 def train_values(rows: DataFrame, features: list[str], label: str, rounds: int, seed: int, depth: int = 5) -> GBTRegressionModel:
     """Regression trees for a real-valued label."""
     return GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed).fit(
-        checkpoint(assemble(rows, features).select("features", F.col(label).cast("double").alias(label))))
+        checkpoint(assemble(_dealt(rows, [*features, label]), features).select("features", F.col(label).cast("double").alias(label))))
 
 
 def predict_values(model: GBTRegressionModel, rows: DataFrame, features: list[str], label: str) -> DataFrame:
