@@ -298,6 +298,53 @@ def test_no_passage_of_the_wanted_length_is_missed(spark):
         assert sorted(len(dict(rows)[2 * k + side]) - len(left[2 * k + side]) for side in (0, 1)) == [0, len(passage)]
 
 
+def test_only_shared_anchors_are_stored(spark, monkeypatch):
+    rows = [(k, prose(3000 + k, 300)) for k in range(60)]
+    rows += [(100 + k, f"{prose(4000 + k, 30)} {rows[k][1][500:700]} {prose(5000 + k, 30)}") for k in range(2)]
+    kept = {}
+
+    def counted(df, name):
+        found = keep(df, name)
+        kept[name] = found.count()
+        return found
+
+    keep = chunk_dedup.stored
+    monkeypatch.setattr(chunk_dedup, "stored", counted)
+    assert {r["doc_id"] for r in chunk_dedup.repeated_spans(table(spark, rows)).collect()} == {0, 1, 100, 101}
+    assert kept and max(kept.values()) < 100  # 62 texts of some 2,000 bytes have about 4,000 anchors
+    again = [(k, f"{prose(6000 + k, 30)} {'Is onhe. ' * 2000}") for k in range(2)]
+    spans = chunk_dedup.repeated_spans(table(spark, again)).collect()
+    assert all(r["span_bytes"] >= 18000 and r["n_chunks"] > 300 for r in spans) and len(spans) == 2
+    assert max(kept.values()) < 100  # a text hands on each context once, with all its places
+
+
+@pytest.mark.parametrize("paired", [64, 2])
+def test_spans_of_many_surroundings_equal_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(chunk_dedup, "PAIRED", paired)
+    draw = random.Random(31)
+    parts = ["".join(draw.choice("abcdeé ñ") for _ in range(draw.randrange(25, 120))) for _ in range(9)]
+    rows = [(k, "".join(draw.choice(parts)[draw.randrange(5):] + draw.choice("XYZ") for _ in range(draw.randrange(1, 7)))) for k in range(70)]
+    holders, inside = collections.defaultdict(set), collections.defaultdict(list)
+    for i, text in rows:
+        data = text.encode()
+        edges = [p for p in range(len(data) + 1) if p == len(data) or data[p] & 0xC0 != 0x80]
+        for a in edges:
+            for b in [b for b in edges if 90 <= b - a <= 96]:
+                holders[data[a:b]].add(i)
+                inside[i].append((a, b))
+    want = set()
+    for i, text in rows:
+        data, runs = text.encode(), []
+        for a, b in sorted(x for x in inside[i] if len(holders[data[slice(*x)]]) > 1):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        want |= {(i, a, b - a) for a, b in runs}
+    found = chunk_dedup.repeated_spans(table(spark, rows))
+    assert want and {(r["doc_id"], r["span_start"], r["span_bytes"]) for r in found.collect()} == want
+
+
 # --- lines
 
 def edits(a, b):

@@ -4,8 +4,8 @@ A gear rolling hash over the UTF-8 bytes (32 bytes of context) rates every gram
 smallest hash within any ``min_bytes`` bytes makes an anchor (winnowing). It depends on these bytes
 alone, so rows that share a passage of that length share an anchor in it, wherever it stands. Anchors
 whose gram another row has too are compared with their surroundings: equal surroundings by one
-64-bit digest, unlike ones by the digests of all passages of ``min_bytes`` bytes around the gram.
-No pairs of rows are made.
+64-bit digest, unlike ones that share half a passage byte by byte, or, where many share it, by the
+digests of all passages of ``min_bytes`` bytes around the gram. No pairs of rows are made.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from webloom.operators.joins import lookup
 GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
 #: One position in so many ends a chunk; chunks have at least and at most so many bytes.
 SPACING, LEAST, MOST = 24, 8, 1024
+#: So many contexts with one half are compared pair by pair; more of them by the digests of their passages.
+PAIRED = 64
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -64,28 +66,36 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row"))
 
 
-def passages(data: bytes, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends, both ascending, of the shortest stretches of whole characters with ``min_bytes`` or more."""
-    inside = np.append((np.frombuffer(data, np.uint8) & 0xC0) == 0x80, False)
-    spots = np.flatnonzero(~inside)
-    after = np.searchsorted(spots, spots + min_bytes)
-    before = np.searchsorted(spots, spots - min_bytes, "right") - 1
-    pairs = np.concatenate([
-        np.stack([spots[after < len(spots)], spots[after[after < len(spots)]]], axis=1),
-        np.stack([spots[before[before >= 0]], spots[before >= 0]], axis=1)])
-    if not inside.any():
-        pairs = pairs[:len(pairs) // 2]
-        return pairs[:, 0], pairs[:, 1]
-    keys = np.unique(pairs[:, 0] * len(inside) + pairs[:, 1])
-    return keys // len(inside), keys % len(inside)
+def passages(data: np.ndarray, edges: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, both ascending, of the shortest stretches of whole characters with ``min_bytes`` or more.
 
-
-def anchors(data: bytes, min_bytes: int) -> np.ndarray:
+    ``data`` holds texts one after the other, with a text from each of ``edges`` to the next; no stretch reaches over one.
+    """
+    fresh = (data & 0xC0) != 0x80
+    if fresh.all():
+        starts = np.arange(max(0, len(data) - min_bytes + 1))
+        ends = starts + min_bytes
+    else:
+        spots = np.append(np.flatnonzero(fresh), len(data))
+        before = np.concatenate([[0], np.cumsum(fresh)])  # characters that begin before a place
+        begin = spots[spots + min_bytes <= len(data)]
+        end = spots[before[begin + min_bytes]]
+        past = spots[spots >= min_bytes]
+        back = spots[before[past - min_bytes + 1] - 1]
+        new = spots[before[back + min_bytes]] != past
+        keys = np.concatenate([begin * (len(data) + 1) + end, back[new] * (len(data) + 1) + past[new]])
+        keys.sort(kind="stable")
+        starts, ends = np.divmod(keys, len(data) + 1)
+    whole = ends <= edges[np.searchsorted(edges, starts, "right").clip(max=len(edges) - 1)]
+    return starts[whole], ends[whole]
+
+
+def anchors(data: np.ndarray, min_bytes: int) -> np.ndarray:
     """Place of the gram with the smallest hash in the ``min_bytes`` bytes from each position on, ascending: equal bytes, equal places."""
     if len(data) < min_bytes:
         return np.zeros(0, np.int64)
     gram = gram_bytes(min_bytes)
-    hashed = gear_hash(np.frombuffer(data, np.uint8))[gram - 1:] & np.uint32(2**gram - 1)
+    hashed = gear_hash(data)[gram - 1:] & np.uint32(2**gram - 1)
     hashed *= np.uint32(0x9E3779B1)
     hashed ^= hashed >> np.uint32(15)
     # The last of equal hashes is the smallest.
@@ -102,11 +112,26 @@ def gram_bytes(min_bytes: int) -> int:
     return min(32, min_bytes)
 
 
+def _side_by_side(texts: list[bytes], min_bytes: int) -> Iterator[list[int]]:
+    """Numbers of the texts that can hold a passage, up to 256 kB or one text at a time, ASCII apart from the others."""
+    for plain in (True, False):
+        taken, held = [], 0
+        for n, text in enumerate(texts):
+            if len(text) >= min_bytes and text.isascii() == plain:
+                if taken and held + len(text) > 2**18:
+                    yield taken
+                    taken, held = [], 0
+                taken.append(n)
+                held += len(text)
+        if taken:
+            yield taken
+
+
 def _anchored(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """``doc_id, row, text_hash, at, low, high, gram, context`` per anchor.
+    """``doc_id, row, text_hash, at, more, low, high, gram, context`` per context of a text, with its first place and all ``more``.
 
     Each passage belongs to the anchor of its first ``min_bytes`` bytes; ``low`` and ``high`` bound
-    those of an anchor, relative to ``at``. Equal contexts have the same passages.
+    those of an anchor, relative to its place. Equal contexts have the same passages.
     """
     flat = rows.select("record.doc_id", "row", F.xxhash64("record.text").alias("text_hash"), "record.text")
     gram = gram_bytes(min_bytes)
@@ -114,124 +139,212 @@ def _anchored(rows: DataFrame, min_bytes: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
-                take, at, low, high, grams, contexts = [], [], [], [], [], []
-                for n, text in enumerate(part.column(3).to_pylist()):
-                    data = (text or "").encode()
-                    if len(data) < min_bytes:
-                        continue
-                    starts, ends = passages(data, min_bytes)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                texts = [(t or "").encode() for t in part.column(3).to_pylist()]
+                for some in _side_by_side(texts, min_bytes):
+                    joined = b"".join([texts[n] for n in some])
+                    edges = np.concatenate([[0], np.cumsum([len(texts[n]) for n in some])])
+                    data = np.frombuffer(joined, np.uint8)
+                    starts, ends = passages(data, edges, min_bytes)
                     owner = anchors(data, min_bytes)[starts]
-                    spots, a = np.unique(owner, return_index=True)
+                    a = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
                     b = np.append(a[1:], len(owner)) - 1
-                    take.append(np.full(len(spots), n))
-                    at.append(spots)
-                    low.append(starts[a] - spots)
-                    high.append(ends[b] - spots)
-                    for p in spots.tolist():
-                        grams.append(xxh3_64_intdigest(data[p:p + gram]))
-                        # What is cut off at the beginning of the text tells such contexts apart.
-                        contexts.append(xxh3_64_intdigest(data[max(0, p - reach):p + gram + reach], min(p, reach)))
-                if take:
-                    index = pa.array(np.concatenate(take))
-                    numbers = lambda x: pa.array(np.concatenate(x).astype(np.int32))
-                    digests = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                    spots = owner[a]
+                    text = np.searchsorted(edges, spots, "right") - 1
+                    left, right = np.maximum(edges[text], spots - reach), np.minimum(edges[text + 1], spots + gram + reach)
+                    grams = [xxh3_64_intdigest(joined[p:p + gram]) for p in spots.tolist()]
+                    # What is cut off at the beginning of the text tells such contexts apart.
+                    contexts = [xxh3_64_intdigest(joined[x:y], z) for x, y, z in zip(left.tolist(), right.tolist(), (spots - left).tolist())]
+                    grams, contexts = (np.array(x, np.uint64).view(np.int64) for x in (grams, contexts))
+                    at = (spots - edges[text]).astype(np.int32)
+                    # A text that goes on repeating itself has few contexts with very many places.
+                    order = np.lexsort((contexts, text))
+                    fresh = np.append(True, (np.diff(contexts[order]) != 0) | (np.diff(text[order]) != 0))
+                    lead, again = order[fresh], at[order[~fresh]]
+                    counts = np.diff(np.append(np.flatnonzero(fresh), len(order))) - 1
+                    more = pa.ListArray.from_arrays(
+                        pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(again), mask=pa.array(counts == 0))
+                    index = pa.array(np.array(some)[text[lead]])
+                    numbers = lambda x: pa.array(x[lead].astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [*[part.column(c).take(index) for c in range(3)], numbers(at), numbers(low), numbers(high), digests(grams), digests(contexts)],
-                        names=["doc_id", "row", "text_hash", "at", "low", "high", "gram", "context"])
+                        [*[part.column(c).take(index) for c in range(3)], numbers(at), more, numbers(starts[a] - spots),
+                         numbers(ends[b] - spots), pa.array(grams[lead]), pa.array(contexts[lead])],
+                        names=["doc_id", "row", "text_hash", "at", "more", "low", "high", "gram", "context"])
 
     long, number = (lambda c: T.StructField(c, T.LongType())), (lambda c: T.StructField(c, T.IntegerType()))
-    schema = T.StructType([flat.schema["doc_id"], long("row"), long("text_hash"), number("at"), number("low"), number("high"), long("gram"), long("context")])
+    schema = T.StructType([flat.schema["doc_id"], long("row"), long("text_hash"), number("at"),
+                           T.StructField("more", T.ArrayType(T.IntegerType())), number("low"), number("high"), long("gram"), long("context")])
     return flat.mapInArrow(find, schema)
 
 
-def _around(texts: DataFrame, min_bytes: int) -> DataFrame:
-    """``gram, context, low, high, digest, first, last`` for every passage around the wanted spots of the texts."""
-    gram = gram_bytes(min_bytes)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, spots in zip(batch.column(0), batch.column(1)):
-                data = text.as_py().encode()
-                starts, ends = passages(data, min_bytes)
-                owner = anchors(data, min_bytes)[starts]
-                starts, ends, spots = starts.tolist(), ends.tolist(), spots.as_py()
-                bounds = [np.searchsorted(owner, [s["at"] for s in spots], side).tolist() for side in ("left", "right")]
-                for begin in range(0, len(spots), 256):
-                    found = []
-                    for s, a, b in zip(spots[begin:begin + 256], bounds[0][begin:], bounds[1][begin:]):
-                        p, key = s["at"], (s["gram"], s["context"])
-                        for x, y in zip(starts[a:b], ends[a:b]):
-                            found.append((*key, x - p, y - p, xxh3_64_intdigest(data[x:y]) - 2**63, s["first"], s["last"]))
-                    columns = list(zip(*found))
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", "context", "low", "high", "digest", "first", "last"])
-
-    return texts.mapInArrow(cut, "gram long, context long, low int, high int, digest long, first long, last long")
+def _owned(near: list[bytes], lows: list[int], min_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the passages of anchors, relative to them; their bytes are given from the lowest start to the highest end."""
+    for begin in range(0, len(near), 256):
+        some, low = near[begin:begin + 256], lows[begin:begin + 256]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in some])])
+        data = np.frombuffer(b"".join(some), np.uint8)
+        starts, ends = passages(data, edges, min_bytes)
+        places = edges[:-1] - low
+        number = np.searchsorted(edges, starts, "right") - 1
+        own = anchors(data, min_bytes)[starts] == places[number]
+        starts, ends, number = starts[own], ends[own], number[own]
+        bounds = np.searchsorted(number, np.arange(len(some) + 1))
+        for p, a, b in zip(places, bounds[:-1], bounds[1:]):
+            yield starts[a:b] - p, ends[a:b] - p
 
 
-def _halves(texts: DataFrame, min_bytes: int) -> DataFrame:
-    """``half, gram, context, first, last``: the gram with half of the other bytes of a passage on either side.
+def _windows(texts: DataFrame, min_bytes: int) -> DataFrame:
+    """``gram, context, first, last, low, high, halves, bytes`` for the wanted spots of the texts.
 
-    A passage around the gram holds one of them at least.
+    ``bytes`` are those around the gram. ``halves`` are digests of the gram with half of the other
+    bytes of a passage on either side; a passage around the gram holds one of them at least.
     """
     gram = gram_bytes(min_bytes)
+    reach = min_bytes - gram + 6
     more = (min_bytes - gram) // 2
+    names = ["gram", "context", "first", "last", "low", "high", "halves", "bytes"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64()), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for text, spots in zip(batch.column(0), batch.column(1)):
-                data, found = text.as_py().encode(), []
+                data = text.as_py().encode()
                 for s in spots.as_py():
-                    p, key = s["at"], (s["gram"], s["context"], s["first"], s["last"])
+                    p, halves = s["at"], []
                     if p >= more:
-                        found.append((xxh3_64_intdigest(data[p - more:p + gram], 1) - 2**63, *key))
+                        halves.append(xxh3_64_intdigest(data[p - more:p + gram], 1) - 2**63)
                     if p + gram + more <= len(data):
-                        found.append((xxh3_64_intdigest(data[p:p + gram + more], 2) - 2**63, *key))
-                if found:
+                        halves.append(xxh3_64_intdigest(data[p:p + gram + more], 2) - 2**63)
+                    near = b"\0" * (reach - p) + data[max(0, p - reach):p + gram + reach]
+                    found.append((s["gram"], s["context"], s["first"], s["last"], s["low"], s["high"], halves, near.ljust(gram + 2 * reach, b"\0")))
+                    if len(found) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+                        found = []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+
+    return texts.mapInArrow(cut, "gram long, context long, first long, last long, low int, high int, halves array<long>, bytes binary")
+
+
+def _around(windows: DataFrame, min_bytes: int) -> DataFrame:
+    """``gram, context, low, high, digest, first, last`` for every passage of the windows."""
+    reach = min_bytes - gram_bytes(min_bytes) + 6
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                rows, found = batch.slice(begin, 256).to_pylist(), []
+                near = [r["bytes"][reach + r["low"]:reach + r["high"]] for r in rows]
+                for r, data, (starts, ends) in zip(rows, near, _owned(near, [r["low"] for r in rows], min_bytes)):
+                    for x, y in zip(starts.tolist(), ends.tolist()):
+                        digest = xxh3_64_intdigest(data[x - r["low"]:y - r["low"]]) - 2**63
+                        found.append((r["gram"], r["context"], x, y, digest, r["first"], r["last"]))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["gram", "context", "low", "high", "digest", "first", "last"])
+
+    return windows.mapInArrow(cut, "gram long, context long, low int, high int, digest long, first long, last long")
+
+
+def _matched(groups: DataFrame, min_bytes: int) -> DataFrame:
+    """``gram, context, low, high, seen_low, seen_high`` of what the ``members`` of a group have from each other, byte by byte."""
+    gram = gram_bytes(min_bytes)
+    reach = min_bytes - gram + 6
+    far = 2**31 - 1
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                lists = batch.column(0).slice(begin, 256)
+                sizes = np.diff(lists.offsets.to_numpy())
+                members = lists.flatten()
+                value = lambda c: members.field(members.type.get_field_index(c))
+                texts = value("bytes").to_pylist()
+                near = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, gram + 2 * reach)
+                first, last, low, high = (value(c).to_numpy() for c in ("first", "last", "low", "high"))
+                uneven = (near >= 128).any(1)
+                odd = np.flatnonzero(uneven).tolist()
+                owned = dict(zip(odd, _owned([texts[n][reach + low[n]:reach + high[n]] for n in odd], low[uneven].tolist(), min_bytes)))
+                tops = np.repeat(np.cumsum(sizes) - sizes, sizes)
+                others = np.repeat(sizes, sizes)
+                share = np.cumsum(others) // 2**15
+                for k in np.unique(share):
+                    some = np.flatnonzero(share == k)
+                    i = np.repeat(some, others[some])
+                    j = np.repeat(tops[some] - np.cumsum(others[some]) + others[some], others[some]) + np.arange(len(i))
+                    same = near[i] == near[j]
+                    back, on = same[:, reach - 1::-1], same[:, reach + gram:]
+                    lo = np.maximum(np.maximum(low[i], low[j]), -np.where(back.all(1), reach, back.argmin(1)))
+                    hi = np.minimum(np.minimum(high[i], high[j]), gram + np.where(on.all(1), reach, on.argmin(1)))
+                    for n in np.flatnonzero(uneven[i] & (hi - lo >= min_bytes)).tolist():
+                        x, y = owned[int(i[n])]
+                        a, b = np.searchsorted(x, lo[n]), np.searchsorted(y, hi[n], "right") - 1
+                        lo[n], hi[n] = (x[a], y[b]) if a <= b else (0, 0)
+                    met = (hi - lo >= min_bytes) & (i != j) & (np.minimum(first[i], first[j]) != np.maximum(last[i], last[j]))
+                    early = met & (first[j] < first[i])
+                    runs = np.cumsum(others[some]) - others[some]
+                    bounds = [f.reduceat(np.where(flag, x, none), runs) for flag in (met, early)
+                              for f, x, none in ((np.minimum, lo, far), (np.maximum, hi, -far))]
+                    held = bounds[0] < far
+                    index = pa.array(some[held])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in zip(*found)], names=["half", "gram", "context", "first", "last"])
+                        [value("gram").take(index), value("context").take(index),
+                         *[pa.array(x[held], pa.int32(), mask=np.abs(x[held]) == far) for x in bounds]],
+                        names=["gram", "context", "low", "high", "seen_low", "seen_high"])
 
-    return texts.mapInArrow(cut, "half long, gram long, context long, first long, last long")
+    return groups.select("members").mapInArrow(compare, "gram long, context long, low int, high int, seen_low int, seen_high int")
 
 
 def _marks(rows: DataFrame, min_bytes: int) -> DataFrame:
     """``doc_id, row, start, past`` of repeated text around an anchor, and ``seen_start, seen_past`` of what an earlier row has."""
     if min_bytes < 1:
         raise ValueError("min_bytes must be positive")
-    table = stored(_anchored(rows, min_bytes), "anchors")
-    shared = table.groupBy("gram").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("gram")
-    found = stored(table.join(shared, "gram"), "shared")
-    place = F.struct("row", "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "at")
-    contexts = stored(found.groupBy("gram", "context").agg(
-        F.min(place).alias("place"), F.max("row").alias("last"), F.first("low").alias("low"), F.first("high").alias("high")), "contexts")
-    # A gram with one context is repeated as far as the context goes; others are compared passage by passage.
-    several = contexts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # One shuffle by gram and one sort: unshared grams go, the others learn who has their context.
+    placed = _anchored(rows, min_bytes).repartition("gram").sortWithinPartitions("gram", "context", "row", "at")
+    alone, context = Window.partitionBy("gram"), Window.partitionBy("gram", "context").orderBy("row", "at")
+    whole = context.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = placed.select(
+        "*", F.min("row").over(alone).alias("lo"), F.max("row").over(alone).alias("hi"),
+        (F.min("context").over(alone) != F.max("context").over(alone)).alias("unlike")).filter("lo <> hi")
+    # A gram with one context is repeated as far as the context goes; others are compared.
+    only = lambda c: F.when(F.col("unlike"), F.col(c)).alias(c)
+    found = stored(shared.select(
+        "doc_id", "row", only("text_hash"), "at", "more", "low", "high", only("gram"), only("context"), F.first("row").over(whole).alias("first"),
+        F.last("row").over(whole).alias("last"), (F.col("unlike") & (F.row_number().over(context) == 1)).alias("leads")), "shared")
     keyed = rows.select("record.text", F.xxhash64("record.text").alias("text_hash"), F.coalesce(F.col("record.doc_id").cast("string"), F.lit("")).alias("id_key"))
 
-    def texts(wanted: DataFrame, name: str) -> DataFrame:
-        spots = wanted.groupBy("place.text_hash", "place.id_key").agg(F.collect_list(
-            F.struct("place.at", "gram", "context", F.col("place.row").alias("first"), "last")).alias("spots"))
-        return lookup(keyed, stored(spots, name), ["text_hash", "id_key"]).select("text", "spots")
-
-    unlike = contexts.join(several, "gram", "left_semi")
-    halves = stored(_halves(texts(unlike, "spots"), min_bytes), "halves")
-    alike = halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).filter("lo <> hi").select("half")
-    close = halves.join(alike, "half", "left_semi").select("gram", "context").distinct()
-    around = stored(_around(texts(unlike.join(close, ["gram", "context"], "left_semi"), "close"), min_bytes), "passages")
-    met = around.groupBy("digest").agg(F.min("first").alias("begin"), F.max("last").alias("end")).filter("begin <> end").select("digest", "begin")
-    early = lambda c: F.when(F.col("begin") < F.col("first"), F.col(c))
-    compared = around.join(met, "digest").groupBy("gram", "context").agg(
-        F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.min(early("low")).alias("seen_low"), F.max(early("high")).alias("seen_high"))
-    whole = contexts.join(several, "gram", "left_anti").select(
-        "gram", "context", F.col("place.row").alias("first"), "low", "high", F.lit(None).cast("int").alias("seen_low"), F.lit(None).cast("int").alias("seen_high"))
-    known = stored(compared.select(whole.columns).unionByName(whole), "known")
-    marked = found.drop("low", "high").join(known, ["gram", "context"])
+    unlike = found.filter("leads")
+    spots = unlike.groupBy("text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key")).agg(
+        F.collect_list(F.struct("at", "low", "high", "gram", "context", "first", "last")).alias("spots"))
+    texts = keyed.join(stored(spots, "spots"), ["text_hash", "id_key"]).select("text", "spots")
+    windows = stored(_windows(texts, min_bytes), "windows")
+    alike = windows.select(F.explode("halves").alias("half"), "first", "last").groupBy("half").agg(
+        F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 1").select("half", "n")
+    alike = stored(alike, "alike")
+    halved = windows.withColumn("half", F.explode("halves")).drop("halves")
+    members = F.struct("gram", "context", "first", "last", "low", "high", "bytes")
+    matched = _matched(halved.join(alike.filter(F.col("n") <= PAIRED), "half").groupBy("half").agg(F.collect_list(members).alias("members")), min_bytes)
+    many = alike.filter(F.col("n") > PAIRED)
+    if not many.isEmpty():
+        crowd = lookup(halved.select("half", "gram", "context"), many.select("half"), "half").select("gram", "context").distinct()
+        around = stored(_around(windows.join(crowd, ["gram", "context"], "left_semi").drop("halves"), min_bytes), "passages")
+        met = around.groupBy("digest").agg(F.min("first").alias("begin"), F.max("last").alias("end")).filter("begin <> end").select("digest", "begin")
+        early = lambda c: F.when(F.col("begin") < F.col("first"), F.col(c))
+        matched = matched.unionByName(around.join(met, "digest").groupBy("gram", "context").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.min(early("low")).alias("seen_low"), F.max(early("high")).alias("seen_high")))
+    known = matched.groupBy("gram", "context").agg(
+        F.min("low").alias("met_low"), F.max("high").alias("met_high"), F.min("seen_low").alias("seen_low"), F.max("seen_high").alias("seen_high"))
+    own = F.col("first") < F.col("last")
+    compared = found.filter("gram is not null").join(known, ["gram", "context"], "left").filter(own | F.col("met_low").isNotNull()).withColumns({
+        "low": F.when(own, F.col("low")).otherwise(F.col("met_low")), "high": F.when(own, F.col("high")).otherwise(F.col("met_high"))})
+    blank = F.lit(None).cast("int")
+    marked = compared.unionByName(found.filter("gram is null").withColumns({"seen_low": blank, "seen_high": blank}), allowMissingColumns=True)
     later = F.col("row") > F.col("first")
-    return marked.select(
+    first = F.array("at")
+    places = F.explode(F.when(F.col("more").isNull(), first).otherwise(F.concat(first, "more")))
+    return marked.withColumn("at", places).select(
         "doc_id", "row", (F.col("at") + F.col("low")).alias("start"), (F.col("at") + F.col("high")).alias("past"),
         (F.col("at") + F.when(later, F.col("low")).otherwise(F.col("seen_low"))).alias("seen_start"),
         (F.col("at") + F.when(later, F.col("high")).otherwise(F.col("seen_high"))).alias("seen_past"))
